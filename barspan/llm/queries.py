@@ -6,6 +6,18 @@ from pyspark.sql import functions as F
 
 from barspan.llm.common import table
 from barspan.llm.quality_rules import RULES, STOP_WORDS, quality_rules
+from barspan.llm.token_cache import token_counts
+
+
+def vocabulary(name: str) -> str:
+    """Where the installed package of public vocabularies keeps a file."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op5_token_counts(spark, sf_dir):
+    return token_counts(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
 
 
 def op9_quality_rules(spark, sf_dir):
@@ -42,5 +54,5 @@ b AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_fail
 SELECT *, NOT base_failed AND NOT ({" OR ".join(map(_rule_sql, RULES))}) AS kept FROM b
 """
 
-QUERIES = {"op9_quality_rules": op9_quality_rules}
+QUERIES = {"op5_token_counts": op5_token_counts, "op9_quality_rules": op9_quality_rules}
 SQL = {"op9_quality_rules": OP9_SQL}
