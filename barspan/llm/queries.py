@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import functions as F
 
+from barspan.llm.chat import chains, parse_turns, reply_trees, unescape
 from barspan.llm.common import table
 from barspan.llm.quality_rules import RULES, STOP_WORDS, quality_rules
 from barspan.llm.token_cache import token_counts
@@ -20,6 +25,30 @@ def op5_token_counts(spark, sf_dir):
     return token_counts(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
 
 
+def _read_back(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Digests of what the formatted conversations say, taken from them alone."""
+    sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
+    for batch in batches:
+        rows = []
+        for conv_id, formatted, spans in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            turns = parse_turns(formatted)
+            loss = "".join(unescape(formatted[s["start"] : s["stop"]]) for s in spans)
+            rows.append((conv_id, len(turns), sha("".join(f"{r}\n{t}\n" for r, t in turns)), len(loss), sha(loss), len(formatted)))
+        names = ("conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars")
+        kinds = (pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64())
+        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=list(names))
+
+
+def op8_reply_trees(spark, sf_dir):
+    said = "</s>[INST] ok [/INST]"
+    extra = spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
+    every = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra)
+    formatted = reply_trees(chains(every), branches=1)
+    return formatted.select("tree_id", "formatted", "loss_spans").mapInArrow(
+        _read_back, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"
+    )
+
+
 def op9_quality_rules(spark, sf_dir):
     return quality_rules(table(spark, sf_dir, "documents")).drop("failed_rules")
 
@@ -54,5 +83,5 @@ b AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_fail
 SELECT *, NOT base_failed AND NOT ({" OR ".join(map(_rule_sql, RULES))}) AS kept FROM b
 """
 
-QUERIES = {"op5_token_counts": op5_token_counts, "op9_quality_rules": op9_quality_rules}
+QUERIES = {"op5_token_counts": op5_token_counts, "op8_reply_trees": op8_reply_trees, "op9_quality_rules": op9_quality_rules}
 SQL = {"op9_quality_rules": OP9_SQL}
