@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from barspan.llm.chat import chains, parse_turns, reply_trees, unescape
 from barspan.llm.common import table
+from barspan.llm.line_dedup import line_dedup
 from barspan.llm.quality_rules import RULES, STOP_WORDS, quality_rules
 from barspan.llm.token_cache import token_counts
 
@@ -25,6 +26,22 @@ def op5_token_counts(spark, sf_dir):
     return token_counts(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
 
 
+def op7_line_dedup(spark, sf_dir):
+    kept = line_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    digest = F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256)
+    return kept.select("doc_id", F.col("_n_lines").alias("n_lines"), F.col("_n_dropped").alias("n_dropped"), digest.alias("kept_sha256"))
+
+
+OP7_SQL = r"""
+WITH l AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS pos FROM documents),
+k AS (SELECT *, translate(regexp_replace(line, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM l),
+c AS (SELECT key, count(DISTINCT doc_id) AS n, max(doc_id) AS top FROM k WHERE length(key) >= 40 GROUP BY key HAVING count(DISTINCT doc_id) >= 5)
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (n IS NOT NULL AND doc_id <> top) AS n_dropped,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (n IS NULL OR doc_id = top), '')) AS kept_sha256
+FROM k LEFT JOIN c USING (key) GROUP BY doc_id
+"""
+
+
 def _read_back(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Digests of what the formatted conversations say, taken from them alone."""
     sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
@@ -83,5 +100,5 @@ b AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_fail
 SELECT *, NOT base_failed AND NOT ({" OR ".join(map(_rule_sql, RULES))}) AS kept FROM b
 """
 
-QUERIES = {"op5_token_counts": op5_token_counts, "op8_reply_trees": op8_reply_trees, "op9_quality_rules": op9_quality_rules}
-SQL = {"op9_quality_rules": OP9_SQL}
+QUERIES = {"op5_token_counts": op5_token_counts, "op7_line_dedup": op7_line_dedup, "op8_reply_trees": op8_reply_trees, "op9_quality_rules": op9_quality_rules}
+SQL = {"op7_line_dedup": OP7_SQL, "op9_quality_rules": OP9_SQL}
