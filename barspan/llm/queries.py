@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from barspan.llm.chat import chains, parse_turns, reply_trees, unescape
 from barspan.llm.common import table
 from barspan.llm.line_dedup import line_dedup
+from barspan.llm.packing import best_fit_packing
 from barspan.llm.quality_rules import RULES, STOP_WORDS, quality_rules
 from barspan.llm.token_cache import token_counts
 
@@ -26,6 +27,10 @@ def op5_token_counts(spark, sf_dir):
     return token_counts(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
 
 
+def op6_best_fit_packing(spark, sf_dir):
+    return best_fit_packing(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
+
+
 def op7_line_dedup(spark, sf_dir):
     kept = line_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
     digest = F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256)
@@ -100,5 +105,5 @@ b AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_fail
 SELECT *, NOT base_failed AND NOT ({" OR ".join(map(_rule_sql, RULES))}) AS kept FROM b
 """
 
-QUERIES = {"op5_token_counts": op5_token_counts, "op7_line_dedup": op7_line_dedup, "op8_reply_trees": op8_reply_trees, "op9_quality_rules": op9_quality_rules}
+QUERIES = {"op5_token_counts": op5_token_counts, "op6_best_fit_packing": op6_best_fit_packing, "op7_line_dedup": op7_line_dedup, "op8_reply_trees": op8_reply_trees, "op9_quality_rules": op9_quality_rules}
 SQL = {"op7_line_dedup": OP7_SQL, "op9_quality_rules": OP9_SQL}
