@@ -12,6 +12,7 @@ from barspan.llm.chat import chains, parse_turns, reply_trees, unescape
 from barspan.llm.common import table
 from barspan.llm.line_dedup import line_dedup
 from barspan.llm.packing import best_fit_packing
+from barspan.llm.pivot_dedup import pivot_dedup
 from barspan.llm.quality_rules import RULES, STOP_WORDS, quality_rules
 from barspan.llm.token_cache import token_counts
 
@@ -105,5 +106,22 @@ b AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_fail
 SELECT *, NOT base_failed AND NOT ({" OR ".join(map(_rule_sql, RULES))}) AS kept FROM b
 """
 
-QUERIES = {"op5_token_counts": op5_token_counts, "op6_best_fit_packing": op6_best_fit_packing, "op7_line_dedup": op7_line_dedup, "op8_reply_trees": op8_reply_trees, "op9_quality_rules": op9_quality_rules}
-SQL = {"op7_line_dedup": OP7_SQL, "op9_quality_rules": OP9_SQL}
+def op10_pivot_dedup(spark, sf_dir):
+    return pivot_dedup(table(spark, sf_dir, "embeddings"))
+
+
+#: Cosines of all pairs with equal labels, and components by recursion.
+OP10_SQL = """
+WITH RECURSIVE v AS (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings WHERE embedding IS NOT NULL AND label IS NOT NULL),
+u AS (SELECT vec_id, label, e, sqrt(list_sum(list_transform(e, lambda x: x * x))) AS norm FROM v),
+l AS (SELECT a.vec_id AS src, b.vec_id AS dst FROM u a JOIN u b ON a.label = b.label AND a.vec_id <> b.vec_id AND a.norm > 0 AND b.norm > 0
+      WHERE list_inner_product(a.e, b.e) / (a.norm * b.norm) >= 0.93),
+r AS (SELECT src AS vec_id, src AS low FROM l UNION SELECT l.dst, r.low FROM r JOIN l ON l.src = r.vec_id),
+c AS (SELECT vec_id, min(low) AS low FROM r GROUP BY vec_id),
+n AS (SELECT src AS vec_id, count(*) AS n_links FROM l GROUP BY src)
+SELECT e.vec_id, coalesce(n.n_links, 0) AS n_links, coalesce(c.low, e.vec_id) AS component_id, e.vec_id = coalesce(c.low, e.vec_id) AS kept
+FROM embeddings e LEFT JOIN n ON e.vec_id = n.vec_id LEFT JOIN c ON e.vec_id = c.vec_id
+"""
+
+QUERIES = {"op5_token_counts": op5_token_counts, "op6_best_fit_packing": op6_best_fit_packing, "op7_line_dedup": op7_line_dedup, "op8_reply_trees": op8_reply_trees, "op9_quality_rules": op9_quality_rules, "op10_pivot_dedup": op10_pivot_dedup}
+SQL = {"op7_line_dedup": OP7_SQL, "op9_quality_rules": OP9_SQL, "op10_pivot_dedup": OP10_SQL}
