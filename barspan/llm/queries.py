@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from barspan.llm.chat import chains, parse_turns, reply_trees, unescape
 from barspan.llm.common import table
 from barspan.llm.line_dedup import line_dedup
+from barspan.llm.ngram_join import ngram_join
 from barspan.llm.packing import best_fit_packing
 from barspan.llm.pivot_dedup import pivot_dedup
 from barspan.llm.quality_rules import RULES, STOP_WORDS, quality_rules
@@ -24,6 +25,27 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op2_ngram_join(spark, sf_dir):
+    return ngram_join(table(spark, sf_dir, "documents"))
+
+
+#: Pairs that share a shingle, by an inverted index, and components by recursion.
+OP2_SQL = r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+p AS (SELECT doc_id, unnest(ws) AS word, generate_subscripts(ws, 1) AS pos, len(ws) AS n FROM w),
+g AS (SELECT doc_id, pos, n, word || ' ' || lead(word, 1) OVER o || ' ' || lead(word, 2) OVER o || ' ' || lead(word, 3) OVER o || ' ' || lead(word, 4) OVER o AS g5
+      FROM p WINDOW o AS (PARTITION BY doc_id ORDER BY pos)),
+s AS (SELECT DISTINCT doc_id, g5 AS g FROM g WHERE g5 IS NOT NULL UNION SELECT doc_id, array_to_string(ws, ' ') FROM w WHERE len(ws) BETWEEN 1 AND 4),
+c AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+b AS (SELECT x.doc_id AS src, y.doc_id AS dst, count(*) AS i FROM s x JOIN s y ON x.g = y.g AND x.doc_id <> y.doc_id GROUP BY 1, 2),
+l AS (SELECT src, dst FROM b JOIN c x ON x.doc_id = src JOIN c y ON y.doc_id = dst WHERE 100 * i >= 80 * (x.n + y.n - i)),
+r AS (SELECT src AS doc_id, src AS low FROM l UNION SELECT l.dst, r.low FROM r JOIN l ON l.src = r.doc_id),
+m AS (SELECT doc_id, min(low) AS low FROM r GROUP BY doc_id)
+SELECT d.doc_id, coalesce(c.n, 0) AS n_shingles, coalesce(m.low, d.doc_id) AS component_id
+FROM documents d LEFT JOIN c ON d.doc_id = c.doc_id LEFT JOIN m ON d.doc_id = m.doc_id
+"""
+
+
 def op5_token_counts(spark, sf_dir):
     return token_counts(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
 
@@ -123,5 +145,5 @@ SELECT e.vec_id, coalesce(n.n_links, 0) AS n_links, coalesce(c.low, e.vec_id) AS
 FROM embeddings e LEFT JOIN n ON e.vec_id = n.vec_id LEFT JOIN c ON e.vec_id = c.vec_id
 """
 
-QUERIES = {"op5_token_counts": op5_token_counts, "op6_best_fit_packing": op6_best_fit_packing, "op7_line_dedup": op7_line_dedup, "op8_reply_trees": op8_reply_trees, "op9_quality_rules": op9_quality_rules, "op10_pivot_dedup": op10_pivot_dedup}
-SQL = {"op7_line_dedup": OP7_SQL, "op9_quality_rules": OP9_SQL, "op10_pivot_dedup": OP10_SQL}
+QUERIES = {"op2_ngram_join": op2_ngram_join, "op5_token_counts": op5_token_counts, "op6_best_fit_packing": op6_best_fit_packing, "op7_line_dedup": op7_line_dedup, "op8_reply_trees": op8_reply_trees, "op9_quality_rules": op9_quality_rules, "op10_pivot_dedup": op10_pivot_dedup}
+SQL = {"op2_ngram_join": OP2_SQL, "op7_line_dedup": OP7_SQL, "op9_quality_rules": OP9_SQL, "op10_pivot_dedup": OP10_SQL}
