@@ -14,6 +14,7 @@ from barspan.llm.line_dedup import line_dedup
 from barspan.llm.ngram_join import ngram_join
 from barspan.llm.packing import best_fit_packing
 from barspan.llm.pivot_dedup import pivot_dedup
+from barspan.llm.pu_quality import quality_scores
 from barspan.llm.quality_rules import RULES, STOP_WORDS, quality_rules
 from barspan.llm.token_cache import token_counts
 
@@ -25,6 +26,10 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_quality_classifier(spark, sf_dir):
+    return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op2_ngram_join(spark, sf_dir):
     return ngram_join(table(spark, sf_dir, "documents"))
 
@@ -145,5 +150,5 @@ SELECT e.vec_id, coalesce(n.n_links, 0) AS n_links, coalesce(c.low, e.vec_id) AS
 FROM embeddings e LEFT JOIN n ON e.vec_id = n.vec_id LEFT JOIN c ON e.vec_id = c.vec_id
 """
 
-QUERIES = {"op2_ngram_join": op2_ngram_join, "op5_token_counts": op5_token_counts, "op6_best_fit_packing": op6_best_fit_packing, "op7_line_dedup": op7_line_dedup, "op8_reply_trees": op8_reply_trees, "op9_quality_rules": op9_quality_rules, "op10_pivot_dedup": op10_pivot_dedup}
+QUERIES = {"op1_quality_classifier": op1_quality_classifier, "op2_ngram_join": op2_ngram_join, "op5_token_counts": op5_token_counts, "op6_best_fit_packing": op6_best_fit_packing, "op7_line_dedup": op7_line_dedup, "op8_reply_trees": op8_reply_trees, "op9_quality_rules": op9_quality_rules, "op10_pivot_dedup": op10_pivot_dedup}
 SQL = {"op2_ngram_join": OP2_SQL, "op7_line_dedup": OP7_SQL, "op9_quality_rules": OP9_SQL, "op10_pivot_dedup": OP10_SQL}
