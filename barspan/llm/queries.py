@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from barspan.llm.chat import chains, parse_turns, reply_trees, unescape
 from barspan.llm.common import table
 from barspan.llm.line_dedup import line_dedup
+from barspan.llm.mixing import mix
 from barspan.llm.ngram_join import ngram_join
 from barspan.llm.packing import best_fit_packing
 from barspan.llm.pivot_dedup import pivot_dedup
@@ -51,6 +52,11 @@ FROM documents d LEFT JOIN c ON d.doc_id = c.doc_id LEFT JOIN m ON d.doc_id = m.
 """
 
 
+def op4_mixing(spark, sf_dir):
+    mixed = mix(table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source"))
+    return mixed.select("doc_id", "source", "lang", F.col("_topic").alias("topic"), F.col("_tokens").alias("n_tokens"), F.round("_rate", 9).alias("rate"), F.col("_kept").alias("kept"))
+
+
 def op5_token_counts(spark, sf_dir):
     return token_counts(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
 
@@ -150,5 +156,5 @@ SELECT e.vec_id, coalesce(n.n_links, 0) AS n_links, coalesce(c.low, e.vec_id) AS
 FROM embeddings e LEFT JOIN n ON e.vec_id = n.vec_id LEFT JOIN c ON e.vec_id = c.vec_id
 """
 
-QUERIES = {"op1_quality_classifier": op1_quality_classifier, "op2_ngram_join": op2_ngram_join, "op5_token_counts": op5_token_counts, "op6_best_fit_packing": op6_best_fit_packing, "op7_line_dedup": op7_line_dedup, "op8_reply_trees": op8_reply_trees, "op9_quality_rules": op9_quality_rules, "op10_pivot_dedup": op10_pivot_dedup}
+QUERIES = {"op1_quality_classifier": op1_quality_classifier, "op2_ngram_join": op2_ngram_join, "op4_mixing": op4_mixing, "op5_token_counts": op5_token_counts, "op6_best_fit_packing": op6_best_fit_packing, "op7_line_dedup": op7_line_dedup, "op8_reply_trees": op8_reply_trees, "op9_quality_rules": op9_quality_rules, "op10_pivot_dedup": op10_pivot_dedup}
 SQL = {"op2_ngram_join": OP2_SQL, "op7_line_dedup": OP7_SQL, "op9_quality_rules": OP9_SQL, "op10_pivot_dedup": OP10_SQL}
