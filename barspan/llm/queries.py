@@ -18,6 +18,7 @@ from barspan.llm.pivot_dedup import pivot_dedup
 from barspan.llm.pu_quality import quality_scores
 from barspan.llm.quality_rules import RULES, STOP_WORDS, quality_rules
 from barspan.llm.token_cache import token_counts
+from barspan.llm.warc import responses_of_pages, warc_derivatives
 
 
 def vocabulary(name: str) -> str:
@@ -52,6 +53,15 @@ FROM documents d LEFT JOIN c ON d.doc_id = c.doc_id LEFT JOIN m ON d.doc_id = m.
 """
 
 
+def op3_warc_derivatives(spark, sf_dir):
+    derived = warc_derivatives(responses_of_pages(table(spark, sf_dir, "pages")))
+    h = lambda name: F.col("headers")[name]
+    return derived.select(
+        "source_id", "warc_type", "record_id", h("WARC-Refers-To").alias("refers_to"), h("WARC-Target-URI").alias("target_uri"), h("WARC-Date").alias("warc_date"),
+        h("X-Source-Content-Type").alias("source_content_type"), h("WARC-Block-Digest").alias("block_digest"), h("Content-Length").cast("long").alias("content_length"), "block",
+    )
+
+
 def op4_mixing(spark, sf_dir):
     mixed = mix(table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source"))
     return mixed.select("doc_id", "source", "lang", F.col("_topic").alias("topic"), F.col("_tokens").alias("n_tokens"), F.round("_rate", 9).alias("rate"), F.col("_kept").alias("kept"))
@@ -156,5 +166,5 @@ SELECT e.vec_id, coalesce(n.n_links, 0) AS n_links, coalesce(c.low, e.vec_id) AS
 FROM embeddings e LEFT JOIN n ON e.vec_id = n.vec_id LEFT JOIN c ON e.vec_id = c.vec_id
 """
 
-QUERIES = {"op1_quality_classifier": op1_quality_classifier, "op2_ngram_join": op2_ngram_join, "op4_mixing": op4_mixing, "op5_token_counts": op5_token_counts, "op6_best_fit_packing": op6_best_fit_packing, "op7_line_dedup": op7_line_dedup, "op8_reply_trees": op8_reply_trees, "op9_quality_rules": op9_quality_rules, "op10_pivot_dedup": op10_pivot_dedup}
+QUERIES = {"op1_quality_classifier": op1_quality_classifier, "op2_ngram_join": op2_ngram_join, "op3_warc_derivatives": op3_warc_derivatives, "op4_mixing": op4_mixing, "op5_token_counts": op5_token_counts, "op6_best_fit_packing": op6_best_fit_packing, "op7_line_dedup": op7_line_dedup, "op8_reply_trees": op8_reply_trees, "op9_quality_rules": op9_quality_rules, "op10_pivot_dedup": op10_pivot_dedup}
 SQL = {"op2_ngram_join": OP2_SQL, "op7_line_dedup": OP7_SQL, "op9_quality_rules": OP9_SQL, "op10_pivot_dedup": OP10_SQL}
