@@ -9,7 +9,10 @@ from pyspark.sql import functions as F
 
 from barspan.functions.scalars import align, timeframe_ms
 
-BY_SYMBOL = Window.partitionBy("symbol").orderBy("bar_ts")
+
+def by_symbol():
+    """The order that all bar operators share, so that one exchange by symbol serves them all."""
+    return Window.partitionBy("symbol").orderBy("bar_ts")
 
 
 def step_interval(timeframe: str) -> Column:
@@ -44,7 +47,7 @@ def seen_before(arrivals: DataFrame, ts: str = "bar_ts", arrival: str = "arrival
 def missing_bars(bars: DataFrame, timeframe: str) -> DataFrame:
     """Every grid step between two consecutive bars of a symbol: (symbol, bar_ts)."""
     step = step_interval(timeframe)
-    gaps = bars.select("symbol", "bar_ts", F.lag("bar_ts").over(BY_SYMBOL).alias("_from")).filter(F.col("bar_ts") > F.col("_from") + step)
+    gaps = bars.select("symbol", "bar_ts", F.lag("bar_ts").over(by_symbol()).alias("_from")).filter(F.col("bar_ts") > F.col("_from") + step)
     return gaps.select("symbol", F.explode(F.sequence(F.col("_from") + step, F.col("bar_ts") - step, step)).alias("bar_ts"))
 
 
@@ -66,7 +69,7 @@ def missing_ranges(bars: DataFrame, timeframe: str, start: str, end: str) -> Dat
     none = ends.filter("first is null").select("symbol", lo.alias("from_ts"), hi.alias("to_ts"))
     head = ends.filter(F.col("first") > lo).select("symbol", lo.alias("from_ts"), (F.col("first") - step).alias("to_ts"))
     tail = ends.filter(F.col("last") + step <= hi).select("symbol", (F.col("last") + step).alias("from_ts"), hi.alias("to_ts"))
-    inner = held.select("symbol", "bar_ts", F.lag("bar_ts").over(BY_SYMBOL).alias("_from")).filter(F.col("bar_ts") > F.col("_from") + step).select("symbol", (F.col("_from") + step).alias("from_ts"), (F.col("bar_ts") - step).alias("to_ts"))
+    inner = held.select("symbol", "bar_ts", F.lag("bar_ts").over(by_symbol()).alias("_from")).filter(F.col("bar_ts") > F.col("_from") + step).select("symbol", (F.col("_from") + step).alias("from_ts"), (F.col("bar_ts") - step).alias("to_ts"))
     return reduce(DataFrame.unionByName, [none, head, tail, inner])
 
 
@@ -88,7 +91,7 @@ def quality_report(bars: DataFrame, timeframe: str, outlier_z: float | None = No
     report = bars.select("symbol").distinct().join(missing, "symbol", "left")
     if outlier_z is None:
         return report.select("symbol", F.coalesce("missing", F.lit(0)).alias("missing"), F.lit(0).cast("long").alias("outliers"))
-    r = bars.select("symbol", (F.ln("close") - F.ln(F.lag("close").over(BY_SYMBOL))).alias("r"))
+    r = bars.select("symbol", (F.ln("close") - F.ln(F.lag("close").over(by_symbol()))).alias("r"))
     z = r.join(r.groupBy("symbol").agg(F.avg("r").alias("m"), F.stddev_pop("r").alias("s")), "symbol").filter(F.abs(F.col("r") - F.col("m")) > outlier_z * F.col("s"))
     out = z.groupBy("symbol").agg(F.count("*").alias("outliers"))
     return report.join(out, "symbol", "left").select("symbol", F.coalesce("missing", F.lit(0)).alias("missing"), F.coalesce("outliers", F.lit(0)).alias("outliers"))
@@ -104,7 +107,7 @@ def locf(bars: DataFrame, times: DataFrame, value: str = "close") -> DataFrame:
     starts = bars.groupBy("symbol").agg(F.min("bar_ts").alias("_start"), F.max("bar_ts").alias("_end"))
     dense = times.join(starts, times["bar_ts"] >= starts["_start"]).select("symbol", "bar_ts")
     joined = dense.join(bars.select("symbol", "bar_ts", value), ["symbol", "bar_ts"], "left")
-    carried = F.last(value, ignorenulls=True).over(BY_SYMBOL.rowsBetween(Window.unboundedPreceding, 0))
+    carried = F.last(value, ignorenulls=True).over(by_symbol().rowsBetween(Window.unboundedPreceding, 0))
     return joined.select("symbol", "bar_ts", carried.alias(value))
 
 

@@ -67,7 +67,7 @@ def _bars_sql(symbol: str) -> str:
 
 
 def _event_sql(ms: int) -> str:
-    return f"""SELECT event_type AS symbol, make_timestamp((epoch_ms(ts) // {ms}) * {ms} * 1000) AS bar_ts, arg_min(value, row(ts, event_id)) AS open, max(value) AS high, min(value) AS low,
+    return f"""SELECT event_type AS symbol, make_timestamp((epoch_us(ts) // {ms * 1000}) * {ms * 1000}) AS bar_ts, arg_min(value, row(ts, event_id)) AS open, max(value) AS high, min(value) AS low,
     arg_max(value, row(ts, event_id)) AS close, count(*)::DOUBLE AS volume FROM events WHERE value > 0 GROUP BY 1, 2"""
 
 
