@@ -1,10 +1,8 @@
 """Explicit schemas of the tables that operators exchange."""
 
-from pyspark.sql import types as T
-
-BARS = T.StructType.fromDDL("symbol string, bar_ts timestamp_ntz, open double, high double, low double, close double, volume double")
-FUNDING = T.StructType.fromDDL("symbol string, ts timestamp_ntz, rate double")
-PREDICTIONS = T.StructType.fromDDL("timestamp string, timestamp_ms long, symbol string, y_pred_logret double, y_true_logret double")
-MANIFEST = T.StructType.fromDDL("symbol string, timeframe string, lookback int, retrain_days int, artifact_dir string")
+BARS = "symbol string, bar_ts timestamp_ntz, open double, high double, low double, close double, volume double"
+FUNDING = "symbol string, ts timestamp_ntz, rate double"
+PREDICTIONS = "timestamp string, timestamp_ms long, symbol string, y_pred_logret double, y_true_logret double"
+MANIFEST = "symbol string, timeframe string, lookback int, retrain_days int, artifact_dir string"
 #: Order of the features in windows and sequences.
-FEATURES = ("log_return", "log_volume", "mom_3", "mom_15", "rsi_innov", "atr_innov", "obv_tilt", "funding")
+FEATURES = "log_return", "log_volume", "mom_3", "mom_15", "rsi_innov", "atr_innov", "obv_tilt", "funding"
