@@ -1 +1,238 @@
+"""Queries on sources, sinks and streams: data goes out in the formats of the sources and is read back."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from barspan.functions.scalars import UNIT_MS
+from barspan.operators import grid as G
+from barspan.plans import fixtures as X
+from barspan.plans.bars_plans import r, with_tables
+from barspan.sources import readers as A
+from barspan.sources.scratch import scratch_path
+from barspan.streaming import bars as M
+
 QUERIES, SQL = {}, {}
+
+
+def query(name: str, tables: str = "", sql: str | None = None):
+    def add(f):
+        QUERIES[name] = f
+        if sql is not None:
+            SQL[name] = with_tables(tables, sql) if tables else sql
+        return f
+
+    return add
+
+
+@query("a01_read_bars", "bars", "SELECT symbol, bar_ts, round(close, 8) AS close, volume FROM bars WHERE symbol = 'AF'")
+def _(s, d):
+    path = scratch_path(s, "bars")
+    A.write_bars(X.daily_bars(s, d), path, "1d")
+    return A.read_bars(s, path).filter("symbol = 'AF'").select("symbol", "bar_ts", r("close"), "volume")
+
+
+@query("a01_read_bars_csv", "bars", "SELECT symbol, bar_ts, round(close, 6) AS close, volume FROM bars")
+def _(s, d):
+    path = scratch_path(s, "bars-csv")
+    X.daily_bars(s, d).write.csv(path, header=True)
+    return A.read_bars(s, path, "csv").select("symbol", "bar_ts", r("close", 6), "volume")
+
+
+@query("a02_upsert_bars", "bars", "SELECT symbol, bar_ts, round(CASE WHEN bar_ts >= TIMESTAMP '1998-01-01' THEN close + 1 ELSE close END, 8) AS close FROM bars")
+def _(s, d):
+    b = X.daily_bars(s, d)
+    new = b.filter(F.col("bar_ts") >= F.lit("1998-01-01").cast("timestamp_ntz")).withColumn("close", F.col("close") + 1)
+    return A.upsert(b, new, ["symbol", "bar_ts"]).select("symbol", "bar_ts", r("close"))
+
+
+@query("a03_missing_ranges", "hbars", """, e AS (SELECT symbol, min(bar_ts) AS a, max(bar_ts) AS z FROM hbars WHERE bar_ts BETWEEN TIMESTAMP '2023-12-31' AND TIMESTAMP '2024-02-02' GROUP BY symbol)
+SELECT symbol, TIMESTAMP '2023-12-31' AS from_ts, a - INTERVAL 1 HOUR AS to_ts FROM e WHERE a > TIMESTAMP '2023-12-31' UNION ALL SELECT symbol, z + INTERVAL 1 HOUR, TIMESTAMP '2024-02-02' FROM e WHERE z + INTERVAL 1 HOUR <= TIMESTAMP '2024-02-02'
+UNION ALL SELECT symbol, p + INTERVAL 1 HOUR, bar_ts - INTERVAL 1 HOUR FROM (SELECT symbol, bar_ts, lag(bar_ts) OVER (PARTITION BY symbol ORDER BY bar_ts) AS p FROM hbars WHERE bar_ts BETWEEN TIMESTAMP '2023-12-31' AND TIMESTAMP '2024-02-02') WHERE bar_ts > p + INTERVAL 1 HOUR""")
+def _(s, d):
+    return G.missing_ranges(X.event_bars(s, d, "1h"), "1h", "2023-12-31", "2024-02-02")
+
+
+def _raw(s, d):
+    """Klines on the wire; every 50th is cut to five fields."""
+    k = A.encode_klines(X.daily_bars(s, d), "1d", UNIT_MS["d"])
+    cut = F.when(F.dayofyear(F.timestamp_millis(F.get("k", F.lit(0)).cast("long"))) % 50 == 0, F.slice("k", 1, 5)).otherwise(F.col("k"))
+    return k.select("symbol", "timeframe", F.to_json(cut).alias("raw"))
+
+
+_KLINES = "SELECT symbol, bar_ts, round(open, 5) AS open, round(close, 5) AS close, bar_ts + INTERVAL 1 DAY - INTERVAL 1 MILLISECOND AS close_ts FROM bars WHERE dayofyear(bar_ts) % 50 <> 0"
+
+
+@query("a04_decode_klines", "bars", _KLINES)
+def _(s, d):
+    return A.decode_klines(_raw(s, d)).select("symbol", "bar_ts", r("open", 5), r("close", 5), "close_ts")
+
+
+@query("a06_read_funding", "funding", "SELECT symbol, ts, round(rate, 8) AS rate FROM funding")
+def _(s, d):
+    path = scratch_path(s, "funding")
+    f = X.funding(s, d)
+    ms = F.unix_millis(F.col("ts").cast("timestamp")).cast("string")
+    text = F.when(F.dayofmonth("ts") % 2 == 0, F.date_format("ts", "yyyy-MM-dd HH:mm:ss")).otherwise(ms)
+    bad = s.createDataFrame([("AF", "not a time", "0.1"), ("AF", "2020-01-01", "x")], "symbol string, timestamp string, rate string")
+    f.select("symbol", text.alias("timestamp"), F.col("rate").cast("string").alias("rate")).unionByName(bad).write.csv(path, header=True)
+    return A.read_funding(s, path).select("symbol", "ts", r("rate"))
+
+
+def _feed(s, d):
+    from barspan.plans.portfolio_plans import predictions
+
+    path = scratch_path(s, "predictions")
+    p = predictions(s, d)
+    ms = F.unix_millis(F.col("ts").cast("timestamp"))
+    rows = p.select(F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("timestamp"), F.when(F.dayofmonth("ts") % 2 == 0, ms).alias("timestamp_ms"), F.lower("symbol").alias("symbol"), "y_pred_logret", "y_true_logret", p.step.alias("part"))
+    rows.write.partitionBy("part").csv(path, header=True)
+    return A.read_predictions(s, f"{path}/part=*", "1996-01-01", "1996-12-31")
+
+
+_PREDS = "p AS (SELECT symbol, bar_ts, 0.1 * lag(log_ret) OVER (PARTITION BY symbol ORDER BY bar_ts) + 0.001 * (day(bar_ts) % 3 - 1) AS v, log_ret FROM rets)"
+
+
+@query("a07_read_predictions", "rets", f", {_PREDS} SELECT symbol, epoch_us(bar_ts) // 1000 AS timestamp_ms, round(v, 8) AS y_pred_logret FROM p WHERE v IS NOT NULL AND log_ret IS NOT NULL AND bar_ts BETWEEN TIMESTAMP '1996-01-01' AND TIMESTAMP '1996-12-31'")
+def _(s, d):
+    return _feed(s, d).select("symbol", "timestamp_ms", r("y_pred_logret"))
+
+
+@query("a08_prediction_index", "rets", f", {_PREDS} SELECT epoch_us(bar_ts) // 1000 AS timestamp_ms, count(*) AS n, round(sum(v), 7) AS total FROM p WHERE v IS NOT NULL AND log_ret IS NOT NULL AND bar_ts BETWEEN TIMESTAMP '1996-01-01' AND TIMESTAMP '1996-12-31' GROUP BY 1")
+def _(s, d):
+    x = A.prediction_index(_feed(s, d))
+    return x.select("timestamp_ms", F.size("values").cast("long").alias("n"), F.round(F.aggregate(F.map_values("values"), F.lit(0.0), lambda a, v: a + v), 7).alias("total"))
+
+
+@query("a10_read_manifest")
+def _(s, d):
+    path = scratch_path(s, "manifest")
+    m = X.daily_bars(s, d).select("symbol").distinct().select("symbol", F.concat(F.lit("models/"), "symbol").alias("artifact_dir"), F.when(F.col("symbol") > "N", 32).alias("lookback"))
+    m.agg(F.to_json(F.collect_list(F.struct(*m.columns)))).write.text(path)  # one entry for each symbol with a model
+    return A.read_manifest(s, path)
+
+
+@query("a11_latest_model_version", sql="SELECT symbol, coalesce(max(path) FILTER (step IS NULL), arg_max(path, step)) AS path FROM (SELECT concat('S', s_suppkey % 7) AS symbol, concat('models/S', s_suppkey % 7, CASE WHEN s_suppkey % 7 = 3 AND s_suppkey < 5 THEN '' ELSE concat('/step_', lpad(s_suppkey::VARCHAR, 4, '0')) END, '/m.pt') AS path, CASE WHEN s_suppkey % 7 = 3 AND s_suppkey < 5 THEN NULL ELSE s_suppkey END AS step FROM supplier) GROUP BY symbol")
+def _(s, d):
+    k = F.col("s_suppkey")
+    symbol = F.concat(F.lit("S"), (k % 7).cast("string"))
+    folder = F.when((k % 7 == 3) & (k < 5), "").otherwise(F.concat(F.lit("/step_"), F.lpad(k.cast("string"), 4, "0")))
+    return A.latest_model_version(X.read(s, d, "supplier").select(symbol.alias("symbol"), F.concat(F.lit("models/"), symbol, folder, F.lit("/m.pt")).alias("path")))
+
+
+def _info(s, d):
+    k = F.col("p_partkey")
+    lot = F.struct(F.lit("LOT_SIZE").alias("filterType"), (k % 10 / 1000).alias("stepSize"), (k % 5 / 100).alias("minQty"), F.lit(None).cast("double").alias("notional"))
+    least = F.struct(F.lit("MIN_NOTIONAL").alias("filterType"), F.lit(None).cast("double").alias("stepSize"), F.lit(None).cast("double").alias("minQty"), (k % 20).cast("double").alias("notional"))
+    one = F.struct(F.concat(F.lit("P"), k.cast("string"), F.lit("USDT")).alias("symbol"), F.when(k % 3 == 0, "PERPETUAL").otherwise("QUARTER").alias("contractType"), F.lit("USDT").alias("quoteAsset"), F.when(k % 4 == 0, F.array(lot)).otherwise(F.array(lot, least)).alias("filters"))
+    return X.read(s, d, "part").groupBy((k % 16).alias("page")).agg(F.collect_list(one).alias("symbols"))
+
+
+@query("a12_eligible_caps", sql="SELECT concat('P', p_partkey, 'USDT') AS symbol, p_retailprice AS cap FROM part WHERE p_partkey % 3 = 0 ORDER BY cap DESC, symbol LIMIT 50")
+def _(s, d):
+    caps = X.read(s, d, "part").select(F.concat(F.lit("p"), F.col("p_partkey").cast("string")).alias("coin"), F.col("p_retailprice").alias("cap"))
+    return A.eligible_caps(caps, A.perpetual_contracts(_info(s, d)), 50)
+
+
+@query("a13_perpetual_contracts", sql="SELECT concat('P', p_partkey, 'USDT') AS symbol FROM part WHERE p_partkey % 3 = 0")
+def _(s, d):
+    return A.perpetual_contracts(_info(s, d)).select("symbol")
+
+
+@query("a14_symbol_filters", sql="SELECT concat('P', p_partkey, 'USDT') AS symbol, round(p_partkey % 10 / 1000, 6) AS step_size, round(p_partkey % 5 / 100, 6) AS min_qty, greatest(5, CASE WHEN p_partkey % 4 = 0 THEN 0 ELSE p_partkey % 20 END)::DOUBLE AS min_notional FROM part")
+def _(s, d):
+    return A.symbol_filters(_info(s, d), 5.0).select("symbol", r("step_size", 6), r("min_qty", 6), "min_notional")
+
+
+@query("a20_account_metrics", sql="SELECT c_custkey AS account, round(c_acctbal, 2) AS wallet, round(coalesce(sum(o_totalprice) / 1e4, 0), 7) AS unrealized, round(coalesce(sum(o_totalprice) / 100, 0), 5) AS margin, round(coalesce(sum(o_totalprice) / nullif(any_value(c_acctbal), 0) * 100, 0), 2) AS exposure_pct, count(o_orderkey) FILTER (o_orderkey % 3 > 0) AS open_positions FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY c_custkey, c_acctbal")
+def _(s, d):
+    b = X.read(s, d, "customer").select(F.col("c_custkey").alias("account"), F.col("c_acctbal").alias("wallet"))
+    t = F.col("o_totalprice")
+    p = X.read(s, d, "orders").select(F.col("o_custkey").alias("account"), (t / 1e4).alias("unrealized"), (t / 100).alias("margin"), t.alias("notional"), (F.col("o_orderkey") % 3).alias("amount"))
+    return A.account_metrics(b, p).select("account", r("wallet", 2), r("unrealized", 7), r("margin", 5), r("exposure_pct", 2), "open_positions")
+
+
+@query("a16_monitoring_sink")
+def _(s, d):
+    path = scratch_path(s, "monitoring")
+    A.append_monitoring(G.quality_report(X.event_bars(s, d, "1h"), "1h"), path)
+    A.append_monitoring(G.quality_report(X.event_bars(s, d, "8h"), "8h"), path)
+    return s.read.schema("symbol string, missing long, outliers long").json(path)
+
+
+# M: streams over landed events
+def _ticks(s, d):
+    t = s.readStream.schema(X.read(s, d, "events").schema).option("pathGlobFilter", "events.parquet").parquet(d)
+    return t.filter("value > 0").select(F.col("event_type").alias("symbol"), F.col("ts").cast("timestamp").alias("event_ts"), F.col("value").alias("px"), F.col("event_id").alias("seq"))
+
+
+def _done(s, stream, mode="append"):
+    return M.run_available(stream, scratch_path(s, "stream"), scratch_path(s, "stream-state"), mode)
+
+
+def _ntz(*names):
+    return [F.col(n).cast("timestamp_ntz").alias(n) for n in names]
+
+
+@query("m01_stream_klines", "bars", _KLINES)
+def _(s, d):
+    path = scratch_path(s, "landed")
+    _raw(s, d).write.json(path)
+    bars = _done(s, M.closed_only(M.stream_klines(s, path)))
+    return bars.select("symbol", "bar_ts", r("open", 5), r("close", 5), "close_ts")
+
+
+@query("m03_stream_distinct_steps", "ebars", "SELECT symbol, bar_ts FROM ebars")
+def _(s, d):
+    x = _done(s, M.distinct_steps(_ticks(s, d), "8h", "60 days"))
+    return x.select("symbol", F.col("event_ts").cast("timestamp_ntz").alias("bar_ts"))
+
+
+def _landed_bars(s, d, timeframe):
+    path = scratch_path(s, "landed-bars")
+    X.event_bars(s, d, timeframe).withColumn("event_ts", F.col("bar_ts").cast("timestamp")).drop("bar_ts").write.parquet(path)
+    return s.readStream.schema("symbol string, open double, high double, low double, close double, volume double, event_ts timestamp").parquet(path)
+
+
+@query("m05_stream_gaps", "hbars", "SELECT symbol, unnest(generate_series(p + INTERVAL 1 HOUR, bar_ts - INTERVAL 1 HOUR, INTERVAL 1 HOUR)) AS bar_ts FROM (SELECT symbol, bar_ts, lag(bar_ts) OVER (PARTITION BY symbol ORDER BY bar_ts) AS p FROM hbars) WHERE bar_ts > p + INTERVAL 1 HOUR")
+def _(s, d):
+    return _done(s, M.gaps(_landed_bars(s, d, "1h"), "1h")).select("symbol", *_ntz("bar_ts"))
+
+
+@query("m06_live_features", "ebars", """, b AS (SELECT *, ln(close) - ln(lag(close) OVER w) AS log_ret, (row_number() OVER w - 1)::DOUBLE AS i FROM ebars WINDOW w AS (PARTITION BY symbol ORDER BY bar_ts))
+SELECT symbol, bar_ts, round(log_ret, 8) AS log_ret, round(sum(log_ret) OVER t / CASE WHEN sum(log_ret * log_ret) OVER t = 0 THEN 1e-9 ELSE sqrt(sum(log_ret * log_ret) OVER t) END, 8) AS mom_3,
+round(power(19.0::DOUBLE / 21, i) * sum(CASE WHEN i = 0 THEN close ELSE close * 2 / 21 END * power(19.0::DOUBLE / 21, -i)) OVER (PARTITION BY symbol ORDER BY bar_ts), 6) AS ema
+FROM b WINDOW t AS (PARTITION BY symbol ORDER BY bar_ts ROWS BETWEEN 2 PRECEDING AND CURRENT ROW)""")
+def _(s, d):
+    return _done(s, M.live_features(_landed_bars(s, d, "8h"))).select("symbol", *_ntz("bar_ts"), r("log_ret"), r("mom_3"), r("ema", 6))
+
+
+@query("m07_stream_funding", "ebars", "SELECT symbol, bar_ts, round(CASE WHEN day(bar_ts) % 2 = 0 THEN 0.001::DOUBLE * day(bar_ts) ELSE 0 END, 8) AS funding FROM ebars")
+def _(s, d):
+    f = X.event_bars(s, d, "8h").filter("dayofmonth(bar_ts) % 2 = 0").select("symbol", F.col("bar_ts").alias("ts"), (0.001 * F.dayofmonth("bar_ts")).alias("rate"))
+    x = _done(s, M.with_funding(_landed_bars(s, d, "8h"), f))
+    return x.select("symbol", F.col("event_ts").cast("timestamp_ntz").alias("bar_ts"), r("funding"))
+
+
+@query("m08_stream_dollar_volume", "ebars", "SELECT symbol, date_trunc('day', bar_ts)::TIMESTAMP AS day, round(sum(close * volume), 4) AS dollar_volume FROM ebars GROUP BY 1, 2")
+def _(s, d):
+    return _done(s, M.daily_dollar_volume(_landed_bars(s, d, "8h")), "complete").select("symbol", *_ntz("day"), r("dollar_volume", 4))
+
+
+@query("m09_stream_bars", "ebars", "SELECT * FROM ebars")
+def _(s, d):
+    return _done(s, M.tick_bars(_ticks(s, d), "8h"), "complete").select("symbol", *_ntz("bar_ts"), "open", "high", "low", "close", "volume")
+
+
+@query("m10_stream_new_forecasts", "ebars", "SELECT DISTINCT bar_ts FROM ebars")
+def _(s, d):
+    return _done(s, M.new_forecasts(_landed_bars(s, d, "8h"), "60 days")).select(F.col("event_ts").cast("timestamp_ntz").alias("bar_ts"))
+
+
+@query("m11_stream_alerts", "ebars", "SELECT symbol, 'close' AS metric, close AS value, 10.0::DOUBLE AS max_value FROM ebars WHERE close > 10")
+def _(s, d):
+    path = scratch_path(s, "alerts")
+    long = _landed_bars(s, d, "8h").select("symbol", F.lit("close").alias("metric"), F.col("close").alias("value"))
+    limits = s.createDataFrame([("close", 10.0)], "metric string, max_value double")
+    M.alert_batches(long, limits, path, scratch_path(s, "alerts-state")).awaitTermination()
+    return s.read.schema("symbol string, metric string, value double, max_value double").json(path)
