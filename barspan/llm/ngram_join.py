@@ -86,7 +86,7 @@ def may_match(n: int, p: bytes, m: int, q: bytes) -> bool:
     return 9 * int(np.bitwise_count(a ^ b).sum()) <= n + m
 
 
-_SETS = "doc_id long, n_shingles long, digest binary, light array<long>, heavy array<long>, parity binary"
+_SETS = "doc_id long, text_key long, n_shingles long, digest binary, light array<long>, heavy array<long>, parity binary"
 
 
 def _sets(size: int, heavy: np.ndarray, rank: np.ndarray):
@@ -110,8 +110,8 @@ def _sets(size: int, heavy: np.ndarray, rank: np.ndarray):
                 late.append((common & _MASK).view(np.int64).tolist())
             longs = pa.list_(pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(ns, pa.int64()), pa.array(digests, pa.binary()), pa.array(light, longs), pa.array(late, longs), pa.array(parities, pa.binary())],
-                names=["doc_id", "n_shingles", "digest", "light", "heavy", "parity"],
+                [batch.column(0), batch.column(2), pa.array(ns, pa.int64()), pa.array(digests, pa.binary()), pa.array(light, longs), pa.array(late, longs), pa.array(parities, pa.binary())],
+                names=["doc_id", "text_key", "n_shingles", "digest", "light", "heavy", "parity"],
             )
 
     return run
@@ -207,7 +207,11 @@ class InvertedLists:
 
 
 def _t_occurrence(size: int):
-    """Links among the documents of one bucket: those marked as queries are searched in the lists of the others."""
+    """Links among the documents of one bucket: those marked as queries are searched in the lists of the others.
+
+    Of the links found, those are returned that join components which earlier links of the bucket, or earlier rounds,
+    have left apart; they connect what all of them do.
+    """
 
     def run(key, t):
         import zstandard
@@ -217,13 +221,23 @@ def _t_occurrence(size: int):
         sets = [shingles(unpack(b), size) for b in t["packed"].to_pylist()]
         index = [i for i, x in enumerate(t["indexed"].to_pylist()) if x]
         held = InvertedLists([sets[i] for i in index])
-        src, dst = [], []
+        src, dst, top = [], [], {}
+
+        def find(c):
+            while (up := top.get(c, c)) != c:
+                top[c] = top.get(up, up)
+                c = up
+            return c
+
+        part = t["component"].to_pylist()
         for i, asks in enumerate(t["asks"].to_pylist()):
             if asks:
                 n = len(sets[i])
                 for k, both in held.search(sets[i], least_overlap(n)):
                     j = index[k]
-                    if ids[j] != ids[i] and 100 * both >= 80 * (n + len(sets[j]) - both):
+                    a, b = find(part[i]), find(part[j])
+                    if a != b and 100 * both >= 80 * (n + len(sets[j]) - both):
+                        top[max(a, b)] = min(a, b)
                         src.append(ids[i])
                         dst.append(ids[j])
         return pa.table({"src": pa.array(src, pa.int64()), "dst": pa.array(dst, pa.int64())})
@@ -236,16 +250,20 @@ def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     pack = zstandard.ZstdCompressor(level=3).compress
     for batch in batches:
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([pack(x.as_py()) for x in batch.column(1)], pa.binary())], names=["doc_id", "packed"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([pack(x.as_py()) for x in batch.column(1)], pa.binary()), batch.column(2)], names=["doc_id", "packed", "text_key"])
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, size: int, pairs_a_task: int) -> DataFrame:
-    """The links among candidate pairs (a asks, b is indexed), searched in buckets of about pairs_a_task pairs."""
+def _verified(pairs: DataFrame, texts: DataFrame, size: int, pairs_a_task: int, components: DataFrame | None = None) -> DataFrame:
+    """Links that join components (or documents), among candidate pairs (a asks, b is indexed), in buckets of about pairs_a_task."""
     buckets = max(1, -(-pairs.count() // pairs_a_task))
     bucket = F.pmod(F.xxhash64("a"), F.lit(buckets)).alias("bucket")
     asks = pairs.select(bucket, F.col("a").alias("doc_id"), F.lit(True).alias("asks"), F.lit(False).alias("indexed"))
     indexed = pairs.select(bucket, F.col("b").alias("doc_id"), F.lit(False).alias("asks"), F.lit(True).alias("indexed"))
     dealt = asks.unionByName(indexed).groupBy("bucket", "doc_id").agg(F.max("asks").alias("asks"), F.max("indexed").alias("indexed"))
+    if components is not None:
+        dealt = dealt.join(components.withColumnRenamed("rep", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
+    else:
+        dealt = dealt.withColumn("component", F.col("doc_id"))
     return dealt.join(texts, "doc_id").groupBy("bucket").applyInArrow(_t_occurrence(size), "src long, dst long")
 
 
@@ -254,20 +272,22 @@ def ngram_join(docs: DataFrame, size: int = 5, heavy_tokens: int = 100_000, bloc
 
     A set holds the distinct n-grams of the text's words after A-Z are lower-cased (one n-gram if there are fewer words).
     Null and empty texts, and those without words, hold none and link with nothing. Equal sets are one class; only its
-    smallest doc_id takes part in the search. Rows that share a doc_id are one document with several texts in the result's
-    component_id and a row each; rows without doc_id link with nothing and have no component. An empty table gives an
-    empty table, and columns other than doc_id and text are ignored.
+    smallest doc_id takes part in the search. Rows that repeat are a row each in the result; where rows share a doc_id but
+    not a text, the set with the least digest is the one that is searched in that doc_id's name. Rows without doc_id link
+    with nothing and have no component. An empty table gives an empty table, and columns other than doc_id and text are
+    ignored.
 
     Two similar sets share a shingle among the first fifth of each in any common order. Here frequent shingles come last;
     which ones count as frequent (at most heavy_tokens, found over all documents) changes the work and not the result.
-    1. Each group of documents with a prefix shingle in common is searched against its smallest member, a star.
-    2. Groups that hold several components after that are gone through pair by pair across components, in blocks of
+    1. Each group of documents with a prefix shingle in common is searched against its smallest member, a star; groups
+       that hold several components after that, against one more member, which each shingle picks by hash.
+    2. Groups that still hold several components are gone through pair by pair across components, in blocks of
        block_rows, inside the task: sizes and parity bits rule out most pairs, and what may match is searched too.
     So no link between unlike components is missed, and no group is expanded into all its pairs. Searches go in buckets:
     inverted lists over the bucket's indexed documents, DivideSkip for each asking one, then the exact condition.
     """
     spark = docs.sparkSession
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"), F.xxhash64("text").alias("text_key"))
     counts = rows.select("text").filter("text is not null").mapInArrow(_frequent(size), "token long, n long")
     top = counts.groupBy("token").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "token").limit(heavy_tokens).collect()
     tokens = np.array([r["token"] for r in top], np.int64).view(np.uint64)
@@ -276,8 +296,8 @@ def ngram_join(docs: DataFrame, size: int = 5, heavy_tokens: int = 100_000, bloc
 
     sets = materialize(rows.mapInArrow(_sets(size, heavy, rank), _SETS), "shingle-sets")
     classes = materialize(sets.filter("digest is not null and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("rep")), "set-classes")
-    mine = (F.col("doc_id") == F.col("rep")) & (F.col("digest") == F.col("of"))
-    reps = sets.join(classes.withColumnRenamed("digest", "of").hint("shuffle_hash"), mine, "left_semi")
+    searched = classes.groupBy("rep").agg(F.min("digest").alias("of"))
+    reps = sets.join(searched.hint("shuffle_hash"), (F.col("doc_id") == F.col("rep")) & (F.col("digest") == F.col("of")), "left_semi")
     chosen = materialize(reps.drop("digest"), "set-reps")
     info = chosen.select(F.col("doc_id").alias("rep"), "n_shingles", "parity").dropDuplicates(["rep"])
 
@@ -289,26 +309,38 @@ def ngram_join(docs: DataFrame, size: int = 5, heavy_tokens: int = 100_000, bloc
 
     # Rare shingles are dealt out once, for the aggregate and the join; frequent ones leave the skew to adaptive execution.
     members = materialize(groups("light", True).unionByName(groups("heavy", False)), "prefix-groups")
-    active = members.select(F.col("rep").alias("doc_id")).distinct()
-    packed = rows.filter("text is not null and doc_id is not null").mapInArrow(_pack, "doc_id long, packed binary")
-    texts = materialize(packed.join(active.hint("shuffle_hash"), "doc_id", "left_semi"), "active-texts").dropDuplicates(["doc_id"])
+    active = chosen.select("doc_id", "text_key").join(members.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi")
+    packed = rows.filter("text is not null and doc_id is not null").mapInArrow(_pack, "doc_id long, packed binary, text_key long")
+    texts = materialize(packed.join(active.hint("shuffle_hash"), ["doc_id", "text_key"], "left_semi").drop("text_key"), "active-texts").dropDuplicates(["doc_id"])
+
+    def likely(pairs: DataFrame, label: str) -> DataFrame:
+        of_a = info.select(F.col("rep").alias("a"), F.col("n_shingles").alias("n_a"), F.col("parity").alias("p_a"))
+        of_b = info.select(F.col("rep").alias("b"), F.col("n_shingles").alias("n_b"), F.col("parity").alias("p_b"))
+        sized = pairs.join(of_a, "a").join(of_b, "b").filter("5 * least(n_a, n_b) >= 4 * greatest(n_a, n_b)")
+        return materialize(sized.select("a", "n_a", "p_a", "b", "n_b", "p_b").mapInArrow(_likely_pairs, "a long, b long"), label)
 
     star = members.filter("rep <> pivot").select(F.col("rep").alias("a"), F.col("pivot").alias("b")).distinct()
-    of_a = info.select(F.col("rep").alias("a"), F.col("n_shingles").alias("n_a"), F.col("parity").alias("p_a"))
-    of_b = info.select(F.col("rep").alias("b"), F.col("n_shingles").alias("n_b"), F.col("parity").alias("p_b"))
-    sized = star.join(of_a, "a").join(of_b, "b").filter("5 * least(n_a, n_b) >= 4 * greatest(n_a, n_b)")
-    likely = materialize(sized.select("a", "n_a", "p_a", "b", "n_b", "p_b").mapInArrow(_likely_pairs, "a long, b long"), "star-pairs")
-    links = materialize(_verified(likely, texts, size, pairs_a_task), "star-links")
-    first = connected_components(links).withColumnRenamed("id", "rep")
+    links = materialize(_verified(likely(star, "star-pairs"), texts, size, pairs_a_task), "star-links")
+    wide = members.filter("n > 2").select("token", "rep", "n")
+    labelled = lambda c: wide.join(c, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
 
-    wide = members.filter("n > 2").select("token", "rep", "n").join(info, "rep").join(first, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-    mixed = wide.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high").select("token")
+    def mixed(rows: DataFrame) -> DataFrame:
+        of_token = rows.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.min_by("rep", F.xxhash64("rep", "token")).alias("other_pivot"))
+        return of_token.filter("low <> high").select("token", "other_pivot")
+
+    first = connected_components(links).withColumnRenamed("id", "rep")
+    apart = labelled(first)
+    again = apart.join(mixed(apart), "token").filter("rep <> other_pivot").select(F.col("rep").alias("a"), F.col("other_pivot").alias("b"), F.col("component").alias("c_a")).distinct()
+    again = again.join(first.select(F.col("rep").alias("b"), F.col("component").alias("c_b")), "b", "left").filter(F.col("c_a") != F.coalesce("c_b", "b")).select("a", "b")
+    links = links.unionByName(materialize(_verified(likely(again, "other-star-pairs"), texts, size, pairs_a_task, first), "other-star-links"))
+    components = connected_components(links).withColumnRenamed("id", "rep")
+    apart = labelled(components).join(info, "rep")
     blocks = F.ceil(F.col("n") / block_rows).cast("int")
     block = F.pmod(F.xxhash64("rep"), blocks).cast("int")
-    dealt = wide.join(mixed, "token").withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    dealt = apart.join(mixed(apart).select("token"), "token").withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
     keyed = dealt.select("token", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "rep", "n_shingles", "component", "parity")
     across = keyed.repartition("token", "lo", "hi").sortWithinPartitions("token", "lo", "hi").mapInArrow(_cross_pairs, "a long, b long").distinct()
-    second = materialize(_verified(materialize(across, "cross-pairs"), texts, size, pairs_a_task), "cross-links")
+    second = materialize(_verified(materialize(across, "cross-pairs"), texts, size, pairs_a_task, components), "cross-links")
     whole = connected_components(links.unionByName(second)).select(F.col("id").alias("rep"), "component")
     named = classes.join(whole, "rep", "left").select("digest", F.coalesce("component", "rep").alias("component"))
     joined = sets.select("doc_id", "n_shingles", "digest").join(named, "digest", "left")
