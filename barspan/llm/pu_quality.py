@@ -84,18 +84,21 @@ def estimate_prior(positive: np.ndarray, unlabelled: np.ndarray) -> float:
 def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float | None = None, steps: int = 400, l2: float = 1e-3) -> dict:
     """Weights that minimise prior * R_p(+) + max(0, R_u(-) - prior * R_p(-)) under the logistic loss.
 
-    While the second part is negative, steps go against its gradient, as the non-negative estimator asks.
+    While the second part is negative, steps go against its gradient, as the non-negative estimator asks. The prior is
+    estimated from scores of rows that the classifier behind them has not seen; small samples are held back more.
     """
+    l2 = l2 + 1 / min(len(positive), len(unlabelled))
     every = np.concatenate([positive, unlabelled])
     mean, sd = every.mean(0), every.std(0) + 1e-6
     p, u = expand(positive, mean, sd), expand(unlabelled, mean, sd)
 
-    def tell_apart(w):
-        return -p.T @ _sigmoid(-p @ w) / len(p) + u.T @ _sigmoid(u @ w) / len(u) + l2 * w
+    def tell_apart(p, u):
+        return lambda w: -p.T @ _sigmoid(-p @ w) / len(p) + u.T @ _sigmoid(u @ w) / len(u) + l2 * w
 
     if prior is None:
-        first = _adam(np.zeros(p.shape[1]), tell_apart, steps // 2, 0.05)
-        prior = estimate_prior(p @ first, u @ first)
+        seen = [_adam(np.zeros(p.shape[1]), tell_apart(p[k::2], u[k::2]), steps // 2, 0.05) for k in (0, 1) if len(p) > 1 and len(u) > 1]
+        unseen = [(p[1 - k :: 2] @ w, u[1 - k :: 2] @ w) for k, w in enumerate(seen)]
+        prior = float(np.mean([estimate_prior(*x) for x in unseen])) if unseen else 0.5
 
     def gradient(w):
         sp, su = _sigmoid(p @ w), _sigmoid(u @ w)
