@@ -83,5 +83,5 @@ def mix(docs: DataFrame, targets: dict[str, DataFrame] | None = None, power: flo
     top = rate.agg(F.max("_raw")).first()[0] or 1.0
     same = reduce(lambda a, b: a & b, [keys[d] == F.col(f"_{d}_key") for d in DIMENSIONS])
     uniform = F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1 << 52)) / float(1 << 52)
-    rated = counted.join(rate, same, "left").withColumn("_rate", F.coalesce(F.col("_raw") / F.lit(top), F.lit(0.0)))
+    rated = counted.join(rate, same, "left").withColumn("_rate", F.round(F.coalesce(F.col("_raw") / F.lit(top), F.lit(0.0)), 12))
     return rated.withColumn("_kept", uniform < F.col("_rate")).select(*docs.columns, "_tokens", "_topic", "_rate", "_kept")
