@@ -1,0 +1,501 @@
+"""Each corpus operator on small tables: nulls, empty and long texts, ties, repeated rows, empty tables, clashing columns."""
+
+import random
+import zlib
+from collections import Counter, defaultdict
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from barspan.llm.chat import chains, escape, format_turns, parse_turns, reply_trees, unescape
+from barspan.llm.components import connected_components
+from barspan.llm.line_dedup import line_bitmaps, line_dedup
+from barspan.llm.mixing import mix, rake
+from barspan.llm.ngram_join import InvertedLists, may_match, ngram_join, parity, shingles
+from barspan.llm.packing import best_fit_packing, nonnegative_least_squares, plan_packing, token_pieces
+from barspan.llm.pivot_dedup import pivot_dedup
+from barspan.llm.pu_quality import estimate_prior, fit, quality_scores
+from barspan.llm.quality_rules import quality_rules
+from barspan.llm.queries import vocabulary
+from barspan.llm.token_cache import counter, token_counts
+from barspan.llm.warc import derive, parse_warc, plain_text, read_warc, responses_of_pages, sha1_digest, warc_derivatives, write_warc
+
+DOCS = "doc_id long, text string, lang string, source string, n_chars long"
+WORDS = [f"w{i}" for i in range(60)]
+
+
+def some_docs(seed=0, n=60):
+    """Texts with copies, near copies, shared lines, odd spaces, nulls, an empty and a very long one."""
+    rnd = random.Random(seed)
+    texts = [" ".join(rnd.choices(WORDS, k=rnd.randint(1, 60))) for _ in range(n)]
+    long = " ".join(rnd.choices(WORDS, k=20_000))
+    line = "This line is shared by many documents and long enough to count."
+    texts += [texts[0]] * 7 + [None, "", " \n\t ", long, long + " end", "a", "a b c d", "A B c D"]
+    for i in range(12):
+        w = texts[1].split() + rnd.choices(WORDS, k=40)
+        w[i % len(w)] = "edited"
+        texts.append(" ".join(w))
+    texts += [f"start {i}\n  {line.upper() if i % 2 else line} \t\nend" for i in range(8)]
+    return [(i, t, "en" if i % 3 else None, f"s{i % 4}", len(t) if t else None) for i, t in enumerate(texts)]
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    return spark.createDataFrame(some_docs(), DOCS).repartition(3)
+
+
+def empty(spark):
+    return spark.createDataFrame([], DOCS)
+
+
+def clashing(df):
+    """The same rows with further columns whose names operators use inside."""
+    names = ["token", "rep", "component", "digest", "h1", "pos", "n", "topic", "tokens", "weight", "rate", "score", "length", "x", "kind"]
+    return df.select("*", *[F.lit(1).alias(c) for c in names])
+
+
+def rows(df, *keys):
+    return sorted((tuple(r) for r in df.collect()), key=str)
+
+
+def brute_components(links, ids):
+    top = {i: i for i in ids}
+
+    def find(a):
+        while top[a] != a:
+            a = top[a]
+        return a
+
+    for a, b in links:
+        a, b = find(a), find(b)
+        top[max(a, b)] = min(a, b)
+    return {i: find(i) for i in ids}
+
+
+# quality rules
+
+
+def test_quality_rules_count_as_by_hand(spark):
+    text = ("one two three four five six seven eight " * 3).strip() + "\n* the of\n\nsame line\nsame line"
+    r = quality_rules(spark.createDataFrame([(1, text), (2, None), (2, ""), (None, "x")], "doc_id long, text string")).collect()
+    a = r[0]
+    words = text.split()
+    windows = [tuple(words[i : i + 8]) for i in range(len(words) - 7)]
+    covered = {i + k for i, w in enumerate(windows) if windows.count(w) > 1 for k in range(8)}
+    assert (a.n_words, a.word_chars, a.n_symbols, a.n_dup_lines, a.n_repeat_words) == (len(words), sum(map(len, words)), 1, 1, len(covered))
+    assert a.base_failed and not a.kept
+    assert [(x.n_words, x.kept) for x in r[1:]] == [(0, False), (0, False), (1, False)]
+
+
+def test_quality_rules_on_odd_tables(spark, docs):
+    assert quality_rules(empty(spark)).count() == 0
+    assert rows(quality_rules(clashing(docs))) == rows(quality_rules(docs))
+
+
+# token counts
+
+
+def test_token_counts_equal_the_library(spark, docs):
+    from tokenizers import Tokenizer
+
+    path = vocabulary("byte_bpe_50k.json")
+    t = Tokenizer.from_file(path)
+    want = {i: (len((x or "").encode()), len(t.encode(x or "", add_special_tokens=False).ids)) for i, x, *_ in some_docs()}
+    got = token_counts(clashing(docs), path).collect()
+    assert {r.doc_id: (r.n_bytes, r.n_tokens) for r in got} == want
+    assert all(r.over_limit == (r.n_tokens > 1024) for r in got)
+    assert token_counts(empty(spark), path).count() == 0
+
+
+def test_counts_of_words_add_up():
+    c = counter(vocabulary("byte_bpe_50k.json"))
+    rnd = random.Random(1)
+    parts = ["a", " ", "\n", "\t", "'s", "12", "é", "日本", "  ", "<|endoftext|>", "\x1c", "\x85", " ", "!?", "x.", "don't", "　"]
+    texts = ["".join(rnd.choices(parts, k=rnd.randint(0, 9))) for _ in range(4000)]
+    assert c.counts(texts) == [c.whole(t) if t else 0 for t in texts]
+
+
+def test_token_cache_is_used_again(spark, docs, tmp_path):
+    path, cache = vocabulary("byte_bpe_50k.json"), f"file://{tmp_path}/cache"
+    first = rows(token_counts(docs, path, cache))
+    n = spark.read.parquet(cache).count()
+    assert rows(token_counts(docs, path, cache)) == first
+    assert spark.read.parquet(cache).count() == n == len({(t or "") for _, t, *_ in some_docs()})
+    repeated = docs.unionByName(docs.limit(3)).unionByName(spark.createDataFrame([(None, "new", None, None, None)], DOCS))
+    assert token_counts(repeated, path, cache).count() == docs.count() + 4
+
+
+# packing
+
+
+def test_packing_is_exact_and_tight(spark, docs):
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(vocabulary("word_bpe_49k.json"))
+    ids = {i: t.encode(x or "", add_special_tokens=False).ids + [1] for i, x, *_ in some_docs()}
+    got = best_fit_packing(clashing(docs), vocabulary("word_bpe_49k.json"), 512).collect()
+    by_doc, by_seq = defaultdict(list), defaultdict(list)
+    for r in got:
+        by_doc[r.doc_id].append(r)
+        by_seq[r.sequence_id].append(r)
+    assert by_doc.keys() == ids.keys()
+    for i, parts in by_doc.items():
+        parts.sort(key=lambda r: r.piece)
+        assert [r.start for r in parts] == list(range(0, len(ids[i]), 512))
+        for r in parts:
+            assert r.ids_crc32 == zlib.crc32(np.array(ids[i][r.start : r.start + 512], "<u4").tobytes()) and r.length == len(ids[i][r.start : r.start + 512])
+    for parts in by_seq.values():
+        at = 0
+        for r in sorted(parts, key=lambda r: r.offset):
+            assert r.offset == at
+            at += r.length
+        assert at <= 512
+    bound = -(-sum(r.length for r in got) // 512)
+    assert len(by_seq) <= bound * 1.03 + 1
+    assert best_fit_packing(empty(spark), vocabulary("word_bpe_49k.json")).count() == 0
+    twice = best_fit_packing(docs.filter("doc_id < 3").unionByName(docs.filter("doc_id < 3")), vocabulary("word_bpe_49k.json"))
+    assert twice.count() == 6
+
+
+@pytest.mark.parametrize("capacity", [64, 100, 4096])
+def test_plan_packs_every_piece_once(capacity):
+    rnd = random.Random(capacity)
+    h = Counter(min(capacity, 1 + int(rnd.expovariate(4 / capacity))) for _ in range(5000))
+    plan = plan_packing(dict(h), capacity)
+    used = Counter()
+    for lengths, count in plan:
+        assert count > 0 and sum(lengths) <= capacity
+        for n in lengths:
+            used[n] += count
+    assert used == h
+    assert sum(c for _, c in plan) <= -(-sum(n * c for n, c in h.items()) // capacity) * 1.02 + 1
+    assert plan_packing({}, capacity) == []
+
+
+def test_least_squares_finds_a_nonnegative_fit():
+    index = np.array([[0, 1, -1], [1, 1, -1], [2, -1, -1]])
+    x = nonnegative_least_squares(index, np.array([3.0, 7.0, 4.0]))
+    assert np.allclose(x, [3, 2, 4], atol=1e-3)
+
+
+def test_word_ids_equal_the_library(spark):
+    from barspan.llm.packing import word_ids
+
+    w = word_ids(vocabulary("word_bpe_49k.json"))
+    rnd = random.Random(2)
+    parts = ["Ab", " ", "\n", "'s", "12", "É", "é", "日本", "<|endoftext|>", "\x1c", "\x85", "!?", "x.", "ΑΣ", "　", "'T", "İ"]
+    texts = ["".join(rnd.choices(parts, k=rnd.randint(0, 9))) for _ in range(4000)]
+    assert w.ids(texts) == [w.whole(t) for t in texts]
+
+
+# line dedup
+
+
+def brute_lines(data, least=40, k=5):
+    table = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    key = lambda x: x.strip("\t\n\x0b\x0c\r ").translate(table)
+    held = defaultdict(set)
+    for i, t in data:
+        if i is not None:
+            for x in (t or "").split("\n"):
+                if len(key(x)) >= least:
+                    held[key(x)].add(i)
+    out = []
+    for i, t in data:
+        keep = [x for x in (t or "").split("\n") if i is None or len(held.get(key(x), ())) < k or max(held[key(x)]) == i]
+        out.append((i, len((t or "").split("\n")), len((t or "").split("\n")) - len(keep), "\n".join(keep)))
+    return sorted(out, key=str)
+
+
+def test_line_dedup_matches_brute_force(spark):
+    rnd = random.Random(3)
+    lines = [f"line number {i} that is shared {'x' * 30}" for i in range(12)] + ["short", "", "  ", "É" * 40, "É" * 39]
+    data = [(i, "\n".join(rnd.choices(lines, k=rnd.randint(1, 6)))) for i in range(300)] + [(7, lines[0]), (7, lines[0]), (None, lines[1]), (400, None), (401, "")]
+    data += [(i, lines[2].upper() + "\n" + lines[2]) for i in range(500, 900)]
+    df = spark.createDataFrame(data, "doc_id long, text string").repartition(5)
+    for parts in ("4", "37"):
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
+        got = line_dedup(clashing(df)).select("doc_id", "_n_lines", "_n_dropped", F.coalesce("text", F.lit("")))
+        assert rows(got) == brute_lines(data)
+    spark.conf.set("spark.sql.shuffle.partitions", "4")
+
+
+def test_line_dedup_on_odd_tables(spark, docs):
+    assert line_dedup(empty(spark)).count() == 0
+    assert line_bitmaps(docs.filter("doc_id < 5")).count() == 0
+    assert set(line_dedup(docs).columns) == {*docs.columns, "_n_lines", "_n_dropped"}
+
+
+# n-gram join
+
+
+def word_sets(data):
+    out = {}
+    for i, t in data:
+        w = (t or "").encode().lower().split()
+        out[i] = {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set()
+    return out
+
+
+def brute_join(data):
+    sets = word_sets(data)
+    ids = sorted(sets)
+    links = [(a, b) for a in ids for b in ids if a < b and sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])]
+    c = brute_components(links, ids)
+    return sorted(((i, len(sets[i]), c[i]) for i in ids), key=str)
+
+
+def test_ngram_join_matches_brute_force(spark, docs):
+    assert rows(ngram_join(clashing(docs))) == brute_join([(i, t) for i, t, *_ in some_docs()])
+    assert ngram_join(empty(spark)).count() == 0
+
+
+@pytest.mark.parametrize("block_rows", [4, 1000])
+def test_ngram_join_of_a_family(spark, block_rows):
+    """Copies with one to many edits: a chain of links around one base, with isolated members and blocks of a few rows."""
+    rnd = random.Random(5)
+    base = rnd.choices(WORDS, k=150)
+    data = []
+    for i in range(90):
+        w = list(base)
+        for _ in range(rnd.randint(0, 7)):
+            w[rnd.randrange(len(w))] = f"new{rnd.randrange(999)}"
+        data.append((i, " ".join(w)))
+    data += [(100 + i, " ".join(rnd.choices(WORDS, k=80) + base[:30])) for i in range(30)]
+    df = spark.createDataFrame(data, "doc_id long, text string").repartition(4)
+    assert rows(ngram_join(df, heavy_tokens=50, block_rows=block_rows, pairs_a_task=20)) == brute_join(data)
+
+
+def test_divide_skip_equals_counting():
+    rnd = random.Random(6)
+    sets = [np.array(sorted(rnd.sample(range(60), rnd.randint(1, 40))), np.uint64) for _ in range(50)]
+    lists = InvertedLists(sets)
+    for q in sets:
+        for least in (1, 5, len(q)):
+            want = sorted((i, n) for i, s in enumerate(sets) if (n := len(np.intersect1d(q, s))) >= least)
+            assert sorted(lists.search(q, least)) == want
+
+
+def test_parity_never_rules_out_a_match():
+    rnd = random.Random(7)
+    for _ in range(300):
+        a = {rnd.getrandbits(64) for _ in range(rnd.randint(5, 1500))}
+        b = set(a)
+        for x in rnd.sample(sorted(a), rnd.randint(0, len(a) // 9)):
+            b.discard(x)
+            if rnd.random() < 0.5:
+                b.add(rnd.getrandbits(64))
+        x, y = (np.array(sorted(s), np.uint64) for s in (a, b))
+        if 10 * len(a & b) >= 8 * len(a | b):
+            assert may_match(len(x), parity(x), len(y), parity(y))
+
+
+def test_shingles_of_short_texts():
+    assert len(shingles(None)) == len(shingles(b" \n")) == 0
+    assert len(shingles(b"a b")) == 1 and (shingles(b"A b") == shingles(b"a  B")).all()
+    assert len(shingles(b"a b c d e f")) == 2
+
+
+def test_ngram_join_rows_that_share_an_id(spark):
+    t = [" ".join(f"{c}{i}" for i in range(30)) for c in "abc"]
+    data = [(1, t[0]), (1, t[0]), (2, t[0]), (2, t[1]), (3, t[1]), (None, t[0])]
+    got = ngram_join(spark.createDataFrame(data, "doc_id long, text string")).collect()
+    assert len(got) == 6 and {r.component_id for r in got if r.doc_id is None} == {None}
+
+
+def test_components_of_chains_and_stars(spark):
+    edges = [(i, i + 1) for i in range(0, 60)] + [(100, 100 + i) for i in range(1, 30)] + [(5, 5), (None, 3)]
+    got = {r.id: r.component for r in connected_components(spark.createDataFrame(edges, "src long, dst long")).collect()}
+    assert got == {**dict.fromkeys(range(61), 0), **dict.fromkeys(range(100, 130), 100)}
+    assert connected_components(spark.createDataFrame([], "src long, dst long")).count() == 0
+
+
+# embeddings
+
+
+def brute_vectors(data, threshold=0.93):
+    ids = [i for i, *_ in data]
+    v = {i: (np.array(e, float), lab) for i, e, lab in data if e is not None and lab is not None and i is not None and None not in e and np.isfinite(e).all() and np.any(e)}
+    links = [(a, b) for a in v for b in v if a != b and v[a][1] == v[b][1] and len(v[a][0]) == len(v[b][0]) and v[a][0] @ v[b][0] / (np.linalg.norm(v[a][0]) * np.linalg.norm(v[b][0])) >= threshold]
+    n = Counter(a for a, _ in links)
+    c = brute_components(links, ids)
+    return sorted(((i, n[i], c[i], c[i] == i) for i in ids), key=str)
+
+
+@pytest.mark.parametrize("block_rows", [6, 1000])
+def test_pivot_dedup_matches_brute_force(spark, block_rows):
+    rng = np.random.default_rng(8)
+    base = rng.normal(size=(25, 16))
+    data = []
+    for i in range(140):
+        e = base[i % 25 if i < 100 else 0] + rng.normal(size=16) * (0.05 if i % 4 else 0.6)
+        data.append((i, [float(x) for x in e], i % 2))
+    data += [(200, data[0][1], 0), (201, data[0][1], 0), (202, None, 0), (203, [0.0] * 16, 0), (204, [1.0, None], 1), (205, [float("nan")] * 16, 1), (206, [1.0, 2.0], None), (207, [1.0, 2.0], 0), (208, [], 0), (209, [1e-200] * 16, 0), (210, [1e-200] * 16, 0)]
+    df = spark.createDataFrame(data, "vec_id long, embedding array<double>, label int").repartition(3)
+    got = rows(pivot_dedup(df.withColumn("dim", F.lit(3)), block_rows=block_rows))
+    want = brute_vectors([x for x in data if x[0] not in (209, 210)])  # whose norms leave the range
+    for i in ("209", "210"):
+        pair = [g for g in got if str(g[0]) == i]
+        assert pair[0][1] == 1 and pair[0][2] == 209
+        got = [g for g in got if str(g[0]) != i]
+    assert got == want
+    assert pivot_dedup(df.limit(0)).count() == 0
+    assert rows(pivot_dedup(df.filter("vec_id = 202"))) == [(202, 0, 202, True)]
+
+
+def test_pivot_recall_on_noisy_vectors(spark):
+    """Links just above the threshold, where permutations agree least: recall against brute force is 0.9 at least."""
+    rng = np.random.default_rng(9)
+    base = rng.normal(size=(150, 64))
+    e = np.concatenate([base, base + rng.normal(size=base.shape) * 0.36])
+    data = [(i, [float(x) for x in v], 0) for i, v in enumerate(e)]
+    want = sum(n for _, n, *_ in brute_vectors(data))
+    got = pivot_dedup(spark.createDataFrame(data, "vec_id long, embedding array<double>, label int")).agg(F.sum("n_links")).first()[0]
+    assert want > 100 and 0.9 * want <= got <= want
+
+
+# quality classifier
+
+
+def test_quality_scores_tell_prose_from_junk(spark):
+    rnd = random.Random(10)
+    prose = [" ".join(rnd.choice(["the", "a", "sees", "runs"] + WORDS) for _ in range(rnd.randint(20, 90))) + "." for _ in range(300)]
+    junk = [" ".join(rnd.choice(WORDS) + "$$$" for _ in range(rnd.randint(20, 90))) if i % 2 else "spam " * 50 for i in range(100)]
+    data = list(enumerate(prose + junk)) + [(900, None), (901, ""), (None, "x y")]
+    df = spark.createDataFrame(data, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(0, 300, 2)] + [(i, 0, 0) for i in range(300, 400, 3)], "doc_id long, quality int, toxic int")
+    got = {r.doc_id: r for r in quality_scores(clashing(df), labels).collect()}
+    assert len(got) == 403 and all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.7) for r in got.values())
+    assert np.mean([got[i].predicted for i in range(300)]) > 0.95 and np.mean([got[i].predicted for i in range(300, 400)]) < 0.05
+    assert all(got[i].held_out == (zlib.crc32(str(i).encode()) % 4 == 2) for i in range(400))
+    assert {r.score for r in quality_scores(df, labels.limit(0)).collect()} == {0.5}
+    assert quality_scores(empty(spark), labels).count() == 0
+
+
+def test_prior_and_risk():
+    rng = np.random.default_rng(11)
+    p = rng.normal(size=(2000, 3)) + 3
+    u = np.concatenate([rng.normal(size=(1400, 3)) + 3, rng.normal(size=(600, 3)) - 3])
+    assert abs(estimate_prior(p.sum(1), u.sum(1)) - 0.7) < 0.05
+    m = fit(p, u)
+    assert abs(m["prior"] - 0.7) < 0.06
+
+
+# mixing
+
+
+def test_raking_reaches_its_marginals(spark):
+    cells = spark.createDataFrame([("a", "x", "p", 100), ("a", "y", "p", 50), ("b", "x", "q", 30), ("b", "y", "p", 70), ("c", "y", "q", 0)], "source string, lang string, topic string, tokens long")
+    share = lambda d: spark.createDataFrame(list(d.items()), "value string, share double")
+    targets = {"source": share({"a": 0.5, "b": 0.4, "c": 0.1}), "lang": share({"x": 0.3, "y": 0.7}), "topic": share({"p": 0.9, "q": 0.1})}
+    w = rake(cells, targets).toPandas()
+    assert np.allclose(w.groupby("lang")["weight"].sum(), [0.3, 0.7], atol=1e-5) and np.allclose(w.groupby("topic")["weight"].sum(), [0.9, 0.1], atol=1e-5)
+    assert np.allclose(w.groupby("source")["weight"].sum(), [0.5 / 0.9, 0.4 / 0.9, 0], atol=1e-5)
+
+
+def test_mix_of_odd_tables(spark, docs):
+    got = mix(docs).collect()
+    assert len(got) == docs.count() and all(0 <= r["_rate"] <= 1 for r in got)
+    assert max(r["_rate"] for r in got) == 1
+    assert rows(mix(docs.repartition(7))) == rows(mix(docs))
+    assert mix(empty(spark)).count() == 0
+    assert mix(docs.filter("text is null")).filter("_kept").count() == 0
+    assert mix(clashing(docs)).count() == docs.count()
+
+
+# chat
+
+
+def test_escapes_are_reversible():
+    rnd = random.Random(12)
+    parts = ["<|turn|>", "<|text|>", "<|end|>", "\\", "<", "[", "[INST]", "[/INST]", "</s>", "<<SYS>>", "|>", "a", "\n", "é"]
+    for _ in range(5000):
+        turns = [(rnd.choice(["user", "assistant", "x<|text|>"]), "".join(rnd.choices(parts, k=rnd.randint(0, 6)))) for _ in range(rnd.randint(0, 3))]
+        text, spans = format_turns(turns)
+        assert parse_turns(text) == turns
+        assert [unescape(text[a:b]) for a, b in spans] == [t for r, t in turns if r == "assistant"]
+        assert all(unescape(escape(t)) == t for _, t in turns)
+
+
+def test_reply_trees_rank_branches(spark):
+    tree = [(1, 1, None, "user", "hi", 0.0), (1, 2, 1, "assistant", "low", 0.1), (1, 3, 1, "assistant", "high", 0.9), (1, 4, 3, "user", "more", None), (1, 5, 4, "assistant", "done", 0.8)]
+    tree += [(2, 1, 99, "user", None, 1.0), (3, 1, 2, "user", "cycle", 1.0), (3, 2, 1, "user", "cycle", 1.0), (None, 1, None, "user", "x", 1.0), (1, 1, None, "user", "hi", 0.0)]
+    df = spark.createDataFrame(tree, "tree_id long, node_id long, parent_id long, role string, text string, score double").withColumn("up", F.lit(0))
+    got = {(r.tree_id, r.branch_rank): parse_turns(r.formatted) for r in reply_trees(df, branches=2).collect()}
+    assert got == {(1, 1): [("user", "hi"), ("assistant", "high"), ("user", "more"), ("assistant", "done")], (1, 2): [("user", "hi"), ("assistant", "low")], (2, 1): [("user", "")]}
+    assert reply_trees(df.limit(0)).count() == 0
+
+
+def test_chains_of_conversations(spark):
+    data = [(1, t, "user" if t % 2 == 0 else "assistant", f"t{t}") for t in range(21)] + [(2, 0, "user", None), (2, 0, "assistant", "tie"), (None, 0, "user", "x")]
+    df = spark.createDataFrame(data, "conv_id long, turn long, role string, text string").repartition(3)
+    got = {r.tree_id: parse_turns(r.formatted) for r in reply_trees(chains(df)).collect()}
+    assert got == {1: [(r, t) for _, _, r, t in data[:21]], 2: [("assistant", "tie"), ("user", "")]}
+
+
+# WARC
+
+
+def test_warc_round_trip(spark, tmp_path):
+    page = "<html lang='en'><head><title>A &amp; B</title><style>x</style></head><body><script>no</script><p>Hello <b>there</b></p><!-- c --><a href='/x'>link</a></body></html>"
+    data = [(1, "http://a.example/", page), (2, None, None), (2, None, None), (None, "u", "plain & text"), (3, "v", "<p>" * 5000 + "deep")]
+    pages = spark.createDataFrame(data, "page_id long, url string, html string").withColumn("block", F.lit("clash"))
+    derived = warc_derivatives(responses_of_pages(pages))
+    got = derived.collect()
+    assert len(got) == 10
+    one = {r.warc_type: r for r in got if r.headers.get("WARC-Target-URI") == "http://a.example/"}
+    assert one["conversion"].block == "Hello there\nlink" and "title: A & B\r\n" in one["metadata"].block and "outlink: /x\r\n" in one["metadata"].block
+    assert one["conversion"].headers["WARC-Refers-To"] == one["metadata"].headers["WARC-Refers-To"] == one["metadata"].source_id
+    assert f"source-payload-digest: {sha1_digest(page.encode())}" in one["metadata"].block
+    write_warc(derived, f"{tmp_path}/w")
+    back = read_warc(spark, f"{tmp_path}/w/*.gz", None).collect()
+    assert sorted((r.record_id, bytes(r.block).decode()) for r in back) == sorted((r.record_id, r.block) for r in got)
+    assert all(sha1_digest(bytes(r.block)) == r.headers["WARC-Block-Digest"] and int(r.headers["Content-Length"]) == len(r.block) for r in back)
+    assert warc_derivatives(responses_of_pages(pages.limit(0))).count() == 0
+    assert derive("<x>", {}, b"")[1]["block"] == "" and list(parse_warc(b"")) == []
+
+
+def test_plain_text_matches_a_parser():
+    from html.parser import HTMLParser
+
+    class Text(HTMLParser):
+        def __init__(self):
+            super().__init__()
+            self.out, self.hidden = [], 0
+
+        def handle_starttag(self, tag, attrs):
+            self.hidden += tag in ("script", "style", "head")
+            self.out += ["\n"] * (tag in ("p", "li", "div", "br", "h1", "ul"))
+
+        def handle_endtag(self, tag):
+            self.hidden -= tag in ("script", "style", "head")
+            self.out += ["\n"] * (tag in ("p", "li", "div", "h1", "ul"))
+
+        def handle_data(self, data):
+            if not self.hidden:
+                self.out.append(data)
+
+    import pyarrow.parquet as pq
+
+    for page in pq.read_table("/root/testdata/sf0.001/pages.parquet").column("html").to_pylist():
+        p = Text()
+        p.feed(page)
+        want = [" ".join(x.split()) for x in "".join(p.out).split("\n")]
+        assert " ".join(plain_text(page).split()) == " ".join(x for x in want if x)
+
+
+def test_pieces_of_the_pipeline(spark):
+    import corpus_pipeline
+
+    sf = "/root/testdata/sf0.001"
+    documents = spark.read.parquet(f"{sf}/documents.parquet")
+    kept = corpus_pipeline.near_duplicates(spark, documents, sf)
+    want = {i for i, _, c in brute_join([(r.doc_id, r.text) for r in documents.collect()]) if i == c}
+    assert {r.doc_id for r in kept.collect()} == want
+    assert corpus_pipeline.lines(spark, documents, sf).columns == documents.columns
+    final = corpus_pipeline.run(spark, sf).collect()
+    used = defaultdict(int)
+    for r in final:
+        used[r.sequence_id] += r.length
+    assert final and max(used.values()) <= 4096 and {r.doc_id for r in final} <= want
