@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import os
 import zlib
 from bisect import bisect_left, insort
@@ -238,8 +239,9 @@ def pack(pieces: DataFrame, capacity: int = 4096) -> DataFrame:
             ranks[n] += count
             offset += n
         first_id += count
-    n_buckets = max(1, sum(histogram.values()) // 20_000)
-    # Dense ranks within a length: numbers within hashed buckets of it, after the counts of the buckets before.
+    # Dense ranks within a length: numbers within hashed buckets of it, after the counts of the buckets before. As many
+    # buckets as the root of the number of pieces keep both small: the pieces of a bucket and the buckets of a length.
+    n_buckets = max(1, math.isqrt(sum(histogram.values())))
     salted = pieces.withColumn("_bucket", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(n_buckets)))
     counts = salted.groupBy("length", "_bucket").agg(F.count("*").alias("_n"))
     before = F.coalesce(F.sum("_n").over(Window.partitionBy("length").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
