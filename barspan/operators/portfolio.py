@@ -29,7 +29,7 @@ def solve_weights(mu: np.ndarray, cov: np.ndarray, prev: np.ndarray | None, gamm
 def mean_variance_weights(mu: DataFrame, cov: DataFrame, prev: DataFrame | None = None, gamma: float = 5.0, lam: float = 0.1, horizon: float = 1.0, bps: float = 5.0) -> DataFrame:
     """(strategy_id, bar_ts, symbol, weight): mu (strategy_id, bar_ts, symbol, mu), cov with both triangles by bar.
 
-    Every strategy and bar is solved apart; a bar whose covariance lacks a pair of its symbols is left out.
+    Every strategy and bar is solved apart; a bar whose covariance lacks a pair of its symbols is left out. A missing mu is 0.
     """
     rows = mu.select(*KEYS, F.col("symbol").alias("sym_i"), "mu").join(cov.select("bar_ts", "sym_i", "sym_j", "cov"), ["bar_ts", "sym_i"])
     rows = rows.join(mu.select(*KEYS, F.col("symbol").alias("sym_j")), [*KEYS, "sym_j"], "left_semi")
@@ -42,7 +42,7 @@ def mean_variance_weights(mu: DataFrame, cov: DataFrame, prev: DataFrame | None
             return pd.DataFrame(columns=[*KEYS, "symbol", "weight"])
         per = pdf.drop_duplicates("sym_i").set_index("sym_i").reindex(m.index)
         p = per["prev"].fillna(0.0).to_numpy() if has_prev and per["prev"].notna().any() else None
-        w = solve_weights(per["mu"].to_numpy(), m.to_numpy(), p, gamma, lam, horizon, np.full(len(per), bps))
+        w = solve_weights(per["mu"].fillna(0.0).to_numpy(), m.to_numpy(), p, gamma, lam, horizon, np.full(len(per), bps))
         return pd.DataFrame({"strategy_id": pdf["strategy_id"].iloc[0], "bar_ts": pdf["bar_ts"].iloc[0], "symbol": m.index, "weight": w})
 
     return rows.groupBy(*KEYS).applyInPandas(one, WEIGHTS)

@@ -203,6 +203,11 @@ def _(s, d):
     return H.mean_variance_weights(mu, own.unionByName(rest)).select("strategy_id", "bar_ts", "symbol", r("weight"))
 
 
+@query("h01_mean_variance_full")
+def _(s, d):
+    return H.mean_variance_weights(_mu(s, d), V.full_matrix(V.rolling_covariance(rets(s, d))), H.lagged_weights(weights(s, d)))
+
+
 _KELLY = f"""f AS (SELECT bar_ts, sym_i, sym_j, cov FROM c250 UNION ALL SELECT bar_ts, sym_j, sym_i, cov FROM c250 WHERE sym_i < sym_j),
 mp AS (SELECT strategy_id, bar_ts, sum(coalesce(mu, 0) * weight) AS mu_p FROM weights JOIN mu USING (strategy_id, bar_ts, symbol) GROUP BY 1, 2),
 vp AS (SELECT a.strategy_id, a.bar_ts, sum(a.weight * b.weight * cov) AS var_p FROM f JOIN weights a ON f.bar_ts = a.bar_ts AND sym_i = a.symbol JOIN weights b ON b.strategy_id = a.strategy_id AND b.bar_ts = a.bar_ts AND sym_j = b.symbol GROUP BY 1, 2),
