@@ -119,6 +119,12 @@ def _(s, d):
     return V.malv(V.mahalanobis(c.join(late, "bar_ts", "left_semi"), t)).select("bar_ts", r("d2", 6), r("malv", 6))
 
 
+@query("g09_mahalanobis")
+def _(s, d):
+    t = rets(s, d)
+    return V.malv(V.mahalanobis(V.rolling_covariance(t), t)).select("bar_ts", "n", "d2", "malv")
+
+
 _PORT = "p AS (SELECT * FROM (VALUES ('even', 'AF', 0.5), ('even', 'RF', 0.5), ('spread', 'AF', 0.7), ('spread', 'NO', -0.3)) AS t(portfolio, symbol, weight))"
 _PVAR = """{n} AS (SELECT a.portfolio, c.bar_ts, sum(a.weight * b.weight * cov * CASE WHEN sym_i = sym_j THEN 1 ELSE 2 END)::DOUBLE AS x FROM {c} c JOIN p a ON a.symbol = sym_i JOIN p b ON b.symbol = sym_j AND a.portfolio = b.portfolio GROUP BY 1, 2)"""
 

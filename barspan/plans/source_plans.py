@@ -32,6 +32,13 @@ def _(s, d):
     return A.read_bars(s, path).filter("symbol = 'AF'").select("symbol", "bar_ts", r("close"), "volume")
 
 
+@query("a01_read_bars_all", "bars", "SELECT symbol, bar_ts, round(close, 8) AS close, volume FROM bars")
+def _(s, d):
+    path = scratch_path(s, "bars-all")
+    A.write_bars(X.daily_bars(s, d), path, "1d")
+    return A.read_bars(s, path).select("symbol", "bar_ts", r("close"), "volume")
+
+
 @query("a01_read_bars_csv", "bars", "SELECT symbol, bar_ts, round(close, 6) AS close, volume FROM bars")
 def _(s, d):
     path = scratch_path(s, "bars-csv")
