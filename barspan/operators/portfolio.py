@@ -164,29 +164,138 @@ def execution_status(executions: DataFrame) -> DataFrame:
     return executions.groupBy("bar_ts").agg(F.when(F.bool_and("success"), "completed").otherwise("partial").alias("status"), F.sort_array(F.collect_list(F.when(~F.col("success"), F.col("symbol")))).alias("failed"))
 
 
-def rebalance_path(inputs: DataFrame, grid: DataFrame, nav: float = 10_000.0) -> DataFrame:
-    """Weights with feedback of the previous bar's weights, for every parameter set of grid at once.
+def solve_terms(inputs: DataFrame, grid: DataFrame, horizon: float = 1.0, bps: float = 5.0) -> DataFrame:
+    """grid x inputs with what the solution of a bar needs besides the previous weights; every row is solved apart.
 
-    inputs: one row a bar with symbols, mu, cov (row-major) and returns as arrays; grid: strategy_id, gamma, lam, budget_bp.
-    The recursion over bars is one task for each parameter set, so the sweep is what runs in parallel; inputs are one row
-    for each bar. Result: strategy_id, bar_ts, symbol, weight, nav, status.
+    first: weights of a path without previous weights; base and pull: with previous ones, they are base + pull @ prev. All
+    three are null where the covariance is not whole.
     """
 
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        p, out, prev, value = pdf.iloc[0], [], {}, nav
-        for row in pdf.sort_values("bar_ts").itertuples():
-            names, n = list(row.symbols), len(row.symbols)
-            value *= 1 + sum(prev.get(s, 0.0) * x for s, x in zip(names, row.rets, strict=True))
-            w_prev = np.array([prev.get(s, 0.0) for s in names])
-            w = solve_weights(np.array(row.mu), np.array(row.cov).reshape(n, n), w_prev if prev else None, p.gamma, p.lam, 1.0, np.full(n, 5.0))
-            w = np.clip(w, -0.3, 0.3)
-            w *= min(1.0, 1.2 / max(np.abs(w).sum(), 1e-12))
-            cost_bp = np.abs(w - w_prev).sum() * (0.0004 + 0.0005) * 1e4
-            limited = cost_bp > p.budget_bp
-            w = w_prev + (w - w_prev) * min(1.0, p.budget_bp / cost_bp) if limited else w
-            prev = dict(zip(names, w, strict=True))
-            out += [(p.strategy_id, row.bar_ts, s, float(x), float(value), "budget" if limited else "ok") for s, x in prev.items()]
-        return pd.DataFrame(out, columns=["strategy_id", "bar_ts", "symbol", "weight", "nav", "status"])
-
-    # Both sides are small by construction: a row for each bar, and a row for each parameter set.
-    return grid.crossJoin(inputs).groupBy("strategy_id").applyInPandas(one, WEIGHTS + ", nav double, status string")
+    def solve(batches):
+        for pdf in batches:
+            first, base, pull = [], [], []
+            for row in pdf.itertuples():
+                n = len(row.symbols)
+                if row.cov is None or len(row.cov) != n * n or not np.isfinite(np.array(row.cov, dtype=float)).all():
+                    first.append(None), base.append(None), pull.append(None)
+                    continue
+                mu, cov, k = np.nan_to_num(np.array(row.mu, dtype=float)), np.array(row.cov).reshape(n, n), np.full(n, 1 + max(bps, 0.0) / 1e4)
+                inverse = np.linalg.pinv(row.gamma * cov + 2 * row.lam * np.diag(k))
+                first.append(solve_weights(mu, cov, None, row.gamma, row.lam, horizon, np.full(n, bps)))
+                base.append(inverse @ mu if row.lam > 0 else first[-1])
+                pull.append((inverse * (2 * row.lam / horizon * k)).ravel() if row.lam > 0 else np.zeros(0))
+            yield pdf.assign(first=first, base=base, pull=pull)
+
+    # The grid is small by construction: a row for each parameter set.
+    rows = inputs.crossJoin(F.broadcast(grid)).repartition("strategy_id", "bar_ts")
+    extra = ", ".join(f"{c} array<double>" for c in ("first", "base", "pull"))
+    return rows.mapInPandas(solve, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema) + ", " + extra)
+
+
+def _clamp(w: np.ndarray, lo: float, hi: float, max_net: float) -> np.ndarray:
+    net = w.sum()
+    return np.clip(w - (net - np.sign(net) * max_net) / len(w) if abs(net) > max_net else w, lo, hi)
+
+
+PATH = WEIGHTS + ", nav double, status string, reason string, kelly double, scale double, limited boolean, side string, quantity double, notional double, skip_reason string"
+
+
+class _Path:
+    """One parameter set's state from bar to bar: what is held, and the values of which drawdown and volatility are taken."""
+
+    def __init__(self, nav, lo, hi, max_gross, max_net, most, base, ladder, vol_limit, fee_rate, bps, least_notional):
+        self.nav, self.held, self.peak, self.navs = nav, {}, 0.0, []
+        self.lo, self.hi, self.max_gross, self.max_net, self.most, self.base, self.ladder = lo, hi, max_gross, max_net, most, base, ladder
+        self.vol_limit, self.rate, self.least_notional = vol_limit, fee_rate + bps / 1e4, least_notional
+
+    def kelly(self, w: np.ndarray, mu: np.ndarray, cov: np.ndarray) -> float:
+        self.peak, self.navs = max(self.peak, self.nav), [*self.navs[-199:], self.nav]
+        drawdown = max(0.0, (self.peak - self.nav) / self.peak) if self.peak > 0 else 0.0
+        x = np.array(self.navs)
+        vol = float(np.std(np.diff(x) / x[:-1], ddof=1)) if len(x) >= 5 else 0.0
+        lam = min([self.base, *[v for at, v in self.ladder if drawdown >= at]])
+        lam = lam / (1 + max(0.0, vol - self.vol_limit)) if vol > 0 else lam
+        var = float(w @ cov @ w)
+        return lam * min(self.most, max(0.0, float(mu @ w) / var)) if var > 0 else 0.0
+
+    def constraint(self, w: np.ndarray) -> float:
+        gross, net = np.abs(w).sum(), abs(w.sum())
+        caps = [*(self.hi / w[w > 0]), *(self.lo / w[w < 0])] + ([self.max_gross / gross] if gross > 0 else []) + ([self.max_net / net] if net > 0 else [])
+        return float(min(caps, default=0.0))
+
+    def order(self, delta: float, price, step, min_qty, min_notional, multiplier) -> tuple:
+        """(side, quantity, notional, why there is no order)."""
+        side, notional, least = "buy" if delta > 0 else "sell", delta * self.nav, max(self.least_notional, min_notional)
+        if abs(delta) < 1e-4:
+            return None, None, None, "small_change"
+        if not price > 0:
+            return side, None, None, "no_price"
+        raw = abs(notional) / (price * multiplier)
+        quantity = float(np.floor((raw + 1e-12) / step) * step) if step > 0 else raw
+        why = "min_notional" if abs(notional) < least else "min_qty" if quantity < min_qty or quantity <= 0 else "min_notional" if quantity * price * multiplier < least else None
+        return side, quantity, quantity * price * multiplier, why
+
+    def bar(self, row) -> list[tuple]:
+        names, n = list(row.symbols), len(row.symbols)
+        at = {s: i for i, s in enumerate(names)}
+        self.nav *= 1 + sum(w * row.rets[at[s]] for s, w in self.held.items() if s in at and np.isfinite(row.rets[at[s]]))
+        union = [*names, *[s for s in self.held if s not in at]]
+        prev = np.array([self.held.get(s, 0.0) for s in union])
+        none = (None, None, None, None)
+
+        def skipped(reason, *rest, orders=None):
+            rest = rest or (None, None, None)
+            return [(row.strategy_id, row.bar_ts, s, float(w), float(self.nav), "skipped", reason, *rest, *(orders[i] if orders else none)) for i, (s, w) in enumerate(zip(union, prev, strict=True))]
+
+        mu = np.array(row.mu, dtype=float)
+        if not np.isfinite(mu).any():
+            return skipped("empty forecast")
+        if row.first is None:
+            return skipped("missing covariance")
+        mu, cov = np.nan_to_num(mu), np.array(row.cov, dtype=float).reshape(n, n)
+        w = np.array(row.base) + (np.array(row.pull).reshape(n, n) @ prev[:n] if len(row.pull) else 0.0) if self.held else np.array(row.first)
+        w = np.clip(w, self.lo, self.hi)
+        w = _clamp(w * min(1.0, self.max_gross / max(np.abs(w).sum(), 1e-12)), self.lo, self.hi, self.max_net)
+        kelly, cap = self.kelly(w, mu, cov), self.constraint(w)
+        scale = min(kelly, cap)
+        target = np.concatenate([_clamp(w * scale, self.lo, self.hi, self.max_net), np.zeros(len(union) - n)])
+        kept, cost_bp = names, np.abs(target - prev).sum() * self.rate * 1e4
+        limited = bool(row.budget_bp > 0 and cost_bp > row.budget_bp)
+        if limited:
+            kept, target = union, _clamp(prev + (target - prev) * row.budget_bp / cost_bp, self.lo, self.hi, self.max_net)
+        per = [[float(x) for x in v] for v in (row.prices, row.step_size, row.min_qty, row.min_notional, row.multiplier)]
+        orders = [self.order(float(target[i] - prev[i]), *([v[i] for v in per] if i < n else (np.nan, 0.0, 0.0, 0.0, 1.0))) for i in range(len(union))]
+        if not any(o[1] is not None and o[3] is None for o in orders):
+            return skipped("portfolio already aligned", kelly, scale, limited, orders=orders)
+        self.held = {s: float(target[i]) for i, s in enumerate(kept)}
+        return [(row.strategy_id, row.bar_ts, s, float(x), float(self.nav), "completed", None, kelly, scale, limited, *o) for s, x, o in zip(union, target, orders, strict=True)]
+
+
+def rebalance_path(
+    inputs: DataFrame, grid: DataFrame, nav: float = 10_000.0, lo: float = -0.3, hi: float = 0.3, max_gross: float = 1.2, max_net: float = 0.25, most: float = 2.0,
+    base: float = 0.5, ladder=((0.05, 0.4), (0.1, 0.25), (0.2, 0.1)), vol_limit: float = 0.05, fee_rate: float = 0.0004, bps: float = 5.0, least_notional: float = 5.0,
+) -> DataFrame:
+    """Rebalancing with feedback of the weights held, for every parameter set of grid at once.
+
+    inputs: one row a bar with arrays of symbols, mu, rets, prices, step_size, min_qty, min_notional, multiplier, and the
+    row-major cov, null or short where pairs are missing; grid: strategy_id, gamma, lam, budget_bp (no budget at 0).
+    A bar moves the NAV by what is held, then runs the chain: weights and caps, Kelly fraction on drawdown and volatility,
+    largest constraint scale, net clamp, cost budget, orders. Bars that change nothing are skipped with a reason ('empty
+    forecast', 'missing covariance', 'portfolio already aligned'), as rows too; they keep what is held.
+    Result: a row for each bar and symbol of the bar or held, with weight, nav, status, reason, kelly, scale, limited
+    (by the budget), side, quantity, notional and skip_reason of its order.
+    Bars are solved apart (solve_terms); then each parameter set is one task that reads its sorted bars as a stream of
+    batches and holds one state.
+    """
+
+    def fold(batches):
+        path, of = None, None
+        for pdf in batches:
+            out = []
+            for row in pdf.itertuples():
+                if path is None or row.strategy_id != of:
+                    path, of = _Path(nav, lo, hi, max_gross, max_net, most, base, ladder, vol_limit, fee_rate, bps, least_notional), row.strategy_id
+                out += path.bar(row)
+            yield pd.DataFrame(out, columns=[c.split()[0] for c in PATH.split(", ")])
+
+    return solve_terms(inputs, grid, bps=bps).repartition("strategy_id").sortWithinPartitions("strategy_id", "bar_ts").mapInPandas(fold, PATH)

@@ -338,12 +338,12 @@ def _(s, d):
 @query("h17_rebalance_path")
 def _(s, d):
     t = rets(s, d).filter("ret is not null")
-    mu = t.select("bar_ts", "symbol", "ret", (0.01 * E.tsmom("log_ret", 3)).alias("mu"))
+    one = lambda x: F.lit(x).cast("double")
+    m = t.select("bar_ts", F.struct("symbol", (0.01 * E.tsmom("log_ret", 3)).alias("mu"), (F.col("ret") * 0.01).alias("rets"), F.col("close").alias("prices"), one(0.001).alias("step_size"), one(0.01).alias("min_qty"), one(10).alias("min_notional"), one(1).alias("multiplier")).alias("m"))
     cov = V.full_matrix(V.rolling_covariance(t).filter("n >= 60"))
     whole = cov.groupBy("bar_ts").agg(F.transform(F.sort_array(F.collect_list(F.struct("sym_i", "sym_j", "cov"))), lambda x: x["cov"]).alias("cov"))
-    rows = F.sort_array(F.collect_list(F.struct("symbol", "mu", "ret")))
-    per = mu.groupBy("bar_ts").agg(rows.alias("m")).select("bar_ts", F.transform("m", lambda x: x["symbol"]).alias("symbols"), F.transform("m", lambda x: x["mu"]).alias("mu"), F.transform("m", lambda x: x["ret"] * 0.01).alias("rets"))
-    inputs = per.join(whole, "bar_ts").filter("size(cov) = size(symbols) * size(symbols)")
+    per = m.groupBy("bar_ts").agg(F.sort_array(F.collect_list("m")).alias("m")).select("bar_ts", F.col("m.symbol").alias("symbols"), *[f"m.{c}" for c in ("mu", "rets", "prices", "step_size", "min_qty", "min_notional", "multiplier")])
+    inputs = per.join(whole, "bar_ts", "left")
     grid = s.createDataFrame([(f"g{g}_l{lam}", float(g), lam, 10.0) for g in (1, 5) for lam in (0.0, 0.1)], "strategy_id string, gamma double, lam double, budget_bp double")
     return H.rebalance_path(inputs, grid)
 
