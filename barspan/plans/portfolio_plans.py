@@ -227,6 +227,11 @@ def _(s, d):
     return k.select("strategy_id", "bar_ts", r("mu_p"), r("var_p", 6), r("f_star", 6))
 
 
+@query("h03_kelly_fraction_all")
+def _(s, d):
+    return H.kelly_fraction(weights(s, d), _mu(s, d), V.full_matrix(V.rolling_covariance(rets(s, d))))
+
+
 _EQ = f""", {_MOM}, port AS (SELECT w.strategy_id, w.bar_ts, least(0.5, greatest(-0.5, sum(lw * m.ret) * 0.01)) AS r FROM (SELECT *, lag(weight) OVER (PARTITION BY strategy_id, symbol ORDER BY bar_ts) AS lw FROM weights) w JOIN m USING (bar_ts, symbol) WHERE lw IS NOT NULL AND m.ret IS NOT NULL GROUP BY 1, 2),
 eq AS (SELECT strategy_id, bar_ts, 10000 * exp(sum(ln(1 + r)) OVER (PARTITION BY strategy_id ORDER BY bar_ts)) AS nav FROM port),
 ret2 AS (SELECT *, nav / lag(nav) OVER w - 1 AS ret, max(nav) OVER w AS peak FROM eq WINDOW w AS (PARTITION BY strategy_id ORDER BY bar_ts))"""
@@ -253,6 +258,11 @@ def _(s, d):
     return H.max_constraint_scale(w).join(big, ["strategy_id", "bar_ts"], "left_semi").select("strategy_id", "bar_ts", r("scale", 4))
 
 
+@query("h05_constraint_scale_all")
+def _(s, d):
+    return H.max_constraint_scale(weights(s, d))
+
+
 @query("h06_scaled_weights", "rets", f", {_MOM}, s AS (SELECT strategy_id, bar_ts, least(0.5, 0.4 / sum(abs(weight))) AS k FROM weights GROUP BY ALL) SELECT strategy_id, bar_ts, symbol, round(weight * k, 8) AS weight FROM weights JOIN s USING (strategy_id, bar_ts)")
 def _(s, d):
     w = weights(s, d)
@@ -462,17 +472,21 @@ def _(s, d):
     return J.position_ledger(priced(s, d)).select("seq", "position", r("entry", 6), r("realized", 4), r("margin", 4), r("cash", 4))
 
 
-@query("j07_funding_payments", "fills", f""", {_POS}, t AS (SELECT DISTINCT date_trunc('month', ts)::TIMESTAMP AS ts FROM fills), a AS (SELECT DISTINCT account, symbol FROM fills), lastpos AS (SELECT account, symbol, ts, arg_max(position, seq) AS position FROM pos GROUP BY ALL),
-px AS (SELECT symbol, date_trunc('day', ts)::TIMESTAMP AS bar_ts, arg_max(price, row(ts, seq)) AS close FROM fills GROUP BY 1, 2)
-SELECT account, symbol, ts, round(-position * close * 0.001, 9) AS payment FROM (SELECT a.account, a.symbol, t.ts, p.position, x.close FROM t CROSS JOIN a ASOF LEFT JOIN lastpos p ON p.account = a.account AND p.symbol = a.symbol AND p.ts <= t.ts ASOF LEFT JOIN px x ON x.symbol = a.symbol AND x.bar_ts <= t.ts) WHERE position <> 0 AND close IS NOT NULL""")
-def _(s, d):
+def _payments(s, d):
     f = X.fills(s, d)
     months = f.select("symbol", F.date_trunc("month", "ts").cast("timestamp_ntz").alias("ts")).distinct()
     times = months.select("ts").distinct().crossJoin(F.broadcast(f.select("symbol").distinct()))  # five symbols for each month
     px = f.groupBy("symbol", F.date_trunc("day", "ts").cast("timestamp_ntz").alias("bar_ts")).agg(F.max_by("price", F.struct("ts", "seq")).alias("close"))
     n = J.net_positions(J.price_fills(f))
     last = n.groupBy("account", "symbol", "ts").agg(F.max_by("position", "seq").alias("position"))
-    return J.funding_payments(last, times.withColumn("rate", F.lit(0.001)), px).select("account", "symbol", "ts", r("payment", 9))
+    return J.funding_payments(last, times.withColumn("rate", F.lit(0.001)), px)
+
+
+@query("j07_funding_payments", "fills", f""", {_POS}, t AS (SELECT DISTINCT date_trunc('month', ts)::TIMESTAMP AS ts FROM fills), a AS (SELECT DISTINCT account, symbol FROM fills), lastpos AS (SELECT account, symbol, ts, arg_max(position, seq) AS position FROM pos GROUP BY ALL),
+px AS (SELECT symbol, date_trunc('day', ts)::TIMESTAMP AS bar_ts, arg_max(price, row(ts, seq)) AS close FROM fills GROUP BY 1, 2)
+SELECT account, symbol, ts, round(-position * close * 0.001, 9) AS payment FROM (SELECT a.account, a.symbol, t.ts, p.position, x.close FROM t CROSS JOIN a ASOF LEFT JOIN lastpos p ON p.account = a.account AND p.symbol = a.symbol AND p.ts <= t.ts ASOF LEFT JOIN px x ON x.symbol = a.symbol AND x.bar_ts <= t.ts) WHERE position <> 0 AND close IS NOT NULL""")
+def _(s, d):
+    return _payments(s, d).select("account", "symbol", "ts", r("payment", 9))
 
 
 def _curve(s, d):
@@ -520,6 +534,11 @@ def _(s, d):
     return J.trade_log(n, none).groupBy("type").agg(F.count("*").alias("n"), F.round(F.sum("qty"), 4).alias("qty"))
 
 
+@query("j11_trade_log_funding")
+def _(s, d):
+    return J.trade_log(J.net_positions(priced(s, d)), _payments(s, d))
+
+
 # K: performance
 @query("k01_bar_returns", "rets", _EQ + " SELECT strategy_id, bar_ts, round(ret, 8) AS ret FROM ret2")
 def _(s, d):
