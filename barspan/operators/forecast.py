@@ -17,6 +17,11 @@ class Predictor(Protocol):
     def predict(self, x: np.ndarray) -> np.ndarray: ...
 
 
+def sigma_gate(forecasts: DataFrame, limit: float | None) -> DataFrame:
+    """Forecasts whose sigma is within the limit or unknown; all of them without a limit."""
+    return forecasts if limit is None else forecasts.filter(F.col("sigma").isNull() | (F.col("sigma") <= limit))
+
+
 def walk_forward_folds(spark: SparkSession, start: str, end: str, retrain_days: int) -> DataFrame:
     """(fold, anchor, fold_end): anchors every retrain_days; a fold's test part is [anchor, fold_end)."""
     s = spark.range(1).select(F.explode(F.sequence(F.lit(start).cast("timestamp_ntz"), F.lit(end).cast("timestamp_ntz") - F.expr("INTERVAL 1 SECOND"), F.expr(f"INTERVAL {retrain_days} DAY"))).alias("anchor"))

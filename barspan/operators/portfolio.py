@@ -114,6 +114,24 @@ def turnover(weights: DataFrame) -> DataFrame:
     return c.groupBy(*KEYS).agg(F.sum(F.abs(F.col("w_new") - F.col("w_prev"))).alias("turnover")).join(known, KEYS, "left_semi")
 
 
+def lagged_covariance(cov: DataFrame) -> DataFrame:
+    """Each bar's covariance as it stands on the next bar."""
+    # One row a bar, so the order over bars is global and small beside the pairs.
+    nxt = cov.select("bar_ts").distinct().withColumn("next_ts", F.lead("bar_ts").over(Window.orderBy("bar_ts"))).filter("next_ts is not null")
+    return cov.join(nxt, "bar_ts").select(F.col("next_ts").alias("bar_ts"), "sym_i", "sym_j", "cov")
+
+
+def covariance_turnover(mu: DataFrame, cov: DataFrame, prev: DataFrame | None = None, **params) -> DataFrame:
+    """(strategy_id, bar_ts, turnover_sigma): sum of absolute differences of a bar's weights under its own and the bar before's covariance.
+
+    Null where the bar before lacks a symbol of the bar.
+    """
+    old, new = mean_variance_weights(mu, lagged_covariance(cov), prev, **params), mean_variance_weights(mu, cov, prev, **params)
+    both = new.select(*KEYS, "symbol", F.col("weight").alias("w_new")).join(old.select(*KEYS, "symbol", F.col("weight").alias("w_old")), [*KEYS, "symbol"], "left")
+    total = F.sum(F.abs(F.col("w_new") - F.col("w_old")))
+    return both.groupBy(*KEYS).agg(F.when(F.count("w_old") == F.count("*"), total).alias("turnover_sigma"))
+
+
 def expected_costs(changes: DataFrame, nav: float, fee_rate: float = 0.0004, bps: float = 5.0) -> DataFrame:
     notional = F.abs(F.col("w_new") - F.col("w_prev")) * nav
     c = changes.groupBy(*KEYS).agg(F.sum(fee(notional, fee_rate)).alias("fee_cost"), F.sum(notional * bps / 1e4).alias("slippage_cost"))

@@ -301,6 +301,11 @@ def _(s, d):
     return H.turnover(weights(s, d)).select("strategy_id", "bar_ts", r("turnover"))
 
 
+@query("h11_covariance_turnover")
+def _(s, d):
+    return H.covariance_turnover(_mu(s, d), V.full_matrix(V.rolling_covariance(rets(s, d))), H.lagged_weights(weights(s, d)))
+
+
 @query("h12_generate_orders", "rets", f"""  , {_MOM} {_CHG}, o AS (SELECT ch.*, close AS price, abs(w_new - w_prev) * 10000 AS n, CASE WHEN close > 0 THEN floor((abs(w_new - w_prev) * 10000 / close + 1e-12) / 0.001) * 0.001 END AS q FROM ch LEFT JOIN m USING (bar_ts, symbol))
 SELECT strategy_id, bar_ts, symbol, CASE WHEN w_new - w_prev > 0 THEN 'buy' ELSE 'sell' END AS side, round(q, 6) AS quantity, round(q * price, 6) AS notional, round(w_new, 8) AS target_weight,
 CASE WHEN abs(w_new - w_prev) < 1e-4 THEN 'small_change' WHEN price IS NULL OR price <= 0 THEN 'no_price' WHEN n < 10 THEN 'min_notional' WHEN q < 0.01 OR q <= 0 THEN 'min_qty' WHEN q * price < 10 THEN 'min_notional' END AS skip_reason FROM o""")
@@ -321,6 +326,12 @@ def predictions(s, d):
     return t.select("symbol", F.col("bar_ts").alias("ts"), pred.alias("y_pred_logret"), F.col("log_ret").alias("y_true_logret"), step.alias("step")).dropna(subset=["y_pred_logret", "y_true_logret"])
 
 
+@query("c06_sigma_gate")
+def _(s, d):
+    sigma = rets(s, d).select("symbol", F.col("bar_ts").alias("ts"), F.stddev_samp("log_ret").over(G.by_symbol().rowsBetween(-29, 0)).alias("sigma"))
+    return I.sigma_gate(predictions(s, d).join(sigma, ["symbol", "ts"]), 2.0)
+
+
 @query("h13_validate_predictions", "rets", f", {_PRED} SELECT s.symbol, min(ts) AS first_ts, max(ts) AS last_ts, coalesce(min(ts) <= TIMESTAMP '1996-01-01' AND max(ts) >= TIMESTAMP '1998-01-01', false) AS covered FROM (SELECT DISTINCT symbol FROM rets UNION SELECT 'ZZ') s LEFT JOIN pr ON s.symbol = pr.symbol GROUP BY s.symbol")
 def _(s, d):
     symbols = rets(s, d).select("symbol").distinct().union(s.createDataFrame([("ZZ",)], "symbol string"))
