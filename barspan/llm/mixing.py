@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import warnings
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -37,7 +38,8 @@ def rake(cells: DataFrame, targets: dict[str, DataFrame], max_sweeps: int = 50,
     """Iterative proportional fitting: cells with a column weight whose sums match every target.
 
     cells: one row for each combination of the dimensions, with its tokens. Each sweep scales the weights to one dimension
-    after the other; sweeps end when no sum is off by more than tolerance (relative). Values without a target get weight 0,
+    after the other; sweeps end when no sum is off by more than tolerance times its share; a warning says when
+    max_sweeps don't reach that. Values without a target get weight 0,
     as do cells without tokens; targets without tokens are left out and the rest scaled to 1.
     """
     fitted = cells.withColumn("weight", F.col("tokens").cast("double"))
@@ -46,11 +48,13 @@ def rake(cells: DataFrame, targets: dict[str, DataFrame], max_sweeps: int = 50,
         there = materialize(target.join(cells.filter("tokens > 0").select(F.col(d).alias("value")).distinct(), "value", "left_semi"), "targets")
         total = there.agg(F.sum("share")).first()[0] or 1.0
         wanted[d] = there.select(F.col("value").alias(d), (F.col("share") / total).alias("_share"))
+    # Relative to the share; a sum that should be 0 is off altogether until it is.
+    off_by = F.when(F.col("_share") > 0, F.abs(F.col("_share") - F.col("_sum")) / F.col("_share")).when(F.col("_sum") > 0, 1.0).otherwise(0.0)
     for _ in range(max_sweeps):
         off = []
         for d, target in wanted.items():
             sums = fitted.groupBy(d).agg(F.sum("weight").alias("_sum"))
-            scale = sums.join(target, d, "left").select(d, F.coalesce(F.try_divide("_share", "_sum"), F.lit(0.0)).alias("_scale"), F.abs(F.coalesce("_share", F.lit(0.0)) - F.col("_sum")).alias("_off"))
+            scale = sums.join(target, d, "left").select(d, F.coalesce(F.try_divide("_share", "_sum"), F.lit(0.0)).alias("_scale"), off_by.alias("_off"))
             fitted = fitted.join(scale.withColumnRenamed("_off", f"_off_{d}"), d, "left").withColumn("weight", F.col("weight") * F.coalesce("_scale", F.lit(0.0))).drop("_scale")
             off.append(f"_off_{d}")
         fitted = materialize(fitted, "raked")
@@ -58,6 +62,8 @@ def rake(cells: DataFrame, targets: dict[str, DataFrame], max_sweeps: int = 50,
         fitted = fitted.drop(*off)
         if worst <= tolerance:
             break
+    else:
+        warnings.warn(f"raking stopped after {max_sweeps} sweeps: a sum was off by {worst:.3g} of its share", stacklevel=2)
     return fitted
 
 
