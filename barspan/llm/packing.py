@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import math
 import os
+import re
+import string
 import zlib
 from bisect import bisect_left, insort
 from collections import defaultdict
@@ -16,51 +18,61 @@ from pyspark.sql import functions as F
 
 from barspan.llm.common import materialize
 
-#: Words whose ids one Python worker keeps at most; beyond that it starts afresh.
-_WORDS_KEPT = 1_000_000
+#: Words of one generation of a Python worker's memory; it holds two, and words that are met again move to the younger.
+_WORDS_KEPT = 750_000
 _CONTROLS = bytes(range(0x1C, 0x20))
+_LETTERS = re.compile("[A-Za-zªµºÀ-ÖØ-öø-ÿ]+")
 
 
-class WordIds:
-    """Token ids of texts whose vocabulary never crosses white space; ids of words are remembered as bytes.
+class WordIds(dict):
+    """Token ids (as bytes) of words, and of texts whose vocabulary never crosses white space; words are remembered.
 
     Texts with the separators U+001C to U+001F, which Python and the vocabulary take differently, are encoded whole.
+    Words of Latin letters with ASCII marks behind them are put together from marks and letters, these in lower case and
+    by the library's model without the steps before it; where a vocabulary does not agree with that, this is left out.
     """
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
+        super().__init__()
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+        self.tokenize = self.tokenizer.model.tokenize
+        to_bytes = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str
+        letters = [c for c in map(chr, range(256)) if _LETTERS.fullmatch(c)]
+        self.byte_level = str.maketrans({c: to_bytes(c)[0][0] for c in letters if not c.isascii()})
+        probes = ["The", "Übermäßig", "ÉTÉ", *letters]
+        self.split_marks = all(self._letters(w.lower()) == self.whole(w) and self.whole(w + "!,'") == self.whole(w) + self.whole("!,'") for w in probes)
 
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def learn(self, words) -> None:
-        missing = list(words - self.known.keys())
-        if len(self.known) + len(missing) > _WORDS_KEPT:
-            self.known.clear()
-            missing = list(words)
-        for at in range(0, len(missing), 200):
-            part = missing[at : at + 200]
-            starts = np.cumsum([0] + [len(w) + 1 for w in part])
-            enc = self.tokenizer.encode(" ".join(part), add_special_tokens=False)
-            ids = np.array(enc.ids, "<u4")
-            of = np.searchsorted(starts, np.array([o[0] for o in enc.offsets], np.int64), "right") - 1
-            cuts = np.searchsorted(of, np.arange(len(part) + 1))
-            raw = ids.tobytes()
-            for i, word in enumerate(part):
-                self.known[word] = raw[4 * cuts[i] : 4 * cuts[i + 1]]
-
-    def ids(self, texts: list[str]) -> list[bytes]:
-        odd = [len(b := t.encode()) != len(b.translate(None, _CONTROLS)) for t in texts]
-        split = [[] if o else t.split() for t, o in zip(texts, odd, strict=True)]
-        self.learn(set().union(*split))
-        get = self.known.__getitem__
-        return [self.whole(t) if o else b"".join(map(get, words)) for t, o, words in zip(texts, odd, split, strict=True)]
+    def _letters(self, word: str) -> bytes:
+        tokens = self.tokenize(word if word.isascii() else word.translate(self.byte_level))
+        return b"".join([t.id.to_bytes(4, "little") for t in tokens])
+
+    def __missing__(self, word: str) -> bytes:
+        ids = self.older.get(word)
+        if ids is None:
+            core = word.rstrip(string.punctuation)
+            if self.split_marks and _LETTERS.fullmatch(core):
+                small = core.lower()
+                ids = self._letters(core) if small == word else self[small] + self[word[len(core) :]] if len(core) < len(word) else self[small]
+            else:
+                ids = self.whole(word)
+        if len(self) >= _WORDS_KEPT:
+            self.older = dict(self)
+            self.clear()
+        self[word] = ids
+        return ids
+
+    def ids(self, text: str) -> bytes:
+        raw = text.encode()
+        return self.whole(text) if len(raw) != len(raw.translate(None, _CONTROLS)) else b"".join(map(self.__getitem__, text.split()))
 
 
 _WORD_IDS: dict[str, WordIds] = {}
@@ -79,15 +91,12 @@ def _pieces(path: str, capacity: int, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder, end = word_ids(path), np.array([end_id], "<u4").tobytes()
         for batch in batches:
-            docs, texts, rows, at = batch.column(0).to_pylist(), batch.column(1), [], 0
-            while at < len(docs):  # about a megabyte of text at a time
-                step = max(1, min(len(docs) - at, int((1 << 20) * len(docs) / max(1, texts.nbytes))))
-                for doc, raw in zip(docs[at : at + step], coder.ids(texts.slice(at, step).to_pylist()), strict=True):
-                    raw += end
-                    for k, i in enumerate(range(0, len(raw), 4 * capacity)):
-                        part = raw[i : i + 4 * capacity]
-                        rows.append((doc, k, i // 4, len(part) // 4, zlib.crc32(part)))
-                at += step
+            rows = []
+            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                raw = coder.ids(text.as_py()) + end
+                for k, i in enumerate(range(0, len(raw), 4 * capacity)):
+                    part = raw[i : i + 4 * capacity]
+                    rows.append((doc, k, i // 4, len(part) // 4, zlib.crc32(part)))
             kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
             cols = list(zip(*rows, strict=True)) or [[]] * 5
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["doc_id", "piece", "start", "length", "ids_crc32"])
