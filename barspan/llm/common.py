@@ -19,10 +19,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def scratch_root(spark: SparkSession) -> str:
     """The folder that driver and executors share, as spark.checkpoint.dir names it.
 
-    Only where the session names none (tests on one machine) a temporary folder is set.
+    Only where the session names none and runs on one machine (as in tests) a temporary folder is set.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="barspan-")
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")
@@ -49,15 +51,13 @@ def word_array(text: Column) -> Column:
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), SPACE_CLASS + "+"), "")
 
 
-def byte_chunks(items, size, most: int = 1 << 20):
-    """Lists of consecutive items whose sizes sum to about `most` at the most."""
-    part, held = [], 0
-    for item in items:
-        n = size(item)
-        if part and held + n > most:
-            yield part
-            part, held = [], 0
-        part.append(item)
-        held += n
-    if part:
-        yield part
+def free_names(df: DataFrame, *names: str) -> list[str]:
+    """The names, each with as many underscores before it as df's own columns (in any case) make necessary."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name = "_" + name
+        taken.add(name.lower())
+        out.append(name)
+    return out

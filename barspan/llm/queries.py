@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from barspan.llm.chat import chains, parse_turns, reply_trees, unescape
 from barspan.llm.common import table
 from barspan.llm.line_dedup import line_dedup
-from barspan.llm.mixing import mix
+from barspan.llm.mixing import mixing_rates, mixing_sample
 from barspan.llm.ngram_join import ngram_join
 from barspan.llm.packing import best_fit_packing
 from barspan.llm.pivot_dedup import pivot_dedup
@@ -63,8 +63,7 @@ def op3_warc_derivatives(spark, sf_dir):
 
 
 def op4_mixing(spark, sf_dir):
-    mixed = mix(table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source"))
-    return mixed.select("doc_id", "source", "lang", F.col("_topic").alias("topic"), F.col("_tokens").alias("n_tokens"), F.round("_rate", 9).alias("rate"), F.col("_kept").alias("kept"))
+    return mixing_sample(*mixing_rates(table(spark, sf_dir, "documents")))
 
 
 def op5_token_counts(spark, sf_dir):

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from barspan.llm.chat import chains, escape, format_turns, parse_turns, reply_trees, unescape
 from barspan.llm.components import connected_components
 from barspan.llm.line_dedup import line_bitmaps, line_dedup
-from barspan.llm.mixing import mix, rake
+from barspan.llm.mixing import mix, mixing_rates, mixing_sample, rake
 from barspan.llm.ngram_join import InvertedLists, may_match, ngram_join, parity, shingles
 from barspan.llm.packing import best_fit_packing, nonnegative_least_squares, plan_packing, token_pieces
 from barspan.llm.pivot_dedup import pivot_dedup
@@ -52,6 +52,7 @@ def empty(spark):
 def clashing(df):
     """The same rows with further columns whose names operators use inside."""
     names = ["token", "rep", "component", "digest", "h1", "pos", "n", "topic", "tokens", "weight", "rate", "score", "length", "x", "kind"]
+    names += ["_text", "_tokens", "_kept", "_n_lines", "_n_dropped", "_keep_bitmap", "_m_doc", "_m_row", "held_out", "predicted", "n_lines", "n_dropped", "component_id", "kept"]
     return df.select("*", *[F.lit(1).alias(c) for c in names])
 
 
@@ -186,7 +187,7 @@ def test_word_ids_equal_the_library(spark):
     rnd = random.Random(2)
     parts = ["Ab", " ", "\n", "'s", "12", "É", "é", "日本", "<|endoftext|>", "\x1c", "\x85", "!?", "x.", "ΑΣ", "　", "'T", "İ"]
     texts = ["".join(rnd.choices(parts, k=rnd.randint(0, 9))) for _ in range(4000)]
-    assert w.ids(texts) == [w.whole(t) for t in texts]
+    assert [w.ids(t) for t in texts] == [w.whole(t) for t in texts]
 
 
 # line dedup
@@ -216,7 +217,9 @@ def test_line_dedup_matches_brute_force(spark):
     df = spark.createDataFrame(data, "doc_id long, text string").repartition(5)
     for parts in ("4", "37"):
         spark.conf.set("spark.sql.shuffle.partitions", parts)
-        got = line_dedup(clashing(df)).select("doc_id", "_n_lines", "_n_dropped", F.coalesce("text", F.lit("")))
+        got = line_dedup(clashing(df))
+        assert got.columns[-2:] == ["__n_lines", "__n_dropped"]
+        got = got.select("doc_id", *got.columns[-2:], F.coalesce("text", F.lit("")))
         assert rows(got) == brute_lines(data)
     spark.conf.set("spark.sql.shuffle.partitions", "4")
 
@@ -366,6 +369,11 @@ def test_quality_scores_tell_prose_from_junk(spark):
     df = spark.createDataFrame(data, "doc_id long, text string")
     labels = spark.createDataFrame([(i, 1, 0) for i in range(0, 300, 2)] + [(i, 0, 0) for i in range(300, 400, 3)], "doc_id long, quality int, toxic int")
     got = {r.doc_id: r for r in quality_scores(clashing(df), labels).collect()}
+    wide = quality_scores(clashing(df), labels, columns=clashing(df).columns)
+    assert wide.columns[-3:] == ["_held_out", "_score", "_predicted"]
+    assert {r[0]: r[-2] for r in wide.collect()} == {i: r.score for i, r in got.items()}
+    for layout in (df.repartition(7), df.repartition(3, "text"), df.unionByName(df.filter("doc_id < 50"))):
+        assert {r.doc_id: r.score for r in quality_scores(layout, labels).collect()} == {i: r.score for i, r in got.items()}
     assert len(got) == 403 and all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.7) for r in got.values())
     assert np.mean([got[i].predicted for i in range(300)]) > 0.95 and np.mean([got[i].predicted for i in range(300, 400)]) < 0.05
     assert all(got[i].held_out == (zlib.crc32(str(i).encode()) % 4 == 2) for i in range(400))
@@ -385,23 +393,97 @@ def test_prior_and_risk():
 # mixing
 
 
+CELLS = [("a", "x", "p", 100), ("a", "y", "p", 50), ("b", "x", "q", 30), ("b", "y", "p", 70), ("c", "y", "q", 0)]
+
+
 def test_raking_reaches_its_marginals(spark):
-    cells = spark.createDataFrame([("a", "x", "p", 100), ("a", "y", "p", 50), ("b", "x", "q", 30), ("b", "y", "p", 70), ("c", "y", "q", 0)], "source string, lang string, topic string, tokens long")
+    cells = spark.createDataFrame(CELLS, "source string, lang string, topic string, tokens long")
     share = lambda d: spark.createDataFrame(list(d.items()), "value string, share double")
-    targets = {"source": share({"a": 0.5, "b": 0.4, "c": 0.1}), "lang": share({"x": 0.3, "y": 0.7}), "topic": share({"p": 0.9, "q": 0.1})}
+    targets = {"source": share({"a": 0.5, "b": 0.5}), "lang": share({"x": 0.3, "y": 0.7}), "topic": share({"p": 0.9, "q": 0.1, "absent": 0.0})}
     w = rake(cells, targets).toPandas()
     assert np.allclose(w.groupby("lang")["weight"].sum(), [0.3, 0.7], atol=1e-5) and np.allclose(w.groupby("topic")["weight"].sum(), [0.9, 0.1], atol=1e-5)
-    assert np.allclose(w.groupby("source")["weight"].sum(), [0.5 / 0.9, 0.4 / 0.9, 0], atol=1e-5)
+    assert np.allclose(w.groupby("source")["weight"].sum(), [0.5, 0.5, 0], atol=1e-5)
+
+
+def test_raking_within_what_a_sample_can_hold(spark):
+    cells = spark.createDataFrame([("a", "x", 800), ("a", "y", 100), ("b", "x", 60), ("b", "y", 40)], "source string, lang string, tokens long")
+    share = lambda d: spark.createDataFrame(list(d.items()), "value string, share double")
+    targets = {"source": share({"a": 0.5, "b": 0.5}), "lang": share({"x": 0.8, "y": 0.2})}
+    w = {(r.source, r.lang): r.weight for r in rake(cells, targets, keep=0.5).collect()}
+    assert w["b", "x"] == pytest.approx(0.12, rel=1e-3) and w["b", "y"] == pytest.approx(0.08, rel=1e-3)  # all that there is of b
+    assert w["a", "x"] == pytest.approx(0.68, rel=1e-3) and w["a", "y"] == pytest.approx(0.12, rel=1e-3)
+    with pytest.warns(UserWarning, match="sweeps"):  # the driver's form and Spark's, sweep by sweep
+        short, wide = ({(r.source, r.lang): r.weight for r in rake(cells, targets, keep=0.5, driver_cells=n, max_sweeps=2).collect()} for n in (10, 1))
+    assert short == pytest.approx(wide)
+
+
+def mixed_docs():
+    rnd = random.Random(13)
+    data = []
+    for i in range(3000):
+        source = rnd.choices(["s0", "s1", "s2", None], [70, 25, 4, 1])[0]
+        body = " ".join(rnd.choices(WORDS, k=rnd.randint(1, 60)))
+        data.append((i, body + (" | cell" if rnd.random() < 0.1 else ""), rnd.choice(["en", "en", "de"]), source, 1))
+    return data + [(3000, "lonely @ text", "xx", "rare", 1), (3001, None, "en", "s0", 0), (3002, "", "en", "s0", 0), (None, "a b", "en", "s0", 3), (5, data[5][1], data[5][2], data[5][3], 1)]
+
+
+def test_rates_agree_with_a_loop(spark):
+    """Cells, tempered and attainable targets, sweeps and rates, each by plain loops over rows."""
+    data, power, keep = mixed_docs(), 0.9, 0.7
+    rows = [(i, (s or "", g or "", "table" if " | " in (t or "") else "contact" if "@" in (t or "") else "prose"), len((t or "").split())) for i, t, g, s, _ in data]
+    cells = Counter()
+    for _, c, n in rows:
+        cells[c] += n
+    total = sum(cells.values())
+    weight = {c: n / total for c, n in cells.items()}
+    aims = []
+    for k in range(3):
+        sums = Counter()
+        for c, n in cells.items():
+            sums[c[k]] += n
+        want = {v: n**power for v, n in sums.items() if n}
+        want = {v: x / sum(want.values()) for v, x in want.items()}
+        full = set()
+        while True:
+            left = 1 - sum(sums[v] / total / keep for v in full)
+            scale = left / sum(x for v, x in want.items() if v not in full)
+            more = {v for v, x in want.items() if v not in full and x * scale >= sums[v] / total / keep}
+            if not more:
+                break
+            full |= more
+        aims.append({v: sums[v] / total / keep if v in full else want[v] * scale for v in want})
+    for _ in range(300):
+        for k, aim in enumerate(aims):
+            sums = Counter()
+            for c, w in weight.items():
+                sums[c[k]] += w
+            weight = {c: min(w * aim.get(c[k], 0) / sums[c[k]] if sums[c[k]] else 0, cells[c] / total / keep) for c, w in weight.items()}
+    docs = spark.createDataFrame(data, DOCS).repartition(3)
+    got = mixing_sample(*mixing_rates(docs, power=power, keep=keep)).collect()
+    assert len(got) == len(data)
+    for r in got:
+        c = (r.source, r.lang, r.topic)
+        assert r.rate == pytest.approx(weight[c] * keep * total / cells[c], abs=1e-4) and 0 <= r.rate <= 1
+    assert sorted((str(r.doc_id), r.n_tokens) for r in got) == sorted((str(i), n) for i, _, n in rows)
+    sample = Counter()
+    for r in got:
+        if r.kept:
+            sample[r.source] += r.n_tokens
+    held = sum(sample.values())
+    assert held / total == pytest.approx(keep, abs=0.03)
+    for v, aim in aims[0].items():
+        assert sample[v] / held == pytest.approx(aim, abs=0.03)
+    kept = mix(docs).collect()
+    assert sorted(str(r.doc_id) for r in kept) == sorted(str(r.doc_id) for r in got if r.kept)
 
 
 def test_mix_of_odd_tables(spark, docs):
-    got = mix(docs).collect()
-    assert len(got) == docs.count() and all(0 <= r["_rate"] <= 1 for r in got)
-    assert max(r["_rate"] for r in got) == 1
+    assert mix(docs).columns == docs.columns
     assert rows(mix(docs.repartition(7))) == rows(mix(docs))
     assert mix(empty(spark)).count() == 0
-    assert mix(docs.filter("text is null")).filter("_kept").count() == 0
-    assert mix(clashing(docs)).count() == docs.count()
+    assert mix(docs.filter("text is null")).count() == 0
+    assert rows(mix(clashing(docs)).select(*docs.columns)) == rows(mix(docs))
+    assert mixing_sample(*mixing_rates(docs)).count() == docs.count()
 
 
 # chat
