@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from barspan.llm.common import materialize
+from barspan.llm.common import free_names, materialize
 
 _WS = b" \t\n\x0b\x0c\r"
 _KEYS = "h1 long, h2 long, doc_id long, row_key long, pos int, n_lines int"
@@ -137,37 +137,47 @@ def line_bitmaps(docs: DataFrame, least_chars: int = 40, least_docs: int = 5) ->
     return by_doc.select("doc_id", "row_key", "n_lines", "pos").mapInArrow(_bitmaps, "doc_id long, row_key long, n_lines int, n_dropped int, keep_bitmap binary")
 
 
-def _apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        at, maps = batch.schema.get_field_index("text"), batch.schema.get_field_index("_keep_bitmap")
-        column = batch.column(at)
-        marked = batch.column(maps)
-        if marked.null_count < len(marked):
-            texts = column.to_pylist()
-            for i, packed in enumerate(marked.to_pylist()):
-                if packed is not None:
-                    lines = texts[i].split("\n")
-                    bits = np.unpackbits(np.frombuffer(zlib.decompress(packed), np.uint8))
-                    texts[i] = "\n".join(x for x, keep in zip(lines, bits, strict=False) if keep)
-            column = pa.array(texts, column.type)
-        cols = [column if i == at else c for i, c in enumerate(batch.columns) if i != maps]
-        yield pa.RecordBatch.from_arrays(cols, schema=batch.schema.remove(maps))
+def _apply(text: str, bitmap: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at, maps = batch.schema.get_field_index(text), batch.schema.get_field_index(bitmap)
+            column = batch.column(at)
+            marked = batch.column(maps)
+            if marked.null_count < len(marked):
+                texts = column.to_pylist()
+                for i, packed in enumerate(marked.to_pylist()):
+                    if packed is not None:
+                        lines = texts[i].split("\n")
+                        bits = np.unpackbits(np.frombuffer(zlib.decompress(packed), np.uint8))
+                        texts[i] = "\n".join(x for x, keep in zip(lines, bits, strict=False) if keep)
+                column = pa.array(texts, column.type)
+            cols = [column if i == at else c for i, c in enumerate(batch.columns) if i != maps]
+            yield pa.RecordBatch.from_arrays(cols, schema=batch.schema.remove(maps))
+
+    return run
 
 
 def apply_bitmaps(docs: DataFrame, bitmaps: DataFrame) -> DataFrame:
-    """The documents with their kept lines as text, and two further columns _n_lines and _n_dropped (long).
+    """The documents with their kept lines as text, and the numbers of lines and of dropped lines (long) as two last columns.
 
-    Every row and column of docs is returned; a null text stays null and counts as one line.
+    These are named _n_lines and _n_dropped, with more underscores before where docs has such columns. Every row and
+    column of docs is returned; a null text stays null and counts as one line. Rows without doc_id, or whose text is null,
+    have no bitmap and stay out of the join.
     """
-    row_key = F.xxhash64("text")
-    marks = bitmaps.select(F.col("doc_id").alias("_m_doc"), F.col("row_key").alias("_m_row"), F.col("n_dropped").cast("long").alias("_n_dropped"), F.col("keep_bitmap").alias("_keep_bitmap"))
-    joined = docs.join(marks.hint("shuffle_hash"), (F.col("doc_id") == F.col("_m_doc")) & (row_key == F.col("_m_row")), "left").drop("_m_doc", "_m_row")
-    n_lines = F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit(""))) + 1
-    joined = joined.withColumns({"_n_lines": F.coalesce(n_lines.cast("long"), F.lit(1).cast("long")), "_n_dropped": F.coalesce("_n_dropped", F.lit(0).cast("long"))})
-    fields = [f for f in joined.schema.fields if f.name != "_keep_bitmap"]
-    return joined.mapInArrow(_apply, type(joined.schema)(fields))
+    n_lines, n_dropped, bitmap = free_names(docs, "_n_lines", "_n_dropped", "_keep_bitmap")
+    marks = bitmaps.select("doc_id", "row_key", F.col("n_dropped").cast("long").alias(n_dropped), F.col("keep_bitmap").alias(bitmap))
+    may_match = docs["doc_id"].isNotNull() & docs["text"].isNotNull()
+    same = (docs["doc_id"] == marks["doc_id"]) & (F.xxhash64(docs["text"]) == marks["row_key"])
+    named = [docs[f"`{c}`"] for c in docs.columns]
+    joined = docs.filter(may_match).join(marks.hint("shuffle_hash"), same, "left").select(*named, F.coalesce(marks[n_dropped], F.lit(0).cast("long")).alias(n_dropped), marks[bitmap])
+    rest = docs.filter(~may_match).select(*named, F.lit(0).cast("long").alias(n_dropped), F.lit(None).cast("binary").alias(bitmap))
+    count = F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit(""))) + 1
+    every = joined.unionAll(rest).select(*[f"`{c}`" for c in docs.columns], F.coalesce(count.cast("long"), F.lit(1).cast("long")).alias(n_lines), n_dropped, bitmap)
+    fields = [f for f in every.schema.fields if f.name != bitmap]
+    text = next(c for c in docs.columns if c.lower() == "text")
+    return every.mapInArrow(_apply(text, bitmap), type(every.schema)(fields))
 
 
 def line_dedup(docs: DataFrame, least_chars: int = 40, least_docs: int = 5) -> DataFrame:
-    """line_bitmaps and apply_bitmaps in one: docs with kept lines, _n_lines and _n_dropped."""
+    """line_bitmaps and apply_bitmaps in one: docs with kept lines and the two counts."""
     return apply_bitmaps(docs, line_bitmaps(docs, least_chars, least_docs))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 
@@ -10,13 +11,31 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from barspan.llm.common import free_names
+
 _SYMBOLS = "#*$%&|<>{}[]\\^~="
-N_FEATURES = 14
+N_SHAPE = 14
+#: Buckets of hashed words, and as many of hashed pairs of words.
+BUCKETS = 128
+N_FEATURES = N_SHAPE + 2 * BUCKETS
+#: Weight of a bucket beside a number of the shape, which keeps many weak features from outvoting few strong ones.
+CONTENT_SCALE = 0.15
+_MIX = np.uint64(0x9E3779B97F4A7C15)
+_TOP = np.uint64(64 - BUCKETS.bit_length() + 1)
+
+
+def content(text: str) -> np.ndarray:
+    """Roots of the shares that each bucket has of the text's words, and of its pairs of words, in small letters."""
+    h = np.fromiter(map(zlib.crc32, text.lower().encode("utf-8", "replace").split()), np.uint64)
+    if not len(h):
+        return np.zeros(2 * BUCKETS)
+    pairs = h[:-1] * np.uint64(31) + h[1:]
+    return np.concatenate([np.sqrt(np.bincount((k * _MIX >> _TOP).astype(np.int64), minlength=BUCKETS) / max(1, len(k))) for k in (h, pairs)])
 
 
 def features(text: str | None) -> np.ndarray:
-    """Shape of a text, apart from its length, in N_FEATURES numbers; an empty text has its own first feature and zeros."""
-    out = np.zeros(N_FEATURES)
+    """Shape of a text, apart from its length, and its content; an empty text has its own first feature and zeros."""
+    out = np.zeros(N_FEATURES, np.float32)
     words = text.split() if text else []
     n = len(words)
     if not n:
@@ -31,7 +50,8 @@ def features(text: str | None) -> np.ndarray:
     if len(lower) == len(text):
         raised = np.count_nonzero(np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32) != np.frombuffer(lower.encode("utf-32-le", "surrogatepass"), np.uint32)) / len(text)
     chars = sum(map(len, words))
-    out[1:] = (
+    out[N_SHAPE:] = content(text)
+    out[1:N_SHAPE] = (
         chars / n,
         np.log1p(20 * sum(map(text.count, _SYMBOLS)) / n),
         np.log1p(20 * text.count("!") / n),
@@ -50,8 +70,10 @@ def features(text: str | None) -> np.ndarray:
 
 
 def expand(x: np.ndarray, mean: np.ndarray, sd: np.ndarray) -> np.ndarray:
+    """Standardised features: those of the shape also in size and beyond 1.5 to each side, those of the content weighed less."""
     z = np.clip((x - mean) / sd, -6, 6)
-    return np.concatenate([z, np.abs(z), np.maximum(0, z - 1.5), np.maximum(0, -z - 1.5), np.ones((len(z), 1))], axis=1)
+    z, rest = z[:, :N_SHAPE], z[:, N_SHAPE:]
+    return np.concatenate([z, np.abs(z), np.maximum(0, z - 1.5), np.maximum(0, -z - 1.5), CONTENT_SCALE * rest, np.ones((len(z), 1))], axis=1, dtype=np.float32)
 
 
 def _sigmoid(z: np.ndarray) -> np.ndarray:
@@ -63,7 +85,7 @@ def _adam(weights: np.ndarray, gradient, steps: int, rate: float) -> np.ndarray:
     for t in range(1, steps + 1):
         g = gradient(weights)
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
-        weights = weights - rate * m / (1 - 0.9**t) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
+        weights = (weights - rate * m / (1 - 0.9**t) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)).astype(weights.dtype)
     return weights
 
 
@@ -88,7 +110,7 @@ def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float | None = None
     estimated from scores of rows that the classifier behind them has not seen; small samples are held back more.
     """
     l2 = l2 + 1 / min(len(positive), len(unlabelled))
-    every = np.concatenate([positive, unlabelled])
+    every = np.concatenate([positive, unlabelled]).astype(np.float64)
     mean, sd = every.mean(0), every.std(0) + 1e-6
     p, u = expand(positive, mean, sd), expand(unlabelled, mean, sd)
 
@@ -96,7 +118,7 @@ def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float | None = None
         return lambda w: -p.T @ _sigmoid(-p @ w) / len(p) + u.T @ _sigmoid(u @ w) / len(u) + l2 * w
 
     if prior is None:
-        seen = [_adam(np.zeros(p.shape[1]), tell_apart(p[k::2], u[k::2]), steps // 2, 0.05) for k in (0, 1) if len(p) > 1 and len(u) > 1]
+        seen = [_adam(np.zeros(p.shape[1], np.float32), tell_apart(p[k::2], u[k::2]), steps // 2, 0.05) for k in (0, 1) if len(p) > 1 and len(u) > 1]
         unseen = [(p[1 - k :: 2] @ w, u[1 - k :: 2] @ w) for k, w in enumerate(seen)]
         prior = float(np.mean([estimate_prior(*x) for x in unseen])) if unseen else 0.5
 
@@ -107,24 +129,26 @@ def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float | None = None
         for_negative = u.T @ su / len(u) - prior * (p.T @ sp) / len(p)
         return (for_positive + for_negative if negative_risk >= 0 else -for_negative) + l2 * w
 
-    return {"weights": _adam(np.zeros(p.shape[1]), gradient, steps, 0.05), "mean": mean, "sd": sd, "prior": prior}
+    return {"weights": _adam(np.zeros(p.shape[1], np.float32), gradient, steps, 0.05).astype(np.float64), "mean": mean, "sd": sd, "prior": prior}
 
 
 def _featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        x = [features(t.as_py()).tolist() for t in batch.column(1)]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(x, pa.list_(pa.float64()))], names=["doc_id", "x"])
+        x = [features(t.as_py()).tobytes() for t in batch.column(1)]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(x, pa.binary())], names=["doc_id", "x"])
 
 
-def _scored(model: dict | None):
+def _scored(model: dict | None, text: str, score: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            score = np.full(batch.num_rows, 0.5)
+            at = batch.schema.get_field_index(text)
+            scores = np.full(batch.num_rows, 0.5)
             if model is not None and batch.num_rows:
-                x = np.stack([features(t.as_py()) for t in batch.column(batch.schema.get_field_index("_text"))])
-                score = _sigmoid(expand(x, model["mean"], model["sd"]) @ model["weights"])
-            keep = [i for i, name in enumerate(batch.schema.names) if name != "_text"]
-            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in keep), pa.array(score)], names=[*(batch.schema.names[i] for i in keep), "score"])
+                x = np.stack([features(t.as_py()) for t in batch.column(at)])
+                # Row by row: products of matrices may round differently in batches of another size.
+                scores = _sigmoid((expand(x, model["mean"], model["sd"]) * model["weights"]).sum(axis=1))
+            keep = [i for i in range(batch.num_columns) if i != at]
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in keep), pa.array(scores)], names=[*(batch.schema.names[i] for i in keep), score])
 
     return run
 
@@ -139,29 +163,39 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = 6000, prior: float |
 
     Held-out rows are in neither sample. None where there are no positives or no documents.
     """
-    trusted = labels.filter((F.col("quality") == 1) & ~held_out(F.col("doc_id")) & F.col("doc_id").isNotNull()).select("doc_id").distinct()
-    pool = docs.filter(~held_out(F.col("doc_id")) & F.col("doc_id").isNotNull()).select("doc_id")
+    long_id = F.col("doc_id").cast("long").alias("doc_id")
+    trusted = labels.filter((F.col("quality") == 1) & ~held_out(F.col("doc_id")) & F.col("doc_id").isNotNull()).select(long_id).distinct()
+    pool = docs.filter(~held_out(F.col("doc_id")) & F.col("doc_id").isNotNull()).select(long_id)
 
     def least(ids: DataFrame, seed: int) -> DataFrame:
         return ids.orderBy(F.xxhash64("doc_id", F.lit(seed)), "doc_id").limit(sample)
 
-    # Both lists of ids are bounded by `sample`, and so is what comes to the driver.
-    texts = docs.select("doc_id", "text")
-    sampled = [texts.join(F.broadcast(ids), "doc_id", "left_semi").mapInArrow(_featured, "doc_id long, x array<double>").limit(2 * sample).collect() for ids in (least(trusted, 1), least(pool, 2))]
-    p, u = (np.array([r["x"] for r in rows]) for rows in sampled)
-    return fit(p, u, prior) if len(p) and len(u) else None
+    # Both lists of ids are bounded by `sample`, and so is what comes to the driver: one row for each id, in the order of
+    # its hash, so that neither files nor partitions have a say in the model.
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    x, y = [], []
+    for out, ids in ((x, least(trusted, 1)), (y, least(pool, 2))):
+        featured = texts.join(F.broadcast(ids), "doc_id", "left_semi").mapInArrow(_featured, "doc_id long, x binary")
+        rows = featured.groupBy("doc_id").agg(F.min("x").alias("x"), F.first(F.xxhash64("doc_id", F.lit(3))).alias("h")).collect()
+        out += [np.frombuffer(r["x"], np.float32) for r in sorted(rows, key=lambda r: (r["h"], r["doc_id"]))]
+    return fit(np.array(x), np.array(y), prior) if x and y else None
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame, sample: int = 6000, threshold: float = 0.7, columns: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """Score every whole text: columns, held_out, score (0 to 1, higher for better text) and predicted (1 from threshold on).
 
     Trusted positives are rows of labels with quality 1 that aren't held out; text is all that scores depend on.
-    Training reads bounded samples (the parameter `sample`), scoring is one scan without a shuffle.
+    Training reads bounded samples of positives and of unlabelled documents (the parameter `sample` bounds each), whatever
+    the order of rows; scoring is one scan without a shuffle.
     Null and empty texts are scored as texts without words. Null ids are scored and never held out or sampled; repeated
-    rows are scored each; an empty table gives an empty table. Without positives every score is 0.5.
+    rows are scored each, and learned from once, as are rows that share an id (the one with the least features counts). An
+    empty table gives an empty table. Without positives every score is 0.5. Where `columns` hold a column named held_out,
+    score or predicted, the new one has an underscore before its name; the three new ones are always the last.
     """
     model = train(docs, labels, sample)
-    wide = docs.select(*columns, F.col("text").alias("_text"), held_out(F.col("doc_id")).alias("held_out"))
-    fields = [f for f in wide.schema.fields if f.name != "_text"]
-    schema = type(wide.schema)(fields).add("score", "double")
-    return wide.mapInArrow(_scored(model), schema).withColumn("predicted", F.when(F.col("score") >= threshold, 1).otherwise(0))
+    asked = docs.select(*[f"`{c}`" for c in columns])
+    held, score, predicted, text = free_names(asked, "held_out", "score", "predicted", "_text")
+    wide = docs.select(*[f"`{c}`" for c in columns], F.col("text").alias(text), held_out(F.col("doc_id")).alias(held))
+    fields = [f for f in wide.schema.fields if f.name != text]
+    schema = type(wide.schema)(fields).add(score, "double")
+    return wide.mapInArrow(_scored(model, text, score), schema).withColumn(predicted, F.when(F.col(score) >= threshold, 1).otherwise(0))
