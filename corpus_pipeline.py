@@ -17,7 +17,7 @@ from barspan.llm.queries import vocabulary
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier accepts (score of 0.7 or more)."""
     scored = quality_scores(docs, table(spark, sf_dir, "labels"), columns=tuple(docs.columns))
-    return scored.filter("predicted = 1").select(*docs.columns)
+    return scored.filter(F.col(scored.columns[-1]) == 1).select(*docs.columns)
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -28,12 +28,12 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest doc_id of each class of near-duplicates."""
     others = ngram_join(docs).filter("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(others.hint("shuffle_hash"), "doc_id", "left_anti").select(*docs.columns)
+    return docs.join(others.hint("shuffle_hash"), docs["doc_id"] == others["doc_id"], "left_anti")
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """A sample whose tokens follow tempered shares of sources, languages and topics."""
-    return mix(docs).filter("_kept").select(*docs.columns)
+    return mix(docs)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
