@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from bisect import insort
+import math
+from heapq import heappop, heappush
 
 import numpy as np
 import pandas as pd
@@ -67,43 +68,109 @@ def with_funding(bars: DataFrame, funding: DataFrame, out: str = "funding") -> D
     return bars.join(rates, ["symbol", "bar_ts"], "left").withColumn(out, F.coalesce("_rate", F.lit(0.0))).drop("_rate")
 
 
+class _Pool:
+    """Numbers of an index that one side, or both, can be taken from in order; what has left is skipped when it comes up."""
+
+    def __init__(self, values: np.ndarray, home: np.ndarray, name: int, least: bool, most: bool):
+        self.values, self.home, self.name = values, home, name
+        self.up: list | None = [] if least else None
+        self.down: list | None = [] if most else None
+        self.size, self.total, self.square = 0, 0.0, 0.0
+
+    def add(self, i: int) -> None:
+        v = float(self.values[i])
+        self.home[i] = self.name
+        self.size, self.total, self.square = self.size + 1, self.total + v, self.square + v * v
+        if self.up is not None:
+            heappush(self.up, (v, i))
+        if self.down is not None:
+            heappush(self.down, (-v, i))
+
+    def _end(self, heap: list) -> tuple:
+        while self.home[heap[0][1]] != self.name:
+            heappop(heap)
+        return heap[0]
+
+    def least(self) -> float:
+        return self._end(self.up)[0]
+
+    def most(self) -> float:
+        return -self._end(self.down)[0]
+
+    def take(self, most: bool) -> int:
+        heap = self.down if most else self.up
+        i = self._end(heap)[1]
+        heappop(heap)
+        v = float(self.values[i])
+        self.home[i] = 0
+        self.size, self.total, self.square = self.size - 1, self.total - v, self.square - v * v
+        return i
+
+
 def winsor_z_values(x: np.ndarray, warmup: int = 200, lo: float = 0.01, hi: float = 0.99) -> np.ndarray:
     """Expanding winsorised z-scores of one ordered series; missing values neither count nor score.
 
-    The history is kept sorted; its prefix sums, brought up to date in one vector operation, give the clipped moments.
+    The history is kept as what lies below the lower percentile, between and above, each in heaps, so that a value costs
+    the logarithm of their number; sums of the middle give the clipped moments, as the ends all count as a percentile.
     """
     out = np.full(len(x), np.nan)
-    held: list[float] = []
-    for i, v in enumerate(x):
-        if not np.isfinite(v):
-            continue
-        insort(held, v)
-        n = len(held)
+    at = np.flatnonzero(np.isfinite(x))
+    if len(at) < max(warmup, 1):
+        return out
+    shift = float(x[at[0]])  # moments are taken about it, so that a level far from 0 costs no digits
+    v = x[at] - shift
+    home = np.zeros(len(v), np.int8)
+    low, middle, high = _Pool(v, home, 1, False, True), _Pool(v, home, 2, True, True), _Pool(v, home, 3, True, False)
+    for i in range(len(v)):
+        n = i + 1
+        (low if low.size and v[i] < low.most() else high if high.size and v[i] > high.least() else middle).add(i)
+        p, q = lo * (n - 1), hi * (n - 1)
+        n_low, n_high = int(p) + 1, n - 1 - int(q)
+        while low.size > n_low:
+            middle.add(low.take(True))
+        while high.size > n_high:
+            middle.add(high.take(False))
+        while low.size < n_low and middle.size:
+            low.add(middle.take(False))
+        while high.size < n_high and middle.size:
+            high.add(middle.take(True))
+        if n & (n - 1) == 0:  # sums anew, before rounding errors of what came and went can add up
+            held = v[:n][home[:n] == 2]
+            middle.total, middle.square = math.fsum(held), math.fsum(held * held)
         if n < warmup:
             continue
-        cuts = []
-        for p in (lo, hi):
-            at = p * (n - 1)
-            k = int(at)
-            cuts.append(held[k] + (at - k) * (held[min(k + 1, n - 1)] - held[k]))
-        c = np.clip(np.asarray(held), cuts[0], cuts[1])
-        sd = c.std()
-        out[i] = (min(max(v, cuts[0]), cuts[1]) - c.mean()) / (sd if sd > 0 else 1.0)
+        if n < 4:
+            cuts = np.quantile(v[:n], [lo, hi])
+            clipped = np.clip(v[:n], *cuts)
+            mean, sd = clipped.mean(), clipped.std()
+        else:
+            below, above = low.most(), high.least()
+            cuts = below + (p - int(p)) * (middle.least() - below), middle.most() + (q - int(q)) * (above - middle.most())
+            mean = (low.size * cuts[0] + middle.total + high.size * cuts[1]) / n
+            second = (low.size * cuts[0] ** 2 + middle.square + high.size * cuts[1] ** 2) / n
+            sd = math.sqrt(max(0.0, second - mean * mean)) if cuts[1] > cuts[0] else 0.0
+        out[at[i]] = (min(max(v[i], cuts[0]), cuts[1]) - mean) / (sd if sd > 0 else 1.0)
     return out
 
 
-def winsor_z(df: DataFrame, columns: list[str], warmup: int = 200) -> DataFrame:
-    """Add <column>_z for each column: groups are symbol and feature, so symbols times features run in parallel."""
-    long = df.unpivot(["symbol", "bar_ts"], columns, "feature", "x")
+def _scored(rows: DataFrame, columns: list[str], warmup: int, raw: tuple[str, ...] = ()) -> DataFrame:
+    """(symbol, bar_ts, column...): z-scores of the columns, those in raw as they are; symbols times columns run in parallel."""
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("bar_ts")
-        return pdf.assign(z=winsor_z_values(pdf["x"].to_numpy(dtype=float, na_value=np.nan), warmup))[["symbol", "bar_ts", "feature", "z"]]
+        x = pdf["x"].to_numpy(dtype=float, na_value=np.nan)
+        return pdf.assign(z=x if pdf["feature"].iloc[0] in raw else winsor_z_values(x, warmup))[["symbol", "bar_ts", "feature", "z"]]
 
+    long = rows.unpivot(["symbol", "bar_ts"], columns, "feature", "x")
     scored = long.groupBy("symbol", "feature").applyInPandas(one, "symbol string, bar_ts timestamp_ntz, feature string, z double")
-    z = scored.groupBy("symbol", "bar_ts").pivot("feature", columns).agg(F.first("z"))
-    z = z.select("symbol", "bar_ts", *[F.when(~F.isnan(c), F.col(c)).alias(f"{c}_z") for c in columns])
-    return df.join(z, ["symbol", "bar_ts"], "left")
+    wide = scored.groupBy("symbol", "bar_ts").pivot("feature", columns).agg(F.first("z"))
+    return wide.select("symbol", "bar_ts", *[F.when(~F.isnan(c), F.col(c)).alias(c) for c in columns])
+
+
+def winsor_z(df: DataFrame, columns: list[str], warmup: int = 200) -> DataFrame:
+    """Add <column>_z for each column."""
+    z = _scored(df, columns, warmup)
+    return df.join(z.withColumnsRenamed({c: f"{c}_z" for c in columns}), ["symbol", "bar_ts"], "left")
 
 
 def winsor_z_native(x: str, warmup: int = 200) -> Column:
@@ -125,10 +192,9 @@ def raw_features(bars: DataFrame, funding: DataFrame) -> DataFrame:
     return rows.select("symbol", "bar_ts", *FEATURES)
 
 
-def feature_frame(bars: DataFrame, funding: DataFrame, warmup: int = 200, scaled=("log_volume", "mom_3", "mom_15", "rsi_innov", "atr_innov", "obv_tilt")) -> DataFrame:
-    """The eight features with z-scores in place of the scaled six; log_return and funding stay raw."""
-    z = winsor_z(raw_features(bars, funding), list(scaled), warmup)
-    return z.select("symbol", "bar_ts", *[F.col(f"{c}_z" if c in scaled else c).alias(c) for c in FEATURES])
+def feature_frame(bars: DataFrame, funding: DataFrame, warmup: int = 200, raw=("log_return", "log_volume")) -> DataFrame:
+    """The eight features with z-scores in place of all but log_return and log_volume."""
+    return _scored(raw_features(bars, funding), list(FEATURES), warmup, tuple(raw)).select("symbol", "bar_ts", *FEATURES)
 
 
 def feature_windows(features: DataFrame, length: int, columns=FEATURES) -> DataFrame:

@@ -43,9 +43,10 @@ def vol_losses(variances: DataFrame, var: str, window: int = 200) -> DataFrame:
 
 
 def pair_returns(returns: DataFrame) -> DataFrame:
-    """Returns of every pair of symbols i <= j at the same time, by an equi-join on time."""
+    """Returns of every pair of symbols i <= j at the same time, by an equi-join on time; a column var comes along for i."""
     valid = returns.filter("ret is not null")
-    a = valid.select("bar_ts", F.col("symbol").alias("sym_i"), F.col("ret").alias("r_i"))
+    var = [F.col("var").alias("var_i")] if "var" in returns.columns else []
+    a = valid.select("bar_ts", F.col("symbol").alias("sym_i"), F.col("ret").alias("r_i"), *var)
     b = valid.select("bar_ts", F.col("symbol").alias("sym_j"), F.col("ret").alias("r_j"))
     return a.join(b, "bar_ts").filter("sym_i <= sym_j")
 
@@ -53,12 +54,15 @@ def pair_returns(returns: DataFrame) -> DataFrame:
 def rolling_covariance(returns: DataFrame, window: int = 250) -> DataFrame:
     """(bar_ts, sym_i, sym_j, cov, n): sample covariance over the last `window` common bars of each pair.
 
-    With one common bar there is no sample covariance: the diagonal falls back to the squared return, others to 0.
+    With one common bar there is no sample covariance: the diagonal falls back to the variance chosen for the symbol (the
+    column var of returns, such as chosen_variance, where there is one; 1e-10 where that is missing), others to 0.
     """
     w = Window.partitionBy("sym_i", "sym_j").orderBy("bar_ts").rowsBetween(-(window - 1), 0)
     n = F.count("*").over(w)
-    cov = F.when(n > 1, F.covar_samp("r_i", "r_j").over(w)).otherwise(F.when(F.col("sym_i") == F.col("sym_j"), F.col("r_i") * F.col("r_i")).otherwise(0.0))
-    return pair_returns(returns).select("bar_ts", "sym_i", "sym_j", cov.alias("cov"), n.alias("n"))
+    pairs = pair_returns(returns)
+    chosen = F.coalesce("var_i", F.lit(1e-10)) if "var_i" in pairs.columns else F.lit(1e-10)
+    cov = F.when(n > 1, F.covar_samp("r_i", "r_j").over(w)).otherwise(F.when(F.col("sym_i") == F.col("sym_j"), chosen).otherwise(0.0))
+    return pairs.select("bar_ts", "sym_i", "sym_j", cov.alias("cov"), n.alias("n"))
 
 
 def full_matrix(cov: DataFrame) -> DataFrame:

@@ -17,22 +17,22 @@ def affine_scan(df: DataFrame, b: str, decay: float, out: str, by: str = "symbol
     """Add `out`, the recurrence over rows whose b isn't null; rows with null b get null and don't count.
 
     Rows are numbered within their key and cut into blocks. Sums of scaled terms give the recurrence inside a block; what
-    two blocks before hand over completes it, older terms being below 1e-13 of themselves. Blocks of a hot key run apart.
+    two blocks before hand over completes it, older terms being below 1e-13 of themselves. All of it is windows of one key
+    and order, so that a chain of scans and other windows shares one exchange by the key and reads its source once.
     """
     k = block_size(decay)
     w = Window.partitionBy(by).orderBy(order)
-    n = F.count(b).over(w) - 1
-    rows = df.withColumn("_n", n).withColumn("_block", F.floor(F.col("_n") / k)).withColumn("_j", F.col("_n") % k)
     inside = Window.partitionBy(by, "_block").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    before = w.rowsBetween(Window.unboundedPreceding, -1)
     d = F.lit(float(decay))
+    rows = df.withColumn("_n", F.count(b).over(w) - 1).withColumn("_block", F.floor(F.col("_n") / k)).withColumn("_j", F.col("_n") % k)
     local = F.pow(d, F.col("_j")) * F.sum(F.col(b) * F.pow(d, -F.col("_j"))).over(inside)
     rows = rows.withColumn("_local", F.when(F.col(b).isNotNull(), local))
-    ends = rows.filter(F.col(b).isNotNull()).groupBy(by, "_block").agg(F.max_by("_local", "_n").alias("_end"))
-    blocks = Window.partitionBy(by).orderBy("_block")
-    carry = F.coalesce(F.lag("_end", 1).over(blocks), F.lit(0.0)) + F.pow(d, F.lit(k)) * F.coalesce(F.lag("_end", 2).over(blocks), F.lit(0.0))
-    carried = ends.select(by, "_block", carry.alias("_carry"))
-    joined = rows.join(carried, [by, "_block"], "left")
-    return joined.withColumn(out, F.col("_local") + F.pow(d, F.col("_j") + 1) * F.col("_carry")).drop("_n", "_block", "_j", "_local", "_carry")
+    is_end = F.col(b).isNotNull() & (F.col("_j") == k - 1)
+    rows = rows.withColumn("_end", F.last(F.when(is_end, F.col("_local")), ignorenulls=True).over(before))
+    rows = rows.withColumn("_end2", F.last(F.when(is_end, F.col("_end")), ignorenulls=True).over(before))
+    carry = F.coalesce("_end", F.lit(0.0)) + F.pow(d, F.lit(k)) * F.coalesce("_end2", F.lit(0.0))
+    return rows.withColumn(out, F.col("_local") + F.pow(d, F.col("_j") + 1) * carry).drop("_n", "_block", "_j", "_local", "_end", "_end2")
 
 
 def ema(df: DataFrame, x: str, span: int, out: str, by: str = "symbol", order: str = "bar_ts") -> DataFrame:

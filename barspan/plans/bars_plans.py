@@ -322,17 +322,41 @@ def _(s, d):
     return E.winsor_z(b.select("symbol", "bar_ts", "volume"), ["volume"]).select("symbol", "bar_ts", r("volume_z", 6))
 
 
-@query("e15_raw_features", "rets funding", f"""SELECT b.symbol, b.bar_ts, round(b.log_ret, 8) AS log_return, round(ln(1 + b.volume), 8) AS log_volume, round(CASE WHEN ri.k >= 20 THEN ri.rsi - ri.e END, 6) AS rsi_innov,
-round(CASE WHEN a.k >= 20 THEN a.pct - a.e END, 8) AS atr_innov, round(o.obv, 8) AS obv_tilt, round(coalesce(f.rate, 0), 8) AS funding
-FROM rets b LEFT JOIN ({ema_sql(_RSI, 'rsi', 20, 'e')}) ri ON b.symbol = ri.symbol AND b.bar_ts = ri.bar_ts LEFT JOIN ({_ATR}) a ON b.symbol = a.symbol AND b.bar_ts = a.bar_ts
-LEFT JOIN (SELECT symbol, bar_ts, {_OBV} AS obv FROM bars WINDOW w AS (PARTITION BY symbol ORDER BY bar_ts)) o ON b.symbol = o.symbol AND b.bar_ts = o.bar_ts LEFT JOIN funding f ON b.symbol = f.symbol AND b.bar_ts = f.ts""")
+def _mom_sql(k: int) -> str:
+    return f"sum(log_ret) OVER w{k} / CASE WHEN sum(log_ret * log_ret) OVER w{k} = 0 THEN 1e-9 ELSE sqrt(sum(log_ret * log_ret) OVER w{k}) END AS mom_{k}"
+
+
+_FEATURE_NAMES = "log_return, log_volume, mom_3, mom_15, rsi_innov, atr_innov, obv_tilt, funding"
+_RAW = f"""raw AS (SELECT b.symbol, b.bar_ts, b.log_ret AS log_return, ln(1 + b.volume) AS log_volume, b.mom_3, b.mom_15, CASE WHEN ri.k >= 20 THEN ri.rsi - ri.e END AS rsi_innov,
+CASE WHEN a.k >= 20 THEN a.pct - a.e END AS atr_innov, o.obv AS obv_tilt, coalesce(f.rate, 0) AS funding
+FROM (SELECT *, {_mom_sql(3)}, {_mom_sql(15)} FROM rets WINDOW w3 AS (PARTITION BY symbol ORDER BY bar_ts ROWS BETWEEN 2 PRECEDING AND CURRENT ROW), w15 AS (PARTITION BY symbol ORDER BY bar_ts ROWS BETWEEN 14 PRECEDING AND CURRENT ROW)) b
+LEFT JOIN ({ema_sql(_RSI, 'rsi', 20, 'e')}) ri ON b.symbol = ri.symbol AND b.bar_ts = ri.bar_ts LEFT JOIN ({_ATR}) a ON b.symbol = a.symbol AND b.bar_ts = a.bar_ts
+LEFT JOIN (SELECT symbol, bar_ts, {_OBV} AS obv FROM bars WINDOW w AS (PARTITION BY symbol ORDER BY bar_ts)) o ON b.symbol = o.symbol AND b.bar_ts = o.bar_ts LEFT JOIN funding f ON b.symbol = f.symbol AND b.bar_ts = f.ts)"""
+_DIGITS = {"rsi_innov": 6}
+
+
+def _rounded_sql(digits: dict[str, int], n: int = 8) -> str:
+    return ", ".join(f"round({c}, {digits.get(c, n)}) AS {c}" for c in _FEATURE_NAMES.split(", "))
+
+
+@query("e15_raw_features", "rets funding", f", {_RAW} SELECT symbol, bar_ts, {_rounded_sql(_DIGITS)} FROM raw")
 def _(s, d):
-    return E.raw_features(X.daily_bars(s, d), X.funding(s, d)).select("symbol", "bar_ts", r("log_return"), r("log_volume"), r("rsi_innov", 6), r("atr_innov"), r("obv_tilt"), r("funding"))
+    return E.raw_features(X.daily_bars(s, d), X.funding(s, d)).select("symbol", "bar_ts", *[r(c, _DIGITS.get(c, 8)) for c in _FEATURE_NAMES.split(", ")])
+
+
+# All but log_return and log_volume are scored against their history: percentiles of it, then moments of what they clip.
+_SCALED = [c for c in _FEATURE_NAMES.split(", ") if c not in ("log_return", "log_volume")]
 
 
-@query("e17_feature_frame")
+@query("e17_feature_frame", "rets funding", f""", {_RAW}, u AS (UNPIVOT raw ON {', '.join(_SCALED)} INTO NAME feature VALUE x),
+h AS (SELECT symbol, bar_ts, feature, x, row_number() OVER (PARTITION BY symbol, feature ORDER BY bar_ts) AS n FROM u WHERE x IS NOT NULL),
+q AS (SELECT *, quantile_cont(x, 0.01) OVER w AS lo, quantile_cont(x, 0.99) OVER w AS hi FROM h WINDOW w AS (PARTITION BY symbol, feature ORDER BY bar_ts ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
+m AS (SELECT q.symbol, q.bar_ts, q.feature, any_value(least(greatest(q.x, q.lo), q.hi)) AS c, avg(least(greatest(o.x, q.lo), q.hi)) AS mean, stddev_pop(least(greatest(o.x, q.lo), q.hi)) AS sd
+FROM q JOIN h o ON o.symbol = q.symbol AND o.feature = q.feature AND o.n <= q.n WHERE q.n >= 200 GROUP BY 1, 2, 3),
+z AS (SELECT symbol, bar_ts, {', '.join(f"max((c - mean) / CASE WHEN sd > 0 THEN sd ELSE 1 END) FILTER (feature = '{c}') AS {c}" for c in _SCALED)} FROM m GROUP BY 1, 2)
+SELECT raw.symbol, raw.bar_ts, round(raw.log_return, 6) AS log_return, round(raw.log_volume, 6) AS log_volume, {', '.join(f'round(z.{c}, 6) AS {c}' for c in _SCALED)} FROM raw LEFT JOIN z ON raw.symbol = z.symbol AND raw.bar_ts = z.bar_ts""")
 def _(s, d):
-    return E.feature_frame(X.daily_bars(s, d), X.funding(s, d))
+    return E.feature_frame(X.daily_bars(s, d), X.funding(s, d)).select("symbol", "bar_ts", *[r(c, 6) for c in _FEATURE_NAMES.split(", ")])
 
 
 _W = ["log_return", "obv_tilt"]

@@ -79,7 +79,7 @@ def _(s, d):
 
 
 def _cov_sql(w: int) -> str:
-    return f"""c{w} AS (SELECT bar_ts, sym_i, sym_j, CASE WHEN count(*) OVER w > 1 THEN covar_samp(a, b) OVER w WHEN sym_i = sym_j THEN a * b ELSE 0 END AS cov, count(*) OVER w AS n
+    return f"""c{w} AS (SELECT bar_ts, sym_i, sym_j, CASE WHEN count(*) OVER w > 1 THEN covar_samp(a, b) OVER w WHEN sym_i = sym_j THEN 1e-10 ELSE 0 END AS cov, count(*) OVER w AS n
 FROM (SELECT x.bar_ts, x.symbol AS sym_i, y.symbol AS sym_j, x.ret AS a, y.ret AS b FROM rets x JOIN rets y ON x.bar_ts = y.bar_ts AND x.symbol <= y.symbol WHERE x.ret IS NOT NULL AND y.ret IS NOT NULL)
 WINDOW w AS (PARTITION BY sym_i, sym_j ORDER BY bar_ts ROWS BETWEEN {w - 1} PRECEDING AND CURRENT ROW))"""
 
@@ -87,9 +87,12 @@ WINDOW w AS (PARTITION BY sym_i, sym_j ORDER BY bar_ts ROWS BETWEEN {w - 1} PREC
 _COV = _cov_sql(250)
 
 
-@query("g06_rolling_covariance", "rets", f", {_COV} SELECT bar_ts, sym_i, sym_j, round(cov, 6) AS cov, n FROM c250")
+# A pair's first common bar has no sample covariance; the diagonal then has the chosen variance, for which the symbol has
+# its first return only, so that both estimates are missing and the floor holds. Hence ten digits.
+@query("g06_rolling_covariance", "rets", f", {_COV} SELECT bar_ts, sym_i, sym_j, round(cov, 6) AS cov, CASE WHEN n = 1 THEN round(cov * 1e9, 3) END AS first_cov_e9, n FROM c250")
 def _(s, d):
-    return V.rolling_covariance(rets(s, d)).select("bar_ts", "sym_i", "sym_j", r("cov", 6), "n")
+    v = V.garch_variance(V.ewma_variance(rets(s, d))).withColumn("var", V.chosen_variance())
+    return V.rolling_covariance(v).select("bar_ts", "sym_i", "sym_j", r("cov", 6), F.when(F.col("n") == 1, F.round(F.col("cov") * 1e9, 3)).alias("first_cov_e9"), "n")
 
 
 _TRIO = "('AF', 'NO', 'RF')"
