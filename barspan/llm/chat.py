@@ -37,13 +37,21 @@ def format_turns(turns: list[tuple[str, str]]) -> tuple[str, list[tuple[int, int
     return "".join(out), spans
 
 
-_BODY = r"((?:[^\\<]+|\\.|<)*?)"
-_MARKED = re.compile(rf"<\|turn\|>{_BODY}<\|text\|>{_BODY}<\|end\|>", re.DOTALL)
+_MARKS = re.compile(r"\\.|<\|turn\|>|<\|text\|>|<\|end\|>", re.DOTALL)
 
 
 def parse_turns(formatted: str) -> list[tuple[str, str]]:
-    """Turns read back from a formatted conversation."""
-    return [(unescape(m[1]), unescape(m[2])) for m in _MARKED.finditer(formatted)]
+    """Turns read back from a formatted conversation, in one pass from mark to mark; a turn without its end is none."""
+    out, role_at, text_at, role = [], None, None, ""
+    for m in _MARKS.finditer(formatted):
+        if m[0] == TURN:
+            role_at, text_at = m.end(), None
+        elif m[0] == SEP and role_at is not None:
+            role, role_at, text_at = formatted[role_at : m.start()], None, m.end()
+        elif m[0] == END and text_at is not None:
+            out.append((unescape(role), unescape(formatted[text_at : m.start()])))
+            text_at = None
+    return out
 
 
 def _format(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

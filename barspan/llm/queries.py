@@ -8,7 +8,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from barspan.llm.chat import chains, parse_turns, reply_trees, unescape
+from barspan.llm.chat import END, SEP, TURN, chains, parse_turns, reply_trees, unescape
 from barspan.llm.common import table
 from barspan.llm.line_dedup import line_dedup
 from barspan.llm.mixing import mixing_rates, mixing_sample
@@ -114,6 +114,25 @@ def op8_reply_trees(spark, sf_dir):
     )
 
 
+def _inserted(c: str) -> str:
+    """Backslashes that the template puts into a text: one for each of its control strings."""
+    controls = (r"\\\\", r"<\|[^|<>\n]{1,40}\|>", "</?s>", "<</?SYS>>", r"\[/?INST\]")
+    return " + ".join(f"len(regexp_extract_all({c}, '{x}'))" for x in controls)
+
+
+_MARK_CHARS = len(TURN + SEP + END)
+OP8_SQL = f"""
+WITH c AS (SELECT conv_id, turn, role, text FROM conversations WHERE conv_id IS NOT NULL
+           UNION ALL VALUES (-1, 0, 'user', '</s>[INST] ok [/INST]'), (-1, 1, 'assistant', '</s>[INST] ok [/INST]')),
+t AS (SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) AS n FROM c)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY n)) AS turns_sha256,
+       CAST(sum(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END) AS BIGINT) AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY n) FILTER (role = 'assistant'), '')) AS loss_sha256,
+       CAST(sum({_MARK_CHARS} + length(role) + length(text) + {_inserted('role')} + {_inserted('text')}) AS BIGINT) AS formatted_chars
+FROM t GROUP BY conv_id
+"""
+
+
 def op9_quality_rules(spark, sf_dir):
     return quality_rules(table(spark, sf_dir, "documents")).drop("failed_rules")
 
@@ -166,4 +185,4 @@ FROM embeddings e LEFT JOIN n ON e.vec_id = n.vec_id LEFT JOIN c ON e.vec_id = c
 """
 
 QUERIES = {"op1_quality_classifier": op1_quality_classifier, "op2_ngram_join": op2_ngram_join, "op3_warc_derivatives": op3_warc_derivatives, "op4_mixing": op4_mixing, "op5_token_counts": op5_token_counts, "op6_best_fit_packing": op6_best_fit_packing, "op7_line_dedup": op7_line_dedup, "op8_reply_trees": op8_reply_trees, "op9_quality_rules": op9_quality_rules, "op10_pivot_dedup": op10_pivot_dedup}
-SQL = {"op2_ngram_join": OP2_SQL, "op7_line_dedup": OP7_SQL, "op9_quality_rules": OP9_SQL, "op10_pivot_dedup": OP10_SQL}
+SQL = {"op2_ngram_join": OP2_SQL, "op7_line_dedup": OP7_SQL, "op8_reply_trees": OP8_SQL, "op9_quality_rules": OP9_SQL, "op10_pivot_dedup": OP10_SQL}
