@@ -58,10 +58,10 @@ def _nearest(pivots: np.ndarray, k: int):
 
 
 def _link(threshold: float, shared_least: int):
-    """Links among the vectors of one posting list (or between two blocks of it), each counted at its first shared pivot."""
+    """Links among the vectors of one list (or between two blocks of it), each counted at its first shared pivot or pivots."""
 
     def run(key, t):
-        pivot, lo, hi = key[2].as_py(), key[3].as_py(), key[4].as_py()
+        pivot, second, lo, hi = (k.as_py() for k in key[2:6])
         ids, block = t["vec_id"].to_numpy(), t["block"].to_numpy()
         sizes = t["size"].to_numpy()
         perm = np.array(t["pivots"].to_pylist())
@@ -70,7 +70,8 @@ def _link(threshold: float, shared_least: int):
         there = np.unique(perm)
         has = np.zeros((n, len(there)), np.float32)
         has[np.arange(n)[:, None], np.searchsorted(there, perm)] = 1
-        before = has[:, : np.searchsorted(there, pivot)]
+        # What a pair must not share, else it is counted elsewhere.
+        before = has[:, there < pivot] if second < 0 else has[:, (there < second) & (there != pivot)]
         close = (has @ has.T >= shared_least) & (before @ before.T == 0)
         close &= x @ x.T >= threshold
         np.fill_diagonal(close, False)
@@ -104,8 +105,9 @@ def pivot_dedup(vectors: DataFrame, threshold: float = 0.93, max_pivots: int = 4
     most (max_pivots * dimension doubles are broadcast). Each vector is described by its `prefix` nearest pivots in order,
     and indexed in the inverted list of each of these, by label. Vectors of a list that share at least `shared_least`
     pivots are compared by cosine in double precision, so every link reported is exact and links may only be missed
-    where two vectors share fewer pivots. Lists of more than block_rows vectors are worked off in pairs of blocks: no
-    list is collected whole, and none is capped. Pairs stay within their task: counts and spanning links leave it.
+    where two vectors share fewer pivots. A list of more than block_rows vectors is split by the second pivot that two of
+    its vectors share; what is still larger, such as a group of near copies, is worked off in pairs of blocks: no list is
+    collected whole, and none is capped. Pairs stay within their task: counts and spanning links leave it.
     Exact copies are one class: they are compared once, count as links of each other and share a component.
     Vectors that are null, empty, zero or hold null or non-finite components, and rows with null label or vec_id, link
     with nothing; vectors of unlike dimension never link. Repeated rows are vectors of their own, an empty table gives
@@ -128,12 +130,21 @@ def pivot_dedup(vectors: DataFrame, threshold: float = 0.93, max_pivots: int = 4
     for i, v in enumerate(sample):
         pivots[i, : len(v)] = v
     described = materialize(reps.mapInArrow(_nearest(pivots, prefix), "vec_id long, label long, dim int, size long, vector binary, pivots array<int>"), "permutations")
-    lists = described.select("label", "dim", F.explode("pivots").alias("pivot")).groupBy("label", "dim", "pivot").agg(F.count("*").alias("n")).filter("n > 1").withColumn("blocks", F.ceil(F.col("n") / block_rows).cast("int")).drop("n")
-    postings = described.withColumn("pivot", F.explode("pivots")).join(lists, ["label", "dim", "pivot"])
-    block = F.pmod(F.xxhash64("vec_id"), F.col("blocks")).cast("int")
-    others = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    dealt = postings.withColumn("block", block).withColumn("other", others).withColumn("lo", F.least("block", "other")).withColumn("hi", F.greatest("block", "other"))
-    found = materialize(dealt.select("label", "dim", "pivot", "lo", "hi", "block", "vec_id", "size", "pivots", "vector").groupBy("label", "dim", "pivot", "lo", "hi").applyInArrow(_link(threshold, shared_least), "src long, dst long, n long"), "vector-links")
+    of_list, of_pair = ["label", "dim", "pivot"], ["label", "dim", "pivot", "second"]
+    listed = described.select("label", "dim", "pivots", F.explode("pivots").alias("pivot"))
+    lists = materialize(listed.groupBy(of_list).agg(F.count("*").alias("n")).filter("n > 1"), "posting-lists")
+    # A list of more than block_rows vectors is dealt out by the second pivot that a pair shares.
+    split = (F.col("n") > block_rows) if shared_least >= 2 else F.lit(False)
+    later = F.explode(F.filter("pivots", lambda q: q > F.col("pivot"))).alias("second")
+    pairs = listed.join(lists.filter(split), of_list).select("label", "dim", "pivot", later).groupBy(of_pair).agg(F.count("*").alias("n")).filter("n > 1")
+    postings = described.withColumn("pivot", F.explode("pivots"))
+    whole = postings.join(lists.filter(~split), of_list).withColumn("second", F.lit(-1))
+    dealt_out = postings.join(lists.filter(split).drop("n"), of_list).select("*", later).join(materialize(pairs, "pair-lists"), of_pair)
+    blocks = F.ceil(F.col("n") / block_rows).cast("int")
+    keyed = whole.unionByName(dealt_out).withColumn("block", F.pmod(F.xxhash64("vec_id"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    dealt = keyed.withColumn("lo", F.least("block", "other")).withColumn("hi", F.greatest("block", "other"))
+    lists_of = dealt.select("label", "dim", "pivot", "second", "lo", "hi", "block", "vec_id", "size", "pivots", "vector").groupBy("label", "dim", "pivot", "second", "lo", "hi")
+    found = materialize(lists_of.applyInArrow(_link(threshold, shared_least), "src long, dst long, n long"), "vector-links")
     links = found.filter("dst is null").groupBy(F.col("src").alias("rep")).agg(F.sum("n").alias("linked"))
     components = connected_components(found.filter("dst is not null")).select(F.col("id").alias("rep"), "component")
     by_class = classes.join(links, "rep", "left").join(components, "rep", "left").select(
