@@ -34,11 +34,21 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{scratch_root(spark)}/{label}-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame, label: str) -> DataFrame:
-    """Write df to the shared folder and read it back, which cuts its lineage."""
+def written(df: DataFrame, label: str) -> tuple[DataFrame, str]:
+    """Write df to the shared folder and read it back, which cuts its lineage; the second is its path."""
     path = scratch_path(df.sparkSession, label)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
+
+
+def materialize(df: DataFrame, label: str) -> DataFrame:
+    return written(df, label)[0]
+
+
+def discard(spark: SparkSession, path: str) -> None:
+    """Remove a written table that nothing reads any more."""
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
 
 
 def let(value: Column, body) -> Column:
