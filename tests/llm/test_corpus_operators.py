@@ -17,9 +17,9 @@ from barspan.llm.packing import best_fit_packing, nonnegative_least_squares, pla
 from barspan.llm.pivot_dedup import pivot_dedup
 from barspan.llm.pu_quality import estimate_prior, fit, quality_scores
 from barspan.llm.quality_rules import quality_rules
-from barspan.llm.queries import vocabulary
+from barspan.llm.queries import QUERIES, vocabulary
 from barspan.llm.token_cache import counter, token_counts
-from barspan.llm.warc import derive, parse_warc, plain_text, read_warc, responses_of_pages, sha1_digest, warc_derivatives, write_warc
+from barspan.llm.warc import derive, parse_warc, plain_text, read_page, read_warc, responses_of_pages, sha1_digest, warc_derivatives, write_warc
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 WORDS = [f"w{i}" for i in range(60)]
@@ -358,6 +358,19 @@ def test_pivot_recall_on_noisy_vectors(spark):
     assert want > 100 and 0.9 * want <= got <= want
 
 
+@pytest.mark.parametrize("n", [200, 800, 2400])
+def test_pivot_recall_as_vectors_grow(spark, n):
+    """Vectors around few centres, so that lists are long and are split by pairs of pivots and by blocks."""
+    rng = np.random.default_rng(n)
+    base = rng.normal(size=(n // 20, 32))
+    e = np.concatenate([base[rng.integers(0, len(base), n - n // 8)] + rng.normal(size=(n - n // 8, 32)) * rng.choice([0.1, 0.3, 0.6], (n - n // 8, 1)), base[0] + rng.normal(size=(n // 8, 32)) * 0.02])
+    unit = e / np.linalg.norm(e, axis=1, keepdims=True)
+    want = int((unit @ unit.T >= 0.93).sum()) - n
+    df = spark.createDataFrame([(i, [float(x) for x in v], 0) for i, v in enumerate(e)], "vec_id long, embedding array<double>, label int")
+    got = pivot_dedup(df, block_rows=40).agg(F.sum("n_links")).first()[0]
+    assert want > n and 0.9 * want <= got <= want
+
+
 # quality classifier
 
 
@@ -500,6 +513,13 @@ def test_escapes_are_reversible():
         assert all(unescape(escape(t)) == t for _, t in turns)
 
 
+def test_parsing_takes_time_in_proportion():
+    turns = [("user", "\\" * 200_000 + "<" * 200_000), ("assistant", "<|end|>" * 50_000)]
+    text, _ = format_turns(turns)
+    assert parse_turns(text) == turns
+    assert parse_turns(text[:-1]) == turns[:1] and parse_turns("<|turn|>" * 100_000 + "a" * 100_000) == []
+
+
 def test_reply_trees_rank_branches(spark):
     tree = [(1, 1, None, "user", "hi", 0.0), (1, 2, 1, "assistant", "low", 0.1), (1, 3, 1, "assistant", "high", 0.9), (1, 4, 3, "user", "more", None), (1, 5, 4, "assistant", "done", 0.8)]
     tree += [(2, 1, 99, "user", None, 1.0), (3, 1, 2, "user", "cycle", 1.0), (3, 2, 1, "user", "cycle", 1.0), (None, 1, None, "user", "x", 1.0), (1, 1, None, "user", "hi", 0.0)]
@@ -538,6 +558,68 @@ def test_warc_round_trip(spark, tmp_path):
     assert derive("<x>", {}, b"")[1]["block"] == "" and list(parse_warc(b"")) == []
 
 
+def test_pages_left_open_take_time_in_proportion():
+    import time
+
+    began = time.time()
+    for part in ("<a ", "<head ", "<title>", "<script>", "<!--", "<a href='", "<head>", "<p", "<a href="):
+        read_page(part * 200_000)
+        read_page(part * 200_000 + ">")
+    assert time.time() - began < 20
+
+
+def test_bodies_are_decoded():
+    import gzip
+
+    page = "<html lang='de'><head><title>Gr\u00fc\u00dfe</title></head><p>\u00c4pfel</p>"
+    packed = gzip.compress(page.encode("latin-1"))
+    chunked = b"".join(b"%x\r\n%s\r\n" % (len(packed[i : i + 9]), packed[i : i + 9]) for i in range(0, len(packed), 9)) + b"0\r\n\r\n"
+    head = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=ISO-8859-1\r\nContent-Encoding: gzip\r\nTransfer-Encoding: chunked\r\n\r\n"
+    metadata, conversion = derive("<x>", {}, head + chunked)
+    assert conversion["block"] == "\u00c4pfel" and "title: Gr\u00fc\u00dfe\r\n" in metadata["block"]
+    assert f"source-payload-digest: {sha1_digest(packed)}" in metadata["block"]
+    plain = b"HTTP/1.1 200 OK\r\n\r\n"
+    assert derive("<x>", {}, plain + b"<meta charset=iso-8859-1>\xe4")[1]["block"] == "\u00e4"
+    assert derive("<x>", {}, plain + "\ufeff\u00e4".encode())[1]["block"] == "\u00e4"
+    assert derive("<x>", {}, b"HTTP/1.1 200 OK\r\nContent-Encoding: gzip\r\nContent-Type: text/html; charset=none\r\n\r\nplain")[1]["block"] == "plain"
+
+
+def test_warc_files_are_read_record_by_record():
+    import gzip
+
+    records = [(f"<urn:{i}>", b"WARC/1.0 inside\r\n\r\n" * i) for i in range(40)]
+    made = [b"WARC/1.1\r\nWARC-Record-ID: %s\r\nContent-Length: %d\r\n\r\n%s\r\n\r\n" % (i.encode(), len(b), b) for i, b in records]
+    for raw in (b"".join(made), b"".join(map(gzip.compress, made)), b"junk\r\n" + gzip.decompress(gzip.compress(b"".join(made)))):
+        assert [(h["WARC-Record-ID"], b) for h, b in parse_warc(raw)] == records
+    assert [b for _, b in parse_warc(made[3][:-30])] == [records[3][1][: -30 + 4]]  # a file cut short
+
+
+def test_warc_query_against_a_loop(spark):
+    """Every record of the query from the pages alone, by a parser and plain statements."""
+    import base64
+    import hashlib
+
+    import pyarrow.parquet as pq
+
+    sf = "/root/testdata/sf0.001"
+    got = {(r.target_uri, r.warc_type, r.source_id): r for r in QUERIES["op3_warc_derivatives"](spark, sf).collect()}
+    pages = pq.read_table(f"{sf}/pages.parquet").to_pylist()
+    assert len(got) == 2 * len(pages)
+    by_uri = defaultdict(list)
+    for (uri, kind, _), r in got.items():
+        by_uri[uri, kind].append(r)
+    sha1 = lambda b: "sha1:" + base64.b32encode(hashlib.sha1(b).digest()).decode()
+    for p in pages:
+        body = (p["html"] or "").encode()
+        text = next(r for r in by_uri[p["url"], "conversion"] if plain_text(p["html"] or "") == r.block)
+        said = next(r for r in by_uri[p["url"], "metadata"] if f"source-payload-digest: {sha1(body)}" in r.block)
+        for r in (text, said):
+            assert r.refers_to == r.source_id and r.block_digest == sha1(r.block.encode()) and r.content_length == len(r.block.encode())
+            assert r.warc_date and r.source_content_type == "application/http; msgtype=response"
+        head = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(body)}\r\n\r\n".encode()
+        assert f"source-block-digest: {sha1(head + body)}" in said.block and said.block.startswith("http-status: HTTP/1.1 200 OK\r\n")
+
+
 def test_plain_text_matches_a_parser():
     from html.parser import HTMLParser
 
@@ -567,6 +649,28 @@ def test_plain_text_matches_a_parser():
         assert " ".join(plain_text(page).split()) == " ".join(x for x in want if x)
 
 
+def test_stages_on_odd_tables(spark):
+    """Nulls, empty and long texts, repeated rows, further columns and empty tables go through every stage."""
+    import corpus_pipeline
+
+    sf = "/root/testdata/sf0.001"
+    data = some_docs()
+    data += data[:3] + [(None, "no id " * 30, None, None, None), (None, None, "en", "s", 0)]
+    docs = clashing(spark.createDataFrame(data, DOCS)).repartition(3)
+    sizes = {}
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        kept = stage(spark, docs, sf)
+        assert kept.columns == docs.columns, name
+        assert stage(spark, docs.limit(0), sf).count() == 0, name
+        sizes[name] = kept.count()
+        given, left = Counter(r.doc_id for r in docs.collect()), Counter(r.doc_id for r in kept.collect())
+        assert all(left[i] in (0, n) for i, n in given.items() if i is not None), name  # rows that repeat go or stay together
+    assert sizes["line dedup"] == len(data)
+    packed = corpus_pipeline.packing(spark, docs, sf).collect()
+    assert Counter(r.doc_id for r in packed if r.piece == 0) == Counter(i for i, *_ in data)
+    assert corpus_pipeline.packing(spark, docs.limit(0), sf).count() == 0
+
+
 def test_pieces_of_the_pipeline(spark):
     import corpus_pipeline
 
