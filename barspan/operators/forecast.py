@@ -65,6 +65,39 @@ def standardize(sequences: DataFrame, standardizer: DataFrame) -> DataFrame:
     return rows.withColumn("x", x).withColumn("y", (F.col("y") - F.col("y_mean")) / F.col("y_std")).drop("_s")
 
 
+_STANDARDIZER = "struct<feature_mean: array<double>, feature_std: array<double>, target_mean: double, target_std: double>"
+
+
+def standardizer_to_json(standardizer: DataFrame) -> DataFrame:
+    """(symbol, fold, payload): one JSON object for each fold, features in order."""
+    features = F.sort_array(F.collect_list(F.when(F.col("feature") >= 0, F.struct("feature", "mean", "std"))))
+    target = lambda c: F.max(F.when(F.col("feature") == -1, F.col(c)))
+    s = standardizer.groupBy("symbol", "fold").agg(features.alias("f"), target("mean").alias("target_mean"), target("std").alias("target_std"))
+    return s.select("symbol", "fold", F.to_json(F.struct(F.col("f.mean").alias("feature_mean"), F.col("f.std").alias("feature_std"), "target_mean", "target_std")).alias("payload"))
+
+
+def standardizer_from_json(payloads: DataFrame) -> DataFrame:
+    """The standardizer (symbol, fold, feature, mean, std) that standardizer_to_json was given."""
+    p = payloads.select("symbol", "fold", F.from_json("payload", _STANDARDIZER).alias("p"))
+    features = p.select("symbol", "fold", F.posexplode(F.arrays_zip("p.feature_mean", "p.feature_std")).alias("feature", "v"))
+    target = p.select("symbol", "fold", F.lit(-1).alias("feature"), F.col("p.target_mean").alias("mean"), F.col("p.target_std").alias("std"))
+    return features.select("symbol", "fold", "feature", F.col("v.feature_mean").alias("mean"), F.col("v.feature_std").alias("std")).unionByName(target)
+
+
+def prediction_table(scored: DataFrame, train: DataFrame, folds: DataFrame, model_root: str) -> DataFrame:
+    """Scores with the lineage of their fold: the span it was trained on, the span it predicts, the folder of its model.
+
+    Sorted by time. Folds are a table of dates and are broadcast; spans of training are one row for each symbol and fold.
+    """
+    spans = train.groupBy("symbol", "fold").agg(F.min("target_ts").alias("train_start"), F.max("target_ts").alias("train_end"))
+    rows = scored.join(spans, ["symbol", "fold"]).join(F.broadcast(folds), "fold")
+    folder = F.concat(F.lit(model_root + "/"), "symbol", F.format_string("/step_%03d", F.col("fold")))
+    return rows.select(
+        F.col("target_ts").alias("ts"), "symbol", "y_pred_logret", "y_pred_std", "y_true_logret", F.col("fold").alias("step"), "train_start", "train_end",
+        F.col("anchor").alias("pred_start"), F.col("fold_end").alias("pred_end"), folder.alias("model_dir"),
+    ).orderBy("ts", "symbol")
+
+
 def score_windows(sequences: DataFrame, models: dict[str, Predictor]) -> DataFrame:
     """(symbol, fold, target_ts, y_pred_std, y_pred_logret, y_true_logret) of standardised windows, in Arrow batches."""
 

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from barspan.functions.scalars import align, timeframe_ms
+from barspan.functions.scalars import align, normalize_symbol, timeframe_ms
 
 
 def by_symbol():
@@ -111,6 +111,12 @@ def locf(bars: DataFrame, times: DataFrame, value: str = "close") -> DataFrame:
     return joined.select("symbol", "bar_ts", carried.alias(value))
 
 
+def in_universe(rows: DataFrame, symbols: DataFrame) -> DataFrame:
+    """Rows whose symbol, in its normal form, is among the configured symbols."""
+    wanted = symbols.select(normalize_symbol(F.col("symbol")).alias("_symbol"))
+    return rows.join(wanted, normalize_symbol(rows["symbol"]) == wanted["_symbol"], "left_semi")
+
+
 def closed_bars(bars: DataFrame, as_of: str, timeframe: str) -> DataFrame:
     """Bars that are over at as_of."""
     return bars.filter(F.col("bar_ts") + step_interval(timeframe) <= F.lit(as_of).cast("timestamp_ntz"))

@@ -29,6 +29,24 @@ def slow_forecasts(forecasts: DataFrame, limit_ms: float = 500.0) -> DataFrame:
     return forecasts.filter(F.col("latency_ms") > limit_ms)
 
 
+def mean_rolling_error(monitors: DataFrame, key: str = "bar_ts", field: str = "rolling_msep") -> DataFrame:
+    """(key, avg_rolling_msep) over a map of symbol to structs: the mean of the field, missing and NaN left out."""
+    values = F.filter(F.transform(F.map_values("forecast_monitor"), lambda v: v[field]), lambda x: x.isNotNull() & ~F.isnan(x))
+    total = F.aggregate(values, F.lit(0.0), lambda a, x: a + x)
+    return monitors.select(key, F.try_divide(total, F.size(values)).alias("avg_rolling_msep"))
+
+
+def risk_series(diagnostics: DataFrame, costs: DataFrame, turnover: DataFrame, key: str = "strategy_id") -> DataFrame:
+    """One record for each bar that was traded: ts, the bar's diagnostics as a struct, turnover and expected costs."""
+    rest = [c for c in diagnostics.columns if c != "bar_ts"]
+    told = diagnostics.select("bar_ts", F.struct(*rest).alias("risk_diag"))
+    rows = turnover.join(costs, [key, "bar_ts"]).join(told, "bar_ts", "left")
+    return rows.select(
+        key, F.unix_millis(F.col("bar_ts").cast("timestamp")).alias("ts"), "risk_diag", "turnover", F.col("total_cost").alias("expected_cost"), F.col("total_cost_bp").alias("expected_cost_bp"),
+        F.col("fee_cost").alias("expected_fee"), F.col("slippage_cost").alias("expected_slippage"),
+    )
+
+
 def monitoring_records(metrics: DataFrame, key: str = "bar_ts") -> DataFrame:
     """One JSON record for each row: its time in milliseconds and the other columns in a struct."""
     rest = [c for c in metrics.columns if c != key]

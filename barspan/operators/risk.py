@@ -54,17 +54,22 @@ def pair_returns(returns: DataFrame) -> DataFrame:
 def rolling_covariance(returns: DataFrame, window: int = 250) -> DataFrame:
     """(bar_ts, sym_i, sym_j, cov, n): sample covariance over the last `window` common bars of each pair.
 
-    With one common bar there is no sample covariance: the diagonal falls back to the variance chosen for the symbol (the
-    column var of returns, such as chosen_variance, where there is one; 1e-10 where that is missing), others to 0.
+    With one common bar there is no sample covariance: the diagonal falls back to the variance chosen for the symbol, where
+    returns have it as a column var (see chosen_variance), and to the squared return where they don't; others to 0.
     """
     w = Window.partitionBy("sym_i", "sym_j").orderBy("bar_ts").rowsBetween(-(window - 1), 0)
     n = F.count("*").over(w)
     pairs = pair_returns(returns)
-    chosen = F.coalesce("var_i", F.lit(1e-10)) if "var_i" in pairs.columns else F.lit(1e-10)
+    chosen = F.col("var_i") if "var_i" in pairs.columns else F.col("r_i") * F.col("r_i")
     cov = F.when(n > 1, F.covar_samp("r_i", "r_j").over(w)).otherwise(F.when(F.col("sym_i") == F.col("sym_j"), chosen).otherwise(0.0))
     return pairs.select("bar_ts", "sym_i", "sym_j", cov.alias("cov"), n.alias("n"))
 
 
+def model_ready(cov: DataFrame, window: int = 60) -> DataFrame:
+    """(bar_ts, pairs, ready): whether every pair of a bar has a covariance over at least `window` common bars."""
+    return cov.groupBy("bar_ts").agg(F.count("*").alias("pairs"), (F.min("n") >= window).alias("ready"))
+
+
 def full_matrix(cov: DataFrame) -> DataFrame:
     """Both triangles of a covariance kept for i <= j."""
     swapped = [F.col({"sym_i": "sym_j", "sym_j": "sym_i"}.get(c, c)).alias(c) for c in cov.columns]

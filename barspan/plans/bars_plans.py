@@ -348,13 +348,16 @@ def _(s, d):
 _SCALED = [c for c in _FEATURE_NAMES.split(", ") if c not in ("log_return", "log_volume")]
 
 
-@query("e17_feature_frame", "rets funding", f""", {_RAW}, u AS (UNPIVOT raw ON {', '.join(_SCALED)} INTO NAME feature VALUE x),
+_FEATURE_FRAME = f""", {_RAW}, u AS (UNPIVOT raw ON {', '.join(_SCALED)} INTO NAME feature VALUE x),
 h AS (SELECT symbol, bar_ts, feature, x, row_number() OVER (PARTITION BY symbol, feature ORDER BY bar_ts) AS n FROM u WHERE x IS NOT NULL),
 q AS (SELECT *, quantile_cont(x, 0.01) OVER w AS lo, quantile_cont(x, 0.99) OVER w AS hi FROM h WINDOW w AS (PARTITION BY symbol, feature ORDER BY bar_ts ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
 m AS (SELECT q.symbol, q.bar_ts, q.feature, any_value(least(greatest(q.x, q.lo), q.hi)) AS c, avg(least(greatest(o.x, q.lo), q.hi)) AS mean, stddev_pop(least(greatest(o.x, q.lo), q.hi)) AS sd
 FROM q JOIN h o ON o.symbol = q.symbol AND o.feature = q.feature AND o.n <= q.n WHERE q.n >= 200 GROUP BY 1, 2, 3),
 z AS (SELECT symbol, bar_ts, {', '.join(f"max((c - mean) / CASE WHEN sd > 0 THEN sd ELSE 1 END) FILTER (feature = '{c}') AS {c}" for c in _SCALED)} FROM m GROUP BY 1, 2)
-SELECT raw.symbol, raw.bar_ts, round(raw.log_return, 6) AS log_return, round(raw.log_volume, 6) AS log_volume, {', '.join(f'round(z.{c}, 6) AS {c}' for c in _SCALED)} FROM raw LEFT JOIN z ON raw.symbol = z.symbol AND raw.bar_ts = z.bar_ts""")
+SELECT raw.symbol, raw.bar_ts, round(raw.log_return, 6) AS log_return, round(raw.log_volume, 6) AS log_volume, {', '.join(f'round(z.{c}, 6) AS {c}' for c in _SCALED)} FROM raw LEFT JOIN z ON raw.symbol = z.symbol AND raw.bar_ts = z.bar_ts"""
+
+
+@query("e17_feature_frame", "rets funding", _FEATURE_FRAME)
 def _(s, d):
     return E.feature_frame(X.daily_bars(s, d), X.funding(s, d)).select("symbol", "bar_ts", *[r(c, 6) for c in _FEATURE_NAMES.split(", ")])
 

@@ -78,8 +78,8 @@ def _(s, d):
     return V.diagnostics_rollup(V.vol_losses(V.ewma_variance(rets(s, d)), "ewma_var")).select(r("vol_mse_avg", 6), r("vol_qlike_avg", 6), "symbols")
 
 
-def _cov_sql(w: int) -> str:
-    return f"""c{w} AS (SELECT bar_ts, sym_i, sym_j, CASE WHEN count(*) OVER w > 1 THEN covar_samp(a, b) OVER w WHEN sym_i = sym_j THEN 1e-10 ELSE 0 END AS cov, count(*) OVER w AS n
+def _cov_sql(w: int, first: str = "a * b") -> str:
+    return f"""c{w} AS (SELECT bar_ts, sym_i, sym_j, CASE WHEN count(*) OVER w > 1 THEN covar_samp(a, b) OVER w WHEN sym_i = sym_j THEN {first} ELSE 0 END AS cov, count(*) OVER w AS n
 FROM (SELECT x.bar_ts, x.symbol AS sym_i, y.symbol AS sym_j, x.ret AS a, y.ret AS b FROM rets x JOIN rets y ON x.bar_ts = y.bar_ts AND x.symbol <= y.symbol WHERE x.ret IS NOT NULL AND y.ret IS NOT NULL)
 WINDOW w AS (PARTITION BY sym_i, sym_j ORDER BY bar_ts ROWS BETWEEN {w - 1} PRECEDING AND CURRENT ROW))"""
 
@@ -87,9 +87,9 @@ WINDOW w AS (PARTITION BY sym_i, sym_j ORDER BY bar_ts ROWS BETWEEN {w - 1} PREC
 _COV = _cov_sql(250)
 
 
-# A pair's first common bar has no sample covariance; the diagonal then has the chosen variance, for which the symbol has
-# its first return only, so that both estimates are missing and the floor holds. Hence ten digits.
-@query("g06_rolling_covariance", "rets", f", {_COV} SELECT bar_ts, sym_i, sym_j, round(cov, 6) AS cov, CASE WHEN n = 1 THEN round(cov * 1e9, 3) END AS first_cov_e9, n FROM c250")
+# A pair's first common bar has no sample covariance; the diagonal then has the chosen variance. As the symbol has but one
+# return there, both estimates are missing and the choice is its floor.
+@query("g06_rolling_covariance", "rets", f", {_cov_sql(250, '1e-10')} SELECT bar_ts, sym_i, sym_j, round(cov, 6) AS cov, CASE WHEN n = 1 THEN round(cov * 1e9, 3) END AS first_cov_e9, n FROM c250")
 def _(s, d):
     v = V.garch_variance(V.ewma_variance(rets(s, d))).withColumn("var", V.chosen_variance())
     return V.rolling_covariance(v).select("bar_ts", "sym_i", "sym_j", r("cov", 6), F.when(F.col("n") == 1, F.round(F.col("cov") * 1e9, 3)).alias("first_cov_e9"), "n")
@@ -329,6 +329,12 @@ def predictions(s, d):
     return t.select("symbol", F.col("bar_ts").alias("ts"), pred.alias("y_pred_logret"), F.col("log_ret").alias("y_true_logret"), step.alias("step")).dropna(subset=["y_pred_logret", "y_true_logret"])
 
 
+@query("c06_sigma_gate_checked", "rets", f", {_PRED}, sg AS (SELECT symbol, bar_ts AS ts, stddev_samp(log_ret) OVER ({_W} ROWS BETWEEN 29 PRECEDING AND CURRENT ROW) AS sigma FROM rets) SELECT symbol, ts, round(y_pred_logret, 8) AS y_pred_logret, round(sigma, 6) AS sigma FROM pr JOIN sg USING (symbol, ts) WHERE sigma IS NULL OR sigma <= 1.5")
+def _(s, d):
+    sigma = rets(s, d).select("symbol", F.col("bar_ts").alias("ts"), F.stddev_samp("log_ret").over(G.by_symbol().rowsBetween(-29, 0)).alias("sigma"))
+    return I.sigma_gate(predictions(s, d).join(sigma, ["symbol", "ts"]), 1.5).select("symbol", "ts", r("y_pred_logret"), r("sigma", 6))
+
+
 @query("c06_sigma_gate")
 def _(s, d):
     sigma = rets(s, d).select("symbol", F.col("bar_ts").alias("ts"), F.stddev_samp("log_ret").over(G.by_symbol().rowsBetween(-29, 0)).alias("sigma"))
@@ -645,6 +651,8 @@ def _(s, d):
     return L.nav_jumps(equity(s, d), 0.002).select("strategy_id", "bar_ts", r("change"))
 
 
-@query("l06_monitoring_records")
+@query("l06_monitoring_records", "rets", f", {_COV} SELECT epoch_us(bar_ts) // 1000 AS ts, round(sqrt(sum(x)), 6) AS cov_turnover FROM (SELECT bar_ts, power(cov - lag(cov) OVER (PARTITION BY sym_i, sym_j ORDER BY bar_ts), 2) * CASE WHEN sym_i = sym_j THEN 1 ELSE 2 END AS x FROM c250) GROUP BY bar_ts")
 def _(s, d):
-    return L.monitoring_records(V.cov_turnover(V.rolling_covariance(rets(s, d))))
+    records = L.monitoring_records(V.cov_turnover(V.rolling_covariance(rets(s, d))))
+    told = F.from_json("record", "struct<ts: long, metrics: struct<cov_turnover: double>>")
+    return records.select(told.alias("t")).select("t.ts", F.round("t.metrics.cov_turnover", 6).alias("cov_turnover"))

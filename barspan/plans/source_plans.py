@@ -111,7 +111,7 @@ def _(s, d):
     return x.select("timestamp_ms", F.size("values").cast("long").alias("n"), F.round(F.aggregate(F.map_values("values"), F.lit(0.0), lambda a, v: a + v), 7).alias("total"))
 
 
-@query("a10_read_manifest")
+@query("a10_read_manifest", "bars", "SELECT DISTINCT symbol, '8h' AS timeframe, CASE WHEN symbol > 'N' THEN 32 ELSE 64 END AS lookback, 30 AS retrain_days, concat('models/', symbol) AS artifact_dir FROM bars")
 def _(s, d):
     path = scratch_path(s, "manifest")
     m = X.daily_bars(s, d).select("symbol").distinct().select("symbol", F.concat(F.lit("models/"), "symbol").alias("artifact_dir"), F.when(F.col("symbol") > "N", 32).alias("lookback"))
@@ -159,7 +159,7 @@ def _(s, d):
     return A.account_metrics(b, p).select("account", r("wallet", 2), r("unrealized", 7), r("margin", 5), r("exposure_pct", 2), "open_positions")
 
 
-@query("a16_monitoring_sink")
+@query("a16_monitoring_sink", "hbars ebars", "SELECT symbol, coalesce(missing, 0) AS missing, 0::BIGINT AS outliers FROM (SELECT * FROM (SELECT symbol, sum((epoch_us(bar_ts) - epoch_us(p)) // 3600000000 - 1)::BIGINT AS missing FROM (SELECT symbol, bar_ts, lag(bar_ts) OVER (PARTITION BY symbol ORDER BY bar_ts) AS p FROM hbars) GROUP BY symbol) UNION ALL SELECT * FROM (SELECT symbol, sum((epoch_us(bar_ts) - epoch_us(p)) // 28800000000 - 1)::BIGINT AS missing FROM (SELECT symbol, bar_ts, lag(bar_ts) OVER (PARTITION BY symbol ORDER BY bar_ts) AS p FROM ebars) GROUP BY symbol))")
 def _(s, d):
     path = scratch_path(s, "monitoring")
     A.append_monitoring(G.quality_report(X.event_bars(s, d, "1h"), "1h"), path)

@@ -105,6 +105,23 @@ def symbol_filters(info: DataFrame, least_notional: float = 0.0) -> DataFrame:
     return s.withColumn("min_notional", F.greatest("min_notional", F.lit(least_notional)))
 
 
+#: Least quantity and step of liquid contracts, for use where the exchange's own are not at hand.
+DEFAULT_FILTERS = {
+    "BTCUSDT": (0.001, 0.0001),
+    "ETHUSDT": (0.01, 0.0001),
+    "BNBUSDT": (0.1, 0.01),
+    "XRPUSDT": (1.0, 1.0),
+    "SOLUSDT": (0.1, 0.01),
+}
+
+
+def default_symbol_filters(symbols: DataFrame, least_notional: float = 5.0, table: dict[str, tuple[float, float]] = DEFAULT_FILTERS) -> DataFrame:
+    """(symbol, step_size, min_qty, min_notional) by a small fixed table: no step or least quantity for symbols it lacks."""
+    rows = symbols.sparkSession.createDataFrame([(k, q, step) for k, (q, step) in table.items()], "_key string, min_qty double, step_size double")
+    zero = lambda c: F.coalesce(c, F.lit(0.0)).alias(c)
+    return symbols.join(F.broadcast(rows), F.upper("symbol") == F.col("_key"), "left").select("symbol", zero("step_size"), zero("min_qty"), F.lit(float(least_notional)).alias("min_notional"))
+
+
 def account_metrics(balances: DataFrame, positions: DataFrame) -> DataFrame:
     """(account, wallet, unrealized, margin, exposure_pct, open_positions) of each account."""
     b = balances.groupBy("account").agg(F.sum("wallet").alias("wallet"))
@@ -120,3 +137,29 @@ def append_monitoring(records: DataFrame, path: str) -> None:
 
 def write_metrics(long_metrics: DataFrame, path: str) -> None:
     long_metrics.write.mode("overwrite").csv(path, header=True)
+
+
+def read_metrics(spark: SparkSession, path: str, keys: str = "strategy_id string") -> DataFrame:
+    return spark.read.csv(path, header=True, schema=f"{keys}, metric string, value double")
+
+
+def write_equity(equity: DataFrame, path: str) -> None:
+    """The NAV by bar as CSV."""
+    equity.select("strategy_id", "bar_ts", "nav").write.mode("overwrite").csv(path, header=True)
+
+
+def read_equity(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.csv(path, header=True, schema="strategy_id string, bar_ts timestamp_ntz, nav double")
+
+
+def write_predictions(predictions: DataFrame, path: str) -> None:
+    """Predictions (symbol, ts, ...) as CSV in the form that read_predictions takes; further columns follow."""
+    ms = unix_millis(F.col("ts"))
+    first = [F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss").alias("timestamp"), ms.alias("timestamp_ms"), F.col("symbol"), F.col("y_pred_logret"), F.col("y_true_logret")]
+    rest = [c for c in predictions.columns if c not in ("ts", "symbol", "y_pred_logret", "y_true_logret")]
+    predictions.select(*first, *rest).write.mode("overwrite").csv(path, header=True)
+
+
+def write_records(rows: DataFrame, path: str) -> None:
+    """One JSON line for each row, such as metrics of each retraining step or one summary."""
+    rows.write.mode("overwrite").json(path)

@@ -81,6 +81,51 @@ def gaps(bars: DataFrame, timeframe: str) -> DataFrame:
     return found.select("symbol", F.timestamp_millis("ms").alias("bar_ts"))
 
 
+def in_order(bars: DataFrame) -> DataFrame:
+    """Bars that are later than all bars of their symbol in earlier batches; within a batch they are taken in order of time.
+
+    This is the strict way with late bars. The tolerant one is a watermark with a delay, as in tick_bars. State is one time
+    for each symbol.
+    """
+    names = [c for c in bars.columns if c != "event_ts"]
+    schema = type(bars.schema)([bars.schema[c] for c in names]).add("ms", "long")
+
+    def one(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        last = state.get[0] if state.exists else None
+        rows = pd.concat(list(batches)).sort_values("ms", kind="stable").drop_duplicates("ms")
+        rows = rows if last is None else rows[rows["ms"] > last]
+        if len(rows):
+            state.update((int(rows["ms"].iloc[-1]),))
+        yield rows[[*names, "ms"]]
+
+    keyed = bars.withColumn("ms", F.unix_millis("event_ts")).drop("event_ts").groupBy("symbol")
+    kept = keyed.applyInPandasWithState(one, schema, "last long", "append", GroupStateTimeout.NoTimeout)
+    return kept.withColumn("event_ts", F.timestamp_millis("ms")).drop("ms")
+
+
+def feature_updates(bars: DataFrame, history: DataFrame, funding: DataFrame, path: str, checkpoint: str, warmup: int = 200):
+    """Feature rows of new bars, equal to those that a batch over all bars gives for them, appended to path/features.
+
+    bars: a stream (symbol, open, high, low, close, volume, event_ts); history: the bars before it. Each micro-batch keeps
+    its bars in path/bars by number, so that one that runs again replaces what it wrote, and computes features over
+    history and kept bars; of these it writes the rows of its own bars.
+    """
+    from barspan.operators.features import feature_frame
+
+    columns = ["symbol", "bar_ts", "open", "high", "low", "close", "volume"]
+
+    def run(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        rows = batch.withColumn("bar_ts", F.col("event_ts").cast("timestamp_ntz")).select(*columns)
+        rows.write.mode("overwrite").parquet(f"{path}/bars/batch={number}")
+        kept = spark.read.parquet(f"{path}/bars").filter(F.col("batch") <= number)
+        new = kept.filter(F.col("batch") == number).select("symbol", "bar_ts").distinct()
+        every = history.select(*columns).unionByName(kept.select(*columns)).dropDuplicates(["symbol", "bar_ts"])
+        feature_frame(every, funding, warmup).join(new, ["symbol", "bar_ts"], "left_semi").write.mode("overwrite").parquet(f"{path}/features/batch={number}")
+
+    return bars.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(run).start()
+
+
 def live_features(bars: DataFrame, spans: int = 20) -> DataFrame:
     """(symbol, bar_ts, log_ret, mom_3, ema): features of each new bar from a few numbers of state per symbol.
 
