@@ -254,14 +254,22 @@ def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, size: int, pairs_a_task: int, components: DataFrame | None = None) -> DataFrame:
-    """Links that join components (or documents), among candidate pairs (a asks, b is indexed), in buckets of about pairs_a_task."""
+    """Links that join components (or documents), among candidate pairs (a asks, b is indexed), in buckets of about pairs_a_task.
+
+    What a document asks goes to one bucket, so that its lists are searched once; one that asks for more than pairs_a_task
+    others goes to as many buckets as these take.
+    """
     buckets = max(1, -(-pairs.count() // pairs_a_task))
-    bucket = F.pmod(F.xxhash64("a"), F.lit(buckets)).alias("bucket")
-    asks = pairs.select(bucket, F.col("a").alias("doc_id"), F.lit(True).alias("asks"), F.lit(False).alias("indexed"))
-    indexed = pairs.select(bucket, F.col("b").alias("doc_id"), F.lit(False).alias("asks"), F.lit(True).alias("indexed"))
+    many = pairs.groupBy(F.col("a").alias("asking")).agg(F.ceil(F.count("*") / pairs_a_task).alias("slices")).filter("slices > 1")
+    sliced = pairs.join(many, F.col("a") == F.col("asking"), "left")
+    slice_of = F.coalesce(F.pmod(F.xxhash64("b"), F.col("slices")), F.lit(0).cast("long"))
+    placed = sliced.select("a", "b", F.pmod(F.xxhash64("a", slice_of), F.lit(buckets)).alias("bucket"))
+    asks = placed.select("bucket", F.col("a").alias("doc_id"), F.lit(True).alias("asks"), F.lit(False).alias("indexed"))
+    indexed = placed.select("bucket", F.col("b").alias("doc_id"), F.lit(False).alias("asks"), F.lit(True).alias("indexed"))
     dealt = asks.unionByName(indexed).groupBy("bucket", "doc_id").agg(F.max("asks").alias("asks"), F.max("indexed").alias("indexed"))
     if components is not None:
-        dealt = dealt.join(components.withColumnRenamed("rep", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
+        named = components.withColumnRenamed("rep", "doc_id")
+        dealt = dealt.join(named, "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
     else:
         dealt = dealt.withColumn("component", F.col("doc_id"))
     return dealt.join(texts, "doc_id").groupBy("bucket").applyInArrow(_t_occurrence(size), "src long, dst long")
