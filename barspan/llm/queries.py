@@ -184,5 +184,16 @@ SELECT e.vec_id, coalesce(n.n_links, 0) AS n_links, coalesce(c.low, e.vec_id) AS
 FROM embeddings e LEFT JOIN n ON e.vec_id = n.vec_id LEFT JOIN c ON e.vec_id = c.vec_id
 """
 
-QUERIES = {"op1_quality_classifier": op1_quality_classifier, "op2_ngram_join": op2_ngram_join, "op3_warc_derivatives": op3_warc_derivatives, "op4_mixing": op4_mixing, "op5_token_counts": op5_token_counts, "op6_best_fit_packing": op6_best_fit_packing, "op7_line_dedup": op7_line_dedup, "op8_reply_trees": op8_reply_trees, "op9_quality_rules": op9_quality_rules, "op10_pivot_dedup": op10_pivot_dedup}
+QUERIES = {
+    "op1_quality_classifier": op1_quality_classifier,
+    "op2_ngram_join": op2_ngram_join,
+    "op3_warc_derivatives": op3_warc_derivatives,
+    "op4_mixing": op4_mixing,
+    "op5_token_counts": op5_token_counts,
+    "op6_best_fit_packing": op6_best_fit_packing,
+    "op7_line_dedup": op7_line_dedup,
+    "op8_reply_trees": op8_reply_trees,
+    "op9_quality_rules": op9_quality_rules,
+    "op10_pivot_dedup": op10_pivot_dedup,
+}
 SQL = {"op2_ngram_join": OP2_SQL, "op7_line_dedup": OP7_SQL, "op8_reply_trees": OP8_SQL, "op9_quality_rules": OP9_SQL, "op10_pivot_dedup": OP10_SQL}

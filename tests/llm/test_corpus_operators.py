@@ -15,9 +15,9 @@ from barspan.llm.mixing import mix, mixing_rates, mixing_sample, rake
 from barspan.llm.ngram_join import InvertedLists, may_match, ngram_join, parity, shingles
 from barspan.llm.packing import best_fit_packing, nonnegative_least_squares, plan_packing, token_pieces
 from barspan.llm.pivot_dedup import pivot_dedup
-from barspan.llm.pu_quality import estimate_prior, fit, quality_scores
+from barspan.llm.pu_quality import N_FEATURES, estimate_prior, expand, fit, quality_scores
 from barspan.llm.quality_rules import quality_rules
-from barspan.llm.queries import QUERIES, vocabulary
+from barspan.llm.queries import QUERIES, SQL, vocabulary
 from barspan.llm.token_cache import counter, token_counts
 from barspan.llm.warc import derive, parse_warc, plain_text, read_page, read_warc, responses_of_pages, sha1_digest, warc_derivatives, write_warc
 
@@ -671,6 +671,74 @@ def test_stages_on_odd_tables(spark):
     assert corpus_pipeline.packing(spark, docs.limit(0), sf).count() == 0
 
 
+def test_pipeline_against_brute_force(spark):
+    """Every stage on what the stage before kept: verdicts, lines, classes, rates and packing by plain loops."""
+    import corpus_pipeline
+    from tokenizers import Tokenizer
+
+    sf = "/root/testdata/sf0.001"
+    documents = spark.read.parquet(f"{sf}/documents.parquet")
+    verdicts = {r.doc_id: r.predicted for r in QUERIES["op1_quality_classifier"](spark, sf).collect()}
+    texts = {r.doc_id: r.text for r in documents.collect()}
+    assert len(texts) == documents.count()
+    texts = {i: t for i, t in texts.items() if verdicts[i]}
+    texts = {i: t if texts[i] is not None else None for i, _, _, t in brute_lines(list(texts.items()))}
+    texts = {i: texts[i] for i, _, c in brute_join(list(texts.items())) if i == c}
+    where = documents.select("doc_id", "lang", "source")
+    left = spark.createDataFrame(list(texts.items()), "doc_id long, text string").join(where, "doc_id")
+    kept = {r.doc_id for r in mixing_sample(*mixing_rates(left)).filter("kept").collect()}
+    final = corpus_pipeline.run(spark, sf).collect()
+    t = Tokenizer.from_file(vocabulary("word_bpe_49k.json"))
+    ids = {i: t.encode(texts[i] or "", add_special_tokens=False).ids + [1] for i in kept}
+    want = Counter((i, k, len(x[at : at + 4096]), zlib.crc32(np.array(x[at : at + 4096], "<u4").tobytes())) for i, x in ids.items() for k, at in enumerate(range(0, len(x), 4096)))
+    assert Counter((r.doc_id, r.piece, r.length, r.ids_crc32) for r in final) == want
+    by_sequence = defaultdict(list)
+    for r in final:
+        by_sequence[r.sequence_id].append((r.offset, r.length))
+    for places in by_sequence.values():
+        ends = [0, *(a + n for a, n in sorted(places))]
+        assert [a for a, _ in sorted(places)] == ends[:-1] and ends[-1] <= 4096
+
+
+@pytest.mark.parametrize("name", sorted(SQL))
+def test_query_against_its_sql(spark, name):
+    duckdb = pytest.importorskip("duckdb")
+    con = duckdb.connect()
+    for t in ("documents", "embeddings", "conversations"):
+        con.execute(f"create view {t} as select * from '/root/testdata/sf0.001/{t}.parquet'")
+    want = con.execute(SQL[name])
+    columns = [c[0] for c in want.description]
+    got = QUERIES[name](spark, "/root/testdata/sf0.001")
+    assert sorted(columns) == sorted(got.columns)
+    assert sorted((tuple(r) for r in got.select(*columns).collect()), key=str) == sorted(want.fetchall(), key=str)
+
+
+def test_training_equals_plain_steps():
+    """The non-negative risk by hand, example by example, with the same steps of the optimiser."""
+    rng = np.random.default_rng(14)
+    p, u = rng.normal(size=(30, N_FEATURES)) + 0.3, rng.normal(size=(40, N_FEATURES))
+    model = fit(p.astype(np.float32), u.astype(np.float32), prior=0.5, steps=15)
+    every = np.concatenate([p, u]).astype(np.float32).astype(float)
+    mean, sd = every.mean(0), every.std(0) + 1e-6
+    ep, eu = expand(p.astype(np.float32), mean, sd).astype(float), expand(u.astype(np.float32), mean, sd).astype(float)
+    l2, w = 1e-3 + 1 / 30, np.zeros(ep.shape[1])
+    m, v = w.copy(), w.copy()
+    sigma = lambda z: 1 / (1 + np.exp(-z))
+    for t in range(1, 16):
+        plus, minus, risk = np.zeros_like(w), np.zeros_like(w), 0.0
+        for x in ep:
+            plus -= 0.5 * (1 - sigma(x @ w)) * x / len(ep)
+            minus -= 0.5 * sigma(x @ w) * x / len(ep)
+            risk -= 0.5 * np.log1p(np.exp(x @ w)) / len(ep)
+        for x in eu:
+            minus += sigma(x @ w) * x / len(eu)
+            risk += np.log1p(np.exp(x @ w)) / len(eu)
+        g = (plus + minus if risk >= 0 else -minus) + l2 * w
+        m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
+        w = w - 0.05 * m / (1 - 0.9**t) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
+    assert np.allclose(model["weights"], w, atol=2e-3)
+
+
 def test_pieces_of_the_pipeline(spark):
     import corpus_pipeline
 
