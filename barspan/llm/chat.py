@@ -116,7 +116,11 @@ def reply_trees(messages: DataFrame, branches: int = 1) -> DataFrame:
 
 
 def chains(conversations: DataFrame) -> DataFrame:
-    """Flat conversations as reply trees with one branch: each row answers the one before it by turn, role and text."""
+    """Flat conversations as reply trees with one branch: each row answers the one before it by turn, role and text.
+
+    Rows without conv_id belong to no conversation and are left out; rows that repeat are messages of their own. An empty
+    table gives an empty one, and further columns are ignored.
+    """
     order = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
     at = conversations.filter("conv_id is not null").select(F.col("conv_id").alias("tree_id"), F.row_number().over(order).cast("long").alias("node_id"), "role", "text")
     return at.withColumn("parent_id", F.when(F.col("node_id") > 1, F.col("node_id") - 1)).withColumn("score", F.lit(1.0))
