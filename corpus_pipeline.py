@@ -15,7 +15,7 @@ from barspan.llm.queries import vocabulary
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier accepts (score of 0.7 or more)."""
+    """Documents that the classifier accepts (score of 0.7 or more). Null texts are scored as empty; repeated rows stay together."""
     scored = quality_scores(docs, table(spark, sf_dir, "labels"), columns=tuple(docs.columns))
     return scored.filter(F.col(scored.columns[-1]) == 1).select(*docs.columns)
 
@@ -26,7 +26,7 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest doc_id of each class of near-duplicates."""
+    """The document with the smallest doc_id of each class of near-duplicates; rows without doc_id or words stay."""
     others = ngram_join(docs).filter("doc_id <> component_id").select("doc_id").distinct()
     return docs.join(others.hint("shuffle_hash"), docs["doc_id"] == others["doc_id"], "left_anti")
 
@@ -37,7 +37,10 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of the remaining documents with their places in packed sequences."""
+    """Pieces of the remaining documents with their places in packed sequences: ids, lengths and checksums, no texts.
+
+    Every row that mixing kept is packed, also one without text or doc_id; an empty table gives no pieces.
+    """
     return best_fit_packing(docs, vocabulary("word_bpe_49k.json"))
 
 
