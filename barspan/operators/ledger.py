@@ -46,11 +46,10 @@ def position_ledger(priced: DataFrame) -> DataFrame:
             elif action == "add":
                 entry = (entry * abs(prev) + px * qty) / (abs(prev) + qty)
             out.append(entry)
-        return pdf[["account", "symbol", "seq"]].assign(entry=out)
+        return pdf.assign(entry=out)
 
-    kinds = dict(priced.dtypes)
-    e = rows.groupBy("account", "symbol", "_run").applyInPandas(entries, f"account {kinds['account']}, symbol string, seq {kinds['seq']}, entry double")
-    rows = rows.drop("_run").join(e, ["account", "symbol", "seq"])
+    schema = type(rows.schema)(list(rows.schema.fields)).add("entry", "double")
+    rows = rows.groupBy("account", "symbol", "_run").applyInPandas(entries, schema).drop("_run")
     before = F.lag("entry").over(by_position())
     closed = F.when(F.col("action").isin("close", "flip"), F.col("prev_position")).when(F.col("action") == "reduce", -F.col("signed_qty")).otherwise(0.0)
     rows = rows.withColumn("realized", F.coalesce((F.col("fill_px") - before) * closed, F.lit(0.0)))
