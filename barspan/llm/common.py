@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Characters that separate words; the complement makes a word.
-SPACE_CLASS = r"[\x20\x09-\x0D]"
+BLANKS = " \t\n\x0b\x0c\r"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -58,7 +58,9 @@ def let(value: Column, body) -> Column:
 
 def word_array(text: Column) -> Column:
     """Words of the text in order; null and empty texts have none."""
-    return F.array_remove(F.split(F.coalesce(text, F.lit("")), SPACE_CLASS + "+"), "")
+    # One kind of blank, as splitting at a single character needs no pattern.
+    spaced = F.translate(F.coalesce(text, F.lit("")), BLANKS, " " * len(BLANKS))
+    return F.array_remove(F.split(spaced, " "), "")
 
 
 def free_names(df: DataFrame, *names: str) -> list[str]:

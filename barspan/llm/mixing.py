@@ -9,7 +9,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from barspan.llm.common import materialize
+from barspan.llm.common import materialize, word_array
 
 DIMENSIONS = ("source", "lang", "topic")
 
@@ -24,8 +24,7 @@ TOPIC_MARKS = {
 
 def word_count(text: Column) -> Column:
     """Words of the text, the token weight where no count by a tokenizer is at hand."""
-    spaced = F.translate(F.coalesce(text, F.lit("")), "\t\n\x0b\x0c\r", "     ")
-    return F.size(F.array_remove(F.split(spaced, " "), "")).cast("long")
+    return F.size(word_array(text)).cast("long")
 
 
 def topic_of(text: Column, marks: dict[str, tuple[str, ...]] = TOPIC_MARKS) -> Column:

@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from barspan.llm.common import SPACE_CLASS, let, word_array
+from barspan.llm.common import BLANKS, let, word_array
 
 # Function words of English, German, French and Spanish that count as stop words.
 STOP_WORDS = (
@@ -18,6 +18,7 @@ STOP_WORDS = (
 ).split()
 STOP_WORDS = tuple(dict.fromkeys(STOP_WORDS))
 
+#: Words of a window, a power of two.
 WINDOW = 8
 
 
@@ -51,8 +52,15 @@ def _count(items: Column, test) -> Column:
 
 def _repeat_words(words: Column) -> Column:
     """Words inside windows of eight words that the text holds at least twice."""
-    starts = F.sequence(F.lit(1), F.size(words) - (WINDOW - 1))
-    hashes = F.when(F.size(words) >= WINDOW, F.transform(starts, lambda i: F.xxhash64(F.slice(words, i, WINDOW))))
+
+    def joined(hashes: Column, width: int) -> Column:
+        """Hashes of windows twice as wide, from those of windows of `width` words."""
+        n = F.size(hashes) - width
+        return F.zip_with(F.slice(hashes, 1, n), F.slice(hashes, width + 1, n), lambda a, b: F.xxhash64(a, b))
+
+    single = F.transform(words, lambda w: F.xxhash64(w))
+    doubled = let(single, lambda h1: let(joined(h1, 1), lambda h2: let(joined(h2, 2), lambda h4: joined(h4, 4))))
+    hashes = F.when(F.size(words) >= WINDOW, doubled)
 
     def covered(ordered: Column) -> Column:
         same = lambda s, k: F.get(ordered, k)["h"].eqNullSafe(s["h"])
@@ -80,7 +88,7 @@ def text_metrics(text: Column) -> Column:
         words, lines = v["words"], v["lines"]
         return F.struct(
             F.size(words).cast("long").alias("n_words"),
-            F.length(F.regexp_replace(body, SPACE_CLASS + "+", "")).cast("long").alias("word_chars"),
+            F.length(F.translate(body, BLANKS, "")).cast("long").alias("word_chars"),
             (F.length(body) - F.length(F.translate(body, "#*$%&|<>", ""))).cast("long").alias("n_symbols"),
             (F.size(lines) - F.size(F.array_distinct(lines))).cast("long").alias("n_dup_lines"),
             _repeat_words(words).alias("n_repeat_words"),

@@ -737,19 +737,3 @@ def test_training_equals_plain_steps():
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         w = w - 0.05 * m / (1 - 0.9**t) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
     assert np.allclose(model["weights"], w, atol=2e-3)
-
-
-def test_pieces_of_the_pipeline(spark):
-    import corpus_pipeline
-
-    sf = "/root/testdata/sf0.001"
-    documents = spark.read.parquet(f"{sf}/documents.parquet")
-    kept = corpus_pipeline.near_duplicates(spark, documents, sf)
-    want = {i for i, _, c in brute_join([(r.doc_id, r.text) for r in documents.collect()]) if i == c}
-    assert {r.doc_id for r in kept.collect()} == want
-    assert corpus_pipeline.lines(spark, documents, sf).columns == documents.columns
-    final = corpus_pipeline.run(spark, sf).collect()
-    used = defaultdict(int)
-    for r in final:
-        used[r.sequence_id] += r.length
-    assert final and max(used.values()) <= 4096 and {r.doc_id for r in final} <= want
