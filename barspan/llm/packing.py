@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from barspan.llm.common import materialize
 
 #: Words of one generation of a Python worker's memory; it holds two, and words that are met again move to the younger.
-_WORDS_KEPT = 750_000
+_WORDS_KEPT = 400_000
 _CONTROLS = bytes(range(0x1C, 0x20))
 _LETTERS = re.compile("[A-Za-zªµºÀ-ÖØ-öø-ÿ]+")
 

@@ -143,10 +143,10 @@ def _scored(model: dict | None, text: str, score: str):
         for batch in batches:
             at = batch.schema.get_field_index(text)
             scores = np.full(batch.num_rows, 0.5)
-            if model is not None and batch.num_rows:
-                x = np.stack([features(t.as_py()) for t in batch.column(at)])
+            for i in range(0, batch.num_rows if model is not None else 0, 512):
+                x = np.stack([features(t.as_py()) for t in batch.column(at)[i : i + 512]])
                 # Row by row: products of matrices may round differently in batches of another size.
-                scores = _sigmoid((expand(x, model["mean"], model["sd"]) * model["weights"]).sum(axis=1))
+                scores[i : i + 512] = _sigmoid((expand(x, model["mean"], model["sd"]) * model["weights"]).sum(axis=1))
             keep = [i for i in range(batch.num_columns) if i != at]
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in keep), pa.array(scores)], names=[*(batch.schema.names[i] for i in keep), score])
 
