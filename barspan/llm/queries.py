@@ -11,14 +11,17 @@ from pyspark.sql import functions as F
 from barspan.llm.chat import END, SEP, TURN, chains, parse_turns, reply_trees, unescape
 from barspan.llm.common import table
 from barspan.llm.line_dedup import line_dedup
+from barspan.llm.maxent_lm import lm_scores
 from barspan.llm.mixing import mixing_rates, mixing_sample
 from barspan.llm.ngram_join import ngram_join
 from barspan.llm.packing import best_fit_packing
 from barspan.llm.pivot_dedup import pivot_dedup
 from barspan.llm.pu_quality import quality_scores
 from barspan.llm.quality_rules import RULES, STOP_WORDS, quality_rules
+from barspan.llm.repair import damage, repair_report
 from barspan.llm.token_cache import token_counts
 from barspan.llm.warc import responses_of_pages, warc_derivatives
+from barspan.llm.whitening import whiten
 
 
 def vocabulary(name: str) -> str:
@@ -184,6 +187,62 @@ SELECT e.vec_id, coalesce(n.n_links, 0) AS n_links, coalesce(c.low, e.vec_id) AS
 FROM embeddings e LEFT JOIN n ON e.vec_id = n.vec_id LEFT JOIN c ON e.vec_id = c.vec_id
 """
 
+
+def op11_structure_repair(spark, sf_dir):
+    given = table(spark, sf_dir, "conversations")
+    report = repair_report(damage(given), "place").withColumnRenamed("conv_id", "of")
+    every = given.select("conv_id").distinct().join(report, F.col("conv_id").eqNullSafe(F.col("of")), "left")
+    none = {"audit": F.lit(""), "repaired_sha256": F.lit(hashlib.sha256(b"").hexdigest())}
+    return every.select("conv_id", *[F.coalesce(c, none.get(c, F.lit(0).cast("long"))).alias(c) for c in report.columns if c != "of"])
+
+
+#: Edits by dynamic programming over rows, the state of least (cost, audit) carried by recursion; crc32 bit by bit.
+OP11_SQL = r"""
+WITH RECURSIVE o AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, concat(coalesce(conv_id::VARCHAR, ' '), ':', coalesce(turn::VARCHAR, ' ')) AS k FROM conversations),
+h AS (SELECT *, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(k, ''), lambda c: ascii(c)::BIGINT)),
+        lambda s, b: list_reduce(list_prepend(xor(s, b), [0::BIGINT, 0, 0, 0, 0, 0, 0, 0]), lambda v, z: xor(v >> 1, (v & 1) * 3988292384::BIGINT))), 4294967295::BIGINT) % 20 AS code FROM o),
+g AS (SELECT conv_id, turn, role AS was, text AS said, copy, CASE WHEN code = 4 THEN 'user' ELSE role END AS role,
+        CASE code WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text
+      FROM h, range(2) AS t(copy) WHERE code <> 0 AND (copy = 0 OR code = 3)),
+p AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, was, said, copy) AS n FROM g),
+f AS (SELECT conv_id, turn, n, role, text, left(role, 1) AS x,
+        CASE WHEN NOT regexp_matches(text, '[^\x20\x09-\x0D]') THEN 'b' WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY n) > 1 THEN 'd'
+             WHEN NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*$') THEN 't' ELSE '' END AS fault,
+        concat(lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY n), left(role, 1)) AS two FROM p),
+c AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0)::BIGINT AS gaps, count(*) FILTER (fault = 'b') AS blank, count(*) FILTER (fault = 'd') AS duplicate,
+        count(*) FILTER (fault = 't') AS truncated, count(*) FILTER (n > 1 AND two NOT IN ('su', 'ua', 'au')) AS illegal, count(*) AS n FROM f GROUP BY conv_id),
+-- Least (cost, audit) of each state before the next row, with the turns that may be put in there: q0 nothing, qs, qu, qa.
+e AS (SELECT conv_id, 1 AS n, {'c': 0, 'a': ''} AS q0, {'c': 1000000000, 'a': ''} AS qs, {'c': 2, 'a': 'I'} AS qu, {'c': 4, 'a': 'II'} AS qa FROM c
+      UNION ALL
+      SELECT conv_id, n, q0, qs, qu2, least(qa2, {'c': qu2.c + 2, 'a': qu2.a || 'I'}) FROM (
+        SELECT conv_id, n, q0, qs, qa1, qa1 AS qa2, least(qu1, {'c': q0.c + 2, 'a': q0.a || 'I'}, {'c': qs.c + 2, 'a': qs.a || 'I'}, {'c': qa1.c + 2, 'a': qa1.a || 'I'}) AS qu2 FROM (
+          SELECT e.conv_id, e.n + 1 AS n, {'c': q0.c + 3, 'a': q0.a || 'D'} AS q0,
+            least({'c': qs.c + 3, 'a': qs.a || 'D'}, {'c': q0.c + k + CASE WHEN x = 's' THEN 0 ELSE 1000000000 END, 'a': q0.a || 'K'}) AS qs,
+            least({'c': qu.c + 3, 'a': qu.a || 'D'}, {'c': q0.c + k + u, 'a': q0.a || ue}, {'c': qs.c + k + u, 'a': qs.a || ue}, {'c': qa.c + k + u, 'a': qa.a || ue}) AS qu1,
+            least({'c': qa.c + 3, 'a': qa.a || 'D'}, {'c': qu.c + k + v, 'a': qu.a || ve}) AS qa1
+          FROM e JOIN (SELECT conv_id, n, x, CASE fault WHEN 't' THEN 1 WHEN '' THEN 0 ELSE 1000000000 END AS k, CASE WHEN x = 'u' THEN 0 ELSE 2 END AS u, CASE WHEN x = 'a' THEN 0 ELSE 2 END AS v,
+                CASE WHEN x = 'u' THEN 'K' ELSE 'R' END AS ue, CASE WHEN x = 'a' THEN 'K' ELSE 'R' END AS ve FROM f) r
+          ON r.conv_id IS NOT DISTINCT FROM e.conv_id AND r.n = e.n))),
+b AS (SELECT c.*, least(q0, qa) AS best FROM c JOIN e ON e.conv_id IS NOT DISTINCT FROM c.conv_id AND e.n = c.n + 1),
+a AS (SELECT conv_id, i, substr(best.a, i, 1) AS edit FROM (SELECT conv_id, best, unnest(range(1, length(best.a) + 1)) AS i FROM b)),
+y AS (SELECT a.conv_id, i, edit, count(*) FILTER (edit <> 'I') OVER w AS n, count(*) FILTER (edit <> 'D') OVER w AS k FROM a WINDOW w AS (PARTITION BY conv_id ORDER BY i)),
+z AS (SELECT y.conv_id, i, y.k, edit, f.role, f.text, max(CASE WHEN y.k = 1 AND edit = 'K' AND f.x = 's' THEN 1 ELSE 0 END) OVER (PARTITION BY y.conv_id) AS s
+      FROM y LEFT JOIN f ON edit <> 'I' AND f.conv_id IS NOT DISTINCT FROM y.conv_id AND f.n = y.n WHERE edit <> 'D'),
+t AS (SELECT conv_id, string_agg(CASE WHEN edit = 'K' THEN role WHEN (k - s) % 2 = 1 THEN 'user' ELSE 'assistant' END || ':' || coalesce(text, ''), chr(10) ORDER BY i) AS told, count(*) AS turns FROM z GROUP BY conv_id)
+SELECT d.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+  coalesce(best.c, 0)::BIGINT AS cost, coalesce(best.a, '') AS audit, sha256(coalesce(told, '')) AS repaired_sha256, coalesce(turns, 0) AS repaired_turns
+FROM (SELECT DISTINCT conv_id FROM conversations) d LEFT JOIN b ON b.conv_id IS NOT DISTINCT FROM d.conv_id LEFT JOIN t ON t.conv_id IS NOT DISTINCT FROM d.conv_id
+"""
+
+
+def op12_whitening(spark, sf_dir):
+    return whiten(table(spark, sf_dir, "embeddings"))
+
+
+def op13_lm_scoring(spark, sf_dir):
+    return lm_scores(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_quality_classifier": op1_quality_classifier,
     "op2_ngram_join": op2_ngram_join,
@@ -195,5 +254,15 @@ QUERIES = {
     "op8_reply_trees": op8_reply_trees,
     "op9_quality_rules": op9_quality_rules,
     "op10_pivot_dedup": op10_pivot_dedup,
+    "op11_structure_repair": op11_structure_repair,
+    "op12_whitening": op12_whitening,
+    "op13_lm_scoring": op13_lm_scoring,
+}
+SQL = {
+    "op2_ngram_join": OP2_SQL,
+    "op7_line_dedup": OP7_SQL,
+    "op8_reply_trees": OP8_SQL,
+    "op9_quality_rules": OP9_SQL,
+    "op10_pivot_dedup": OP10_SQL,
+    "op11_structure_repair": OP11_SQL,
 }
-SQL = {"op2_ngram_join": OP2_SQL, "op7_line_dedup": OP7_SQL, "op8_reply_trees": OP8_SQL, "op9_quality_rules": OP9_SQL, "op10_pivot_dedup": OP10_SQL}
