@@ -23,14 +23,19 @@ def tsmom(log_ret: str, k: int) -> Column:
     return F.sum(log_ret).over(w) / F.when(root == 0, 1e-9).otherwise(root)
 
 
-def with_rsi(bars: DataFrame, n: int = 12, out: str = "rsi") -> DataFrame:
-    """Wilder's RSI: 100 where only rises are left, 50 where nothing moves, null for the first n bars."""
+def smoothed_moves(bars: DataFrame, n: int) -> DataFrame:
+    """Add rises and falls of the close (_up, _down), their averages (_au, _ad) and Wilder's RSI (_rsi)."""
     diff = F.col("close") - F.lag("close").over(by_symbol())
     moved = bars.withColumns({"_up": F.greatest(diff, F.lit(0.0)), "_down": F.greatest(-diff, F.lit(0.0))}).withColumns({"_up": F.when(diff.isNotNull(), F.col("_up")), "_down": F.when(diff.isNotNull(), F.col("_down"))})
     smooth = wilder(wilder(moved, "_up", n, "_au"), "_down", n, "_ad")
     rs = F.try_divide(F.col("_au"), F.col("_ad"))
-    value = F.when(F.col("_ad") > 1e-300, 100 - 100 / (1 + rs)).when(F.col("_au") > 0, 100.0).when(F.col("_au") == 0, 50.0)
-    return smooth.withColumn(out, value).drop("_up", "_down", "_au", "_ad")
+    return smooth.withColumn("_rsi", F.when(F.col("_ad") > 1e-300, 100 - 100 / (1 + rs)).when(F.col("_au") > 0, 100.0).when(F.col("_au") == 0, 50.0))
+
+
+def with_rsi(bars: DataFrame, n: int = 12, out: str = "rsi") -> DataFrame:
+    """Wilder's RSI: 100 where only rises are left, 50 where nothing moves, null for the first n bars."""
+    rows = smoothed_moves(bars, n).drop("_up", "_down", "_au", "_ad")
+    return rows.withColumnRenamed("_rsi", out)
 
 
 def innovation(df: DataFrame, x: str, span: int, out: str) -> DataFrame:

@@ -20,6 +20,7 @@ from barspan.plans.bars_plans import r, with_tables
 from barspan.sources import readers as A
 from barspan.sources.scratch import scratch_path
 from barspan.streaming import bars as M
+from barspan.streaming.features import feature_updates, live_features
 
 QUERIES, SQL = {}, {}
 _W = "PARTITION BY symbol ORDER BY bar_ts"
@@ -107,7 +108,7 @@ def _(s, d):
     for late in (False, True):  # the stream stops and goes on from its checkpoint
         new.filter((F.col("event_ts") >= "1998-05-01") == late).write.mode("append").parquet(landed)
         stream = s.readStream.schema(schema).parquet(landed)
-        M.feature_updates(stream, bars.filter(F.col("bar_ts") < cut), X.funding(s, d), out, f"{out}/state").awaitTermination()
+        feature_updates(stream, bars.filter(F.col("bar_ts") < cut), X.funding(s, d), out, f"{out}/state").awaitTermination()
     names = B._FEATURE_NAMES.split(", ")
     rows = s.read.schema("symbol string, bar_ts timestamp_ntz, " + ", ".join(f"{c} double" for c in names)).parquet(f"{out}/features")
     return rows.select("symbol", "bar_ts", *[r(c, 6) for c in names])
@@ -175,7 +176,23 @@ def _(s, d):
     return L.slow_forecasts(p).select("symbol", "ts", "latency_ms")
 
 
-# M: history and continuation, late bars
+# M: all features live, history and continuation, late bars
+_HOURS = with_tables("rets funding", B._FEATURE_FRAME).replace(X.SQL["bars"], X.SQL["hbars"])
+
+
+@query("m06_live_features", "", _HOURS)
+def _(s, d):
+    """All eight features of hourly bars, none known before; the stream stops after half of them and goes on."""
+    landed, out, state = (scratch_path(s, x) for x in ("live-hours", "live-hour-features", "live-hour-state"))
+    bars = X.event_bars(s, d, "1h").withColumn("event_ts", F.col("bar_ts").cast("timestamp")).drop("bar_ts")
+    names = B._FEATURE_NAMES.split(", ")
+    for late in (False, True):
+        bars.filter((F.dayofmonth("event_ts") > 15) == late).write.mode("append").parquet(landed)
+        stream = s.readStream.schema(bars.schema).parquet(landed)
+        made = M.run_available(live_features(stream), out, state)
+    return made.select("symbol", F.col("bar_ts").cast("timestamp_ntz").alias("bar_ts"), *[r(c, 6) for c in names])
+
+
 @query("m02_history_then_live", "bars", "SELECT symbol, bar_ts, round(close, 7) AS close FROM bars")
 def _(s, d):
     """The newest bars of the past come in one load, later ones by a stream that stops and goes on from its checkpoint."""

@@ -206,12 +206,12 @@ def _(s, d):
     return _done(s, M.gaps(_landed_bars(s, d, "1h"), "1h")).select("symbol", *_ntz("bar_ts"))
 
 
-@query("m06_live_features", "ebars", """, b AS (SELECT *, ln(close) - ln(lag(close) OVER w) AS log_ret, (row_number() OVER w - 1)::DOUBLE AS i FROM ebars WINDOW w AS (PARTITION BY symbol ORDER BY bar_ts))
+@query("m06_live_momentum", "ebars", """, b AS (SELECT *, ln(close) - ln(lag(close) OVER w) AS log_ret, (row_number() OVER w - 1)::DOUBLE AS i FROM ebars WINDOW w AS (PARTITION BY symbol ORDER BY bar_ts))
 SELECT symbol, bar_ts, round(log_ret, 8) AS log_ret, round(sum(log_ret) OVER t / CASE WHEN sum(log_ret * log_ret) OVER t = 0 THEN 1e-9 ELSE sqrt(sum(log_ret * log_ret) OVER t) END, 8) AS mom_3,
 round(power(19.0::DOUBLE / 21, i) * sum(CASE WHEN i = 0 THEN close ELSE close * 2 / 21 END * power(19.0::DOUBLE / 21, -i)) OVER (PARTITION BY symbol ORDER BY bar_ts), 6) AS ema
 FROM b WINDOW t AS (PARTITION BY symbol ORDER BY bar_ts ROWS BETWEEN 2 PRECEDING AND CURRENT ROW)""")
 def _(s, d):
-    return _done(s, M.live_features(_landed_bars(s, d, "8h"))).select("symbol", *_ntz("bar_ts"), r("log_ret"), r("mom_3"), r("ema", 6))
+    return _done(s, M.live_momentum(_landed_bars(s, d, "8h"))).select("symbol", *_ntz("bar_ts"), r("log_ret"), r("mom_3"), r("ema", 6))
 
 
 @query("m07_stream_funding", "ebars", "SELECT symbol, bar_ts, round(CASE WHEN day(bar_ts) % 2 = 0 THEN 0.001::DOUBLE * day(bar_ts) ELSE 0 END, 8) AS funding FROM ebars")

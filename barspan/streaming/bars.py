@@ -11,6 +11,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from barspan.functions.scalars import timeframe_ms
 from barspan.sources.readers import decode_klines
+from barspan.streaming.state import rocksdb_state
 
 
 def stream_klines(spark: SparkSession, path: str) -> DataFrame:
@@ -103,30 +104,7 @@ def in_order(bars: DataFrame) -> DataFrame:
     return kept.withColumn("event_ts", F.timestamp_millis("ms")).drop("ms")
 
 
-def feature_updates(bars: DataFrame, history: DataFrame, funding: DataFrame, path: str, checkpoint: str, warmup: int = 200):
-    """Feature rows of new bars, equal to those that a batch over all bars gives for them, appended to path/features.
-
-    bars: a stream (symbol, open, high, low, close, volume, event_ts); history: the bars before it. Each micro-batch keeps
-    its bars in path/bars by number, so that one that runs again replaces what it wrote, and computes features over
-    history and kept bars; of these it writes the rows of its own bars.
-    """
-    from barspan.operators.features import feature_frame
-
-    columns = ["symbol", "bar_ts", "open", "high", "low", "close", "volume"]
-
-    def run(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        rows = batch.withColumn("bar_ts", F.col("event_ts").cast("timestamp_ntz")).select(*columns)
-        rows.write.mode("overwrite").parquet(f"{path}/bars/batch={number}")
-        kept = spark.read.parquet(f"{path}/bars").filter(F.col("batch") <= number)
-        new = kept.filter(F.col("batch") == number).select("symbol", "bar_ts").distinct()
-        every = history.select(*columns).unionByName(kept.select(*columns)).dropDuplicates(["symbol", "bar_ts"])
-        feature_frame(every, funding, warmup).join(new, ["symbol", "bar_ts"], "left_semi").write.mode("overwrite").parquet(f"{path}/features/batch={number}")
-
-    return bars.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(run).start()
-
-
-def live_features(bars: DataFrame, spans: int = 20) -> DataFrame:
+def live_momentum(bars: DataFrame, spans: int = 20) -> DataFrame:
     """(symbol, bar_ts, log_ret, mom_3, ema): features of each new bar from a few numbers of state per symbol.
 
     State: last time and close, the last two log returns, and the running average. Late bars are dropped, as in a batch that
@@ -161,10 +139,11 @@ def live_features(bars: DataFrame, spans: int = 20) -> DataFrame:
 def run_available(stream: DataFrame, path: str, checkpoint: str, mode: str = "append") -> DataFrame:
     """Work off what has landed, write it to parquet and read the result; a later call goes on from the checkpoint."""
     spark = stream.sparkSession
-    if mode == "append":
-        q = stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    else:
-        q = stream.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(lambda df, _: df.write.mode("overwrite").parquet(path)).start()
+    with rocksdb_state(spark):
+        if mode == "append":
+            q = stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+        else:
+            q = stream.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(lambda df, _: df.write.mode("overwrite").parquet(path)).start()
     q.awaitTermination()
     return spark.read.schema(stream.schema).parquet(path)
 
