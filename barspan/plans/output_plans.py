@@ -21,6 +21,7 @@ from barspan.sources import readers as A
 from barspan.sources.scratch import scratch_path
 from barspan.streaming import bars as M
 from barspan.streaming.features import feature_updates, live_features
+from barspan.streaming.stateful import in_order
 
 QUERIES, SQL = {}, {}
 _W = "PARTITION BY symbol ORDER BY bar_ts"
@@ -218,5 +219,5 @@ def _(s, d):
         part = bars.filter(F.dayofmonth("bar_ts") % 2 == odd).withColumn("event_ts", F.col("bar_ts").cast("timestamp")).drop("bar_ts")
         part.write.mode("append").parquet(landed)
         stream = s.readStream.schema("symbol string, open double, high double, low double, close double, volume double, event_ts timestamp").parquet(landed)
-        kept = M.run_available(M.in_order(stream), out, state)
+        kept = M.run_available(in_order(stream), out, state)
     return kept.select("symbol", F.col("event_ts").cast("timestamp_ntz").alias("bar_ts"), "close")

@@ -2,17 +2,23 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from barspan.functions.scalars import UNIT_MS
 from barspan.operators import grid as G
 from barspan.plans import fixtures as X
-from barspan.plans.bars_plans import r, with_tables
+from barspan.plans.bars_plans import _BYDAY, _DAILY, _RANKS, r, with_tables
 from barspan.sources import readers as A
 from barspan.sources.scratch import scratch_path
+from barspan.operators import universe as U
 from barspan.streaming import bars as M
+from barspan.streaming import stateful as N
+from barspan.streaming.universe import read_universe, refresh_universe
 
 QUERIES, SQL = {}, {}
+#: The universe of each day, without the tables before it.
+F07 = f", {_DAILY}, {_RANKS}, {_BYDAY} SELECT day, symbol, rank FROM bd"
 
 
 def query(name: str, tables: str = "", sql: str | None = None):
@@ -195,6 +201,28 @@ def _(s, d):
     return x.select("symbol", F.col("event_ts").cast("timestamp_ntz").alias("bar_ts"))
 
 
+_FAR = "2100-01-01 00:00:00"  # a closing row moves the watermark past all others; its own window stays open
+_EVENT_BARS = "symbol string, open double, high double, low double, close double, volume double, event_ts timestamp"
+
+
+def _landed(s, bars, parts=1, closing=False, time="event_ts"):
+    """Rows as a stream of files, read one after the other: `parts` of them by time, then the closing row."""
+    path = scratch_path(s, "landed-parts")
+    rows = bars.withColumn(time, F.col("bar_ts").cast("timestamp")).drop("bar_ts") if "bar_ts" in bars.columns else bars
+    numbered = rows.withColumn("_part", F.ntile(parts).over(Window.orderBy(time))) if parts > 1 else rows.withColumn("_part", F.lit(1))
+    end = s.createDataFrame([("~",)], "symbol string").select(*[F.lit(_FAR).cast("timestamp").alias(c) if c == time else F.lit("~").alias(c) if c == "symbol" else F.lit(1).cast(rows.schema[c].dataType).alias(c) for c in rows.columns])
+    for n in range(1, parts + 1):
+        numbered.filter(F.col("_part") == n).drop("_part").coalesce(1).write.mode("append").parquet(path)
+    if closing:
+        end.coalesce(1).write.mode("append").parquet(path)
+    return s.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(path)
+
+
+def _closed_ticks(s, d):
+    ticks = X.read(s, d, "events").filter("value > 0").select(F.col("event_type").alias("symbol"), F.col("ts").cast("timestamp").alias("event_ts"), F.col("value").alias("px"), F.col("event_id").alias("seq"))
+    return _landed(s, ticks, parts=3, closing=True)
+
+
 def _landed_bars(s, d, timeframe):
     path = scratch_path(s, "landed-bars")
     X.event_bars(s, d, timeframe).withColumn("event_ts", F.col("bar_ts").cast("timestamp")).drop("bar_ts").write.parquet(path)
@@ -203,7 +231,17 @@ def _landed_bars(s, d, timeframe):
 
 @query("m05_stream_gaps", "hbars", "SELECT symbol, unnest(generate_series(p + INTERVAL 1 HOUR, bar_ts - INTERVAL 1 HOUR, INTERVAL 1 HOUR)) AS bar_ts FROM (SELECT symbol, bar_ts, lag(bar_ts) OVER (PARTITION BY symbol ORDER BY bar_ts) AS p FROM hbars) WHERE bar_ts > p + INTERVAL 1 HOUR")
 def _(s, d):
-    return _done(s, M.gaps(_landed_bars(s, d, "1h"), "1h")).select("symbol", *_ntz("bar_ts"))
+    return _done(s, N.gaps(_landed_bars(s, d, "1h"), "1h", "60 days")).select("symbol", *_ntz("bar_ts"))
+
+
+@query("m05_silent_symbols", "hbars", """, c AS (SELECT * FROM hbars WHERE day(bar_ts) <= 10 + length(symbol)), g AS (SELECT symbol, bar_ts, lag(bar_ts) OVER (PARTITION BY symbol ORDER BY bar_ts) AS p FROM c),
+l AS (SELECT symbol, max(bar_ts) AS t, (SELECT max(bar_ts) - INTERVAL 2 HOUR FROM c) AS w FROM c GROUP BY symbol)
+SELECT symbol, unnest(generate_series(p + INTERVAL 1 HOUR, bar_ts - INTERVAL 1 HOUR, INTERVAL 1 HOUR)) AS bar_ts FROM g WHERE bar_ts > p + INTERVAL 1 HOUR
+UNION ALL SELECT symbol, unnest(generate_series(t + INTERVAL 1 HOUR, least(w, t + INTERVAL 24 HOUR), INTERVAL 1 HOUR)) FROM l WHERE t + INTERVAL 1 HOUR <= w""")
+def _(s, d):
+    """Symbols fall silent one after the other; their steps are reported as others go on, a day's worth at most."""
+    bars = X.event_bars(s, d, "1h").filter(F.dayofmonth("bar_ts") <= 10 + F.length("symbol"))
+    return _done(s, N.gaps(_landed(s, bars), "1h", "2 hours", 24)).select("symbol", *_ntz("bar_ts"))
 
 
 @query("m06_live_momentum", "ebars", """, b AS (SELECT *, ln(close) - ln(lag(close) OVER w) AS log_ret, (row_number() OVER w - 1)::DOUBLE AS i FROM ebars WINDOW w AS (PARTITION BY symbol ORDER BY bar_ts))
@@ -211,7 +249,7 @@ SELECT symbol, bar_ts, round(log_ret, 8) AS log_ret, round(sum(log_ret) OVER t /
 round(power(19.0::DOUBLE / 21, i) * sum(CASE WHEN i = 0 THEN close ELSE close * 2 / 21 END * power(19.0::DOUBLE / 21, -i)) OVER (PARTITION BY symbol ORDER BY bar_ts), 6) AS ema
 FROM b WINDOW t AS (PARTITION BY symbol ORDER BY bar_ts ROWS BETWEEN 2 PRECEDING AND CURRENT ROW)""")
 def _(s, d):
-    return _done(s, M.live_momentum(_landed_bars(s, d, "8h"))).select("symbol", *_ntz("bar_ts"), r("log_ret"), r("mom_3"), r("ema", 6))
+    return _done(s, N.live_momentum(_landed_bars(s, d, "8h"))).select("symbol", *_ntz("bar_ts"), r("log_ret"), r("mom_3"), r("ema", 6))
 
 
 @query("m07_stream_funding", "ebars", "SELECT symbol, bar_ts, round(CASE WHEN day(bar_ts) % 2 = 0 THEN 0.001::DOUBLE * day(bar_ts) ELSE 0 END, 8) AS funding FROM ebars")
@@ -221,14 +259,43 @@ def _(s, d):
     return x.select("symbol", F.col("event_ts").cast("timestamp_ntz").alias("bar_ts"), r("funding"))
 
 
+@query("m07_next_funding", "ebars hbars", """, f AS (SELECT symbol, bar_ts + INTERVAL 17 MINUTE AS ts, 0.001::DOUBLE * (hour(bar_ts) + 1) AS rate FROM hbars WHERE hour(bar_ts) % 5 = 1 AND day(bar_ts) % 4 > 0),
+b AS (SELECT symbol, bar_ts, close, lag(bar_ts, 1, TIMESTAMP '1900-01-01') OVER (PARTITION BY symbol ORDER BY bar_ts) AS p FROM ebars)
+SELECT b.symbol, b.bar_ts, any_value(b.close) AS close, round(coalesce(arg_max(rate, ts), 0), 8) AS funding FROM b LEFT JOIN f ON f.symbol = b.symbol AND f.ts <= b.bar_ts AND f.ts > b.p AND f.ts >= b.bar_ts - INTERVAL 7 DAY GROUP BY 1, 2""")
+def _(s, d):
+    """Rates come between bars, some bars get several and many none."""
+    rates = X.event_bars(s, d, "1h").filter("hour(bar_ts) % 5 = 1 and dayofmonth(bar_ts) % 4 > 0")
+    rates = rates.select("symbol", (F.col("bar_ts") + F.expr("INTERVAL 17 MINUTE")).cast("timestamp").alias("funding_ts"), (0.001 * (F.hour("bar_ts") + 1)).alias("rate"))
+    bars = _landed(s, X.event_bars(s, d, "8h").select("symbol", "bar_ts", "close"), parts=3, closing=True)
+    x = _done(s, N.next_funding(bars, _landed(s, rates, parts=3, closing=True, time="funding_ts")))
+    return x.select("symbol", F.col("event_ts").cast("timestamp_ntz").alias("bar_ts"), "close", r("funding"))
+
+
 @query("m08_stream_dollar_volume", "ebars", "SELECT symbol, date_trunc('day', bar_ts)::TIMESTAMP AS day, round(sum(close * volume), 4) AS dollar_volume FROM ebars GROUP BY 1, 2")
 def _(s, d):
-    return _done(s, M.daily_dollar_volume(_landed_bars(s, d, "8h")), "complete").select("symbol", *_ntz("day"), r("dollar_volume", 4))
+    closed = _landed(s, X.event_bars(s, d, "8h"), closing=True)
+    return _done(s, M.daily_dollar_volume(closed)).select("symbol", *_ntz("day"), r("dollar_volume", 4))
+
+
+@query("m08_universe_refresh", "wbars caps", F07)
+def _(s, d):
+    """Bars come in four parts by time; days close as later ones come, the last with the closing row."""
+    path = scratch_path(s, "universe")
+    bars = _landed(s, X.wide_bars(s, d), parts=4, closing=True)
+    refresh_universe(bars, U.cap_ranks(X.caps(s, d)), path, f"{path}/state", 30, 20000.0, 30).awaitTermination()
+    return read_universe(s, path).select("day", "symbol", "rank")
 
 
 @query("m09_stream_bars", "ebars", "SELECT * FROM ebars")
 def _(s, d):
-    return _done(s, M.tick_bars(_ticks(s, d), "8h"), "complete").select("symbol", *_ntz("bar_ts"), "open", "high", "low", "close", "volume")
+    return _done(s, M.tick_bars(_closed_ticks(s, d), "8h")).select("symbol", *_ntz("bar_ts"), "open", "high", "low", "close", "volume")
+
+
+@query("m09_sliding_bars", sql="""SELECT event_type AS symbol, w AS bar_ts, arg_min(value, row(ts, event_id)) AS open, max(value) AS high, min(value) AS low, arg_max(value, row(ts, event_id)) AS close, count(*)::DOUBLE AS volume
+FROM (SELECT *, make_timestamp((epoch_us(ts) // 14400000000 - i) * 14400000000) AS w FROM events, range(2) AS t(i) WHERE value > 0) GROUP BY 1, 2""")
+def _(s, d):
+    """Bars of eight hours that start every four."""
+    return _done(s, M.tick_bars(_closed_ticks(s, d), "8h", every="4h")).select("symbol", *_ntz("bar_ts"), "open", "high", "low", "close", "volume")
 
 
 @query("m10_stream_new_forecasts", "ebars", "SELECT DISTINCT bar_ts FROM ebars")

@@ -2,12 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from barspan.functions.scalars import timeframe_ms
 from barspan.sources.readers import decode_klines
@@ -25,9 +21,12 @@ def closed_only(bars: DataFrame) -> DataFrame:
     return bars.filter(F.col("close_ts").cast("timestamp") <= F.current_timestamp())
 
 
-def tick_bars(ticks: DataFrame, timeframe: str, delay: str = "1 hour") -> DataFrame:
-    """Ticks (symbol, event_ts, px, seq) to bars over tumbling windows; late ticks within the delay count."""
-    w = F.window("event_ts", f"{timeframe_ms(timeframe)} milliseconds")
+def tick_bars(ticks: DataFrame, timeframe: str, delay: str = "1 hour", every: str | None = None) -> DataFrame:
+    """Ticks (symbol, event_ts, px, seq) to bars over tumbling windows, or over windows that start `every` so often.
+
+    Late ticks within the delay count. In append mode a bar comes out, and its state goes, once the watermark passes its end.
+    """
+    w = F.window("event_ts", f"{timeframe_ms(timeframe)} milliseconds", every and f"{timeframe_ms(every)} milliseconds")
     k = F.struct("event_ts", "seq")
     bars = ticks.withWatermark("event_ts", delay).groupBy("symbol", w.alias("w")).agg(
         F.min_by("px", k).alias("open"), F.max("px").alias("high"), F.min("px").alias("low"), F.max_by("px", k).alias("close"), F.count("*").cast("double").alias("volume")
@@ -59,83 +58,6 @@ def with_funding(bars: DataFrame, funding: DataFrame) -> DataFrame:
     return bars.join(rates, ["symbol", "event_ts"], "left").withColumn("funding", F.coalesce("_rate", F.lit(0.0))).drop("_rate")
 
 
-def gaps(bars: DataFrame, timeframe: str) -> DataFrame:
-    """(symbol, bar_ts) of grid steps that are skipped as bars arrive; bars at or before the last one of a symbol are dropped."""
-    step = timeframe_ms(timeframe)
-
-    def one(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        last = state.get[0] if state.exists else None
-        times = sorted({int(t) for pdf in batches for t in pdf["ms"]})
-        out = []
-        for t in times:
-            if last is not None and t <= last:
-                continue
-            if last is not None:
-                out += range(last + step, t, step)
-            last = t
-        if last is not None:
-            state.update((last,))
-        yield pd.DataFrame({"symbol": [key[0]] * len(out), "ms": pd.Series(out, dtype="int64")})
-
-    keyed = bars.select("symbol", F.unix_millis("event_ts").alias("ms")).groupBy("symbol")
-    found = keyed.applyInPandasWithState(one, "symbol string, ms long", "last long", "append", GroupStateTimeout.NoTimeout)
-    return found.select("symbol", F.timestamp_millis("ms").alias("bar_ts"))
-
-
-def in_order(bars: DataFrame) -> DataFrame:
-    """Bars that are later than all bars of their symbol in earlier batches; within a batch they are taken in order of time.
-
-    This is the strict way with late bars. The tolerant one is a watermark with a delay, as in tick_bars. State is one time
-    for each symbol.
-    """
-    names = [c for c in bars.columns if c != "event_ts"]
-    schema = type(bars.schema)([bars.schema[c] for c in names]).add("ms", "long")
-
-    def one(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        last = state.get[0] if state.exists else None
-        rows = pd.concat(list(batches)).sort_values("ms", kind="stable").drop_duplicates("ms")
-        rows = rows if last is None else rows[rows["ms"] > last]
-        if len(rows):
-            state.update((int(rows["ms"].iloc[-1]),))
-        yield rows[[*names, "ms"]]
-
-    keyed = bars.withColumn("ms", F.unix_millis("event_ts")).drop("event_ts").groupBy("symbol")
-    kept = keyed.applyInPandasWithState(one, schema, "last long", "append", GroupStateTimeout.NoTimeout)
-    return kept.withColumn("event_ts", F.timestamp_millis("ms")).drop("ms")
-
-
-def live_momentum(bars: DataFrame, spans: int = 20) -> DataFrame:
-    """(symbol, bar_ts, log_ret, mom_3, ema): features of each new bar from a few numbers of state per symbol.
-
-    State: last time and close, the last two log returns, and the running average. Late bars are dropped, as in a batch that
-    takes them in order of arrival.
-    """
-    a = 2 / (spans + 1)
-
-    def one(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        import math
-
-        last, close, r1, r2, avg = state.get if state.exists else (None, None, None, None, None)
-        rows = sorted({(int(t), float(c)) for pdf in batches for t, c in zip(pdf["ms"], pdf["close"], strict=True)})
-        out = []
-        for t, c in rows:
-            if last is not None and t <= last:
-                continue
-            r = math.log(c) - math.log(close) if close is not None and c > 0 and close > 0 else None
-            three = [x for x in (r2, r1, r) if x is not None]
-            root = math.sqrt(sum(x * x for x in three))
-            avg = c if avg is None else a * c + (1 - a) * avg
-            out.append((key[0], t, r, sum(three) / (root or 1e-9) if three else None, avg))
-            last, close, r1, r2 = t, c, r, r1
-        if last is not None:
-            state.update((last, close, r1, r2, avg))
-        yield pd.DataFrame(out, columns=["symbol", "ms", "log_ret", "mom_3", "ema"])
-
-    keyed = bars.select("symbol", F.unix_millis("event_ts").alias("ms"), "close").groupBy("symbol")
-    made = keyed.applyInPandasWithState(one, "symbol string, ms long, log_ret double, mom_3 double, ema double", "last long, close double, r1 double, r2 double, avg double", "append", GroupStateTimeout.NoTimeout)
-    return made.select("symbol", F.timestamp_millis("ms").alias("bar_ts"), "log_ret", "mom_3", "ema")
-
-
 def run_available(stream: DataFrame, path: str, checkpoint: str, mode: str = "append") -> DataFrame:
     """Work off what has landed, write it to parquet and read the result; a later call goes on from the checkpoint."""
     spark = stream.sparkSession

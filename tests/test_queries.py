@@ -11,7 +11,8 @@ NAMES = [
     "a01_read_bars", "a04_decode_klines", "b04_align", "d01_first_per_step", "d05_missing_bars", "d12_locf", "e03_matrix_by_time", "e05_tsmom", "e08_rsi_innovation", "e10_atr_innovation", "e19_supervised_sequences",
     "f06_select_universe", "g02_garch_variance", "g06_rolling_covariance", "h02_exposure_caps", "h12_generate_orders", "i01_walk_forward_folds", "i07_forecast_metrics", "j03_position_ledger", "j08_equity_curve",
     "a15_default_filters", "a17_risk_series", "c04_in_universe", "e15_raw_features", "e17_feature_frame", "i04_standardizer_json", "i06_prediction_table", "l03_mean_rolling_error", "m02_history_then_live", "m04_late_bars",
-    "k02_performance_summary", "m05_stream_gaps", "m06_live_features", "m09_stream_bars",
+    "k02_performance_summary", "m05_stream_gaps", "m05_silent_symbols", "m06_live_features", "m06_live_momentum", "m07_next_funding", "m08_stream_dollar_volume", "m08_universe_refresh", "m09_stream_bars", "m09_sliding_bars",
+    "e16_feature_updates",
 ]
 
 
