@@ -67,26 +67,33 @@ def _format(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 FORMATTED = "tree_id long, leaf_id long, branch_rank int, score double, n_turns long, formatted string, loss_spans array<struct<start: long, stop: long>>"
 
 
-def tree_paths(messages: DataFrame, max_doublings: int = 40) -> DataFrame:
+def tree_paths(messages: DataFrame) -> DataFrame:
     """One row (tree_id, leaf_id, node_id, up) for each message on each root-to-leaf path; up counts steps above the leaf.
 
     Messages whose parent is null or isn't in the tree are roots. Each round joins the paths found so far with
     ancestors 1, 2, 4, ... steps up, and then these ancestors with themselves, so that a path of n messages takes
     log2(n) rounds. Only ids take part, never texts.
-    A cycle has no root and no leaf of its own, so its messages are on no path.
+    Messages on a cycle, and what answers them, are on no path, as they lead to no root. They are known by an ancestor as
+    many steps up as their tree has messages, and leave then, so that a tree of n messages gives n rows a leaf at most.
     """
     nodes = messages.select("tree_id", "node_id", "parent_id").dropDuplicates(["tree_id", "node_id"])
     ids = nodes.select("tree_id", F.col("node_id").alias("parent_id"))
-    up = materialize(nodes.filter("parent_id is not null").join(ids, ["tree_id", "parent_id"], "left_semi").select("tree_id", "node_id", F.col("parent_id").alias("over")), "chat-up")
+    sizes = nodes.groupBy("tree_id").agg(F.count("*").alias("n"))
+    answers = nodes.filter("parent_id is not null").join(ids, ["tree_id", "parent_id"], "left_semi").join(sizes, "tree_id")
+    up = materialize(answers.select("tree_id", "node_id", F.col("parent_id").alias("over"), "n"), "chat-up")
     leaves = nodes.join(up.select("tree_id", F.col("over").alias("node_id")).distinct(), ["tree_id", "node_id"], "left_anti")
     paths = leaves.select("tree_id", F.col("node_id").alias("leaf_id"), "node_id", F.lit(0).cast("long").alias("up"))
-    for k in range(max_doublings):
-        if up.isEmpty():
-            break
-        higher = paths.join(up, ["tree_id", "node_id"]).select("tree_id", "leaf_id", F.col("over").alias("node_id"), (F.col("up") + (1 << k)).alias("up"))
-        paths = materialize(paths.unionByName(higher), "chat-paths")
+    steps = 1
+    while not up.isEmpty():
+        endless = up.filter(F.col("n") <= steps)
+        if not endless.isEmpty():
+            paths = paths.join(endless.select("tree_id", F.col("node_id").alias("leaf_id")), ["tree_id", "leaf_id"], "left_anti")
+            up = up.filter(F.col("n") > steps)
+        higher = paths.join(up, ["tree_id", "node_id"]).select("tree_id", "leaf_id", F.col("over").alias("node_id"), (F.col("up") + steps).alias("up"))
+        paths = materialize(paths.select("tree_id", "leaf_id", "node_id", "up").unionByName(higher), "chat-paths")
         next_up = up.select("tree_id", F.col("node_id").alias("over"), F.col("over").alias("top"))
-        up = materialize(up.join(next_up, ["tree_id", "over"]).select("tree_id", "node_id", F.col("top").alias("over")), "chat-up")
+        up = materialize(up.join(next_up, ["tree_id", "over"]).select("tree_id", "node_id", F.col("top").alias("over"), "n"), "chat-up")
+        steps *= 2
     return paths
 
 

@@ -45,27 +45,59 @@ _STREAMED = _KEYS + ", kind int, n_docs long, last_doc long, part int"
 DROP, EDGE, SUMMARY = 0, 1, 2
 
 
+#: Entries of one group that are held; a group that goes on is passed on as if it lay at an edge.
+_OPEN = 1 << 16
+_NAMES = ["h1", "h2", "doc_id", "row_key", "pos", "n_lines", "kind", "n_docs", "last_doc", "part"]
+
+
+def _passed(cols: list[np.ndarray], kind: int, n_docs: int = 0, last_doc: int = 0) -> pa.RecordBatch:
+    n = len(cols[0])
+    out = [*cols[:6], np.full(n, kind, np.int32), np.full(n, n_docs, np.int64), np.full(n, last_doc, np.int64), cols[6].astype(np.int32)]
+    return pa.RecordBatch.from_arrays([pa.array(x) for x in out], names=_NAMES)
+
+
 def _stream(least_docs: int):
     """Entries come sorted by hash, document (largest first) and position; the first document of a group keeps its lines.
 
     Groups that a partition holds whole are decided here. Its first and last group may go on in its neighbours:
-    their entries are passed on, with a summary of each.
+    their entries are passed on, with a summary of each. So is a group of very many entries, as they come, of which only
+    the first entry, the last document and the number of documents are held.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] | None = None
+        top, n_docs, last_doc = None, 0, None  # of the group that is passed on
         first = True
         for batch in batches:
             if not batch.num_rows:
                 continue
             now = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
+            if top is not None:
+                other = np.flatnonzero((now[0] != top[0][0]) | (now[1] != top[1][0]))
+                k = int(other[0]) if len(other) else len(now[0])
+                if k:
+                    docs = now[2][:k]
+                    n_docs += int(docs[0] != last_doc) + int((docs[1:] != docs[:-1]).sum())
+                    last_doc = docs[-1]
+                    yield _passed([x[:k] for x in now], EDGE)
+                if k == len(now[0]):
+                    continue
+                yield _passed(top, SUMMARY, n_docs, last_doc)
+                top, first, now = None, False, [x[k:] for x in now]
             held = now if held is None else [np.concatenate(x) for x in zip(held, now, strict=True)]
             h1, h2 = held[0], held[1]
             starts = np.flatnonzero(np.r_[True, (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1])])
             if len(starts) > 1:  # the last group stays open
                 yield _decide([x[: starts[-1]] for x in held], first, False, least_docs)
                 held, first = [x[starts[-1] :] for x in held], False
-        if held is not None:
+            if len(held[0]) > _OPEN:
+                docs = held[2]
+                top, n_docs, last_doc = [x[:1] for x in held], 1 + int((docs[1:] != docs[:-1]).sum()), docs[-1]
+                yield _passed(held, EDGE)
+                held = None
+        if top is not None:
+            yield _passed(top, SUMMARY, n_docs, last_doc)
+        elif held is not None:
             yield _decide(held, True, True, least_docs)
 
     return run
@@ -92,8 +124,7 @@ def _decide(cols: list[np.ndarray], first_edge: bool, last_edge: bool, least_doc
     zeros = np.zeros(len(keep), np.int64)
     out = [x[row] for x in cols[:6]]
     out += [np.r_[kind, np.full(len(tops), SUMMARY)].astype(np.int32), np.r_[zeros, n_docs[edge]], np.r_[zeros, doc[ends][edge]], part[row].astype(np.int32)]
-    names = ["h1", "h2", "doc_id", "row_key", "pos", "n_lines", "kind", "n_docs", "last_doc", "part"]
-    return pa.RecordBatch.from_arrays([pa.array(x) for x in out], names=names)
+    return pa.RecordBatch.from_arrays([pa.array(x) for x in out], names=_NAMES)
 
 
 def _bitmaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -123,7 +123,8 @@ def token_counts(docs: DataFrame, tokenizer_path: str, cache_path: str | None =
     Content is normalised by taking null as the empty text and by nothing else, since any other change could change
     the count. Its SHA-256 and that of the tokenizer file are the key. Distinct contents without a stored count are
     encoded once, by the task that holds the first row with them, and appended to the cache.
-    Empty and null texts have 0 tokens. Repeated rows are counted each; null ids are carried through, and an empty
+    A cache that holds a content more than once, as after two jobs at a time, counts it once. Empty and null texts have 0
+    tokens. Repeated rows are counted each; null ids are carried through, and an empty
     table gives an empty table. Other columns of the input are ignored. Nothing is broadcast by request: hot contents
     are a skewed equi-join that adaptive execution splits, after an aggregate by digest with map-side combine.
     Result: id, n_bytes, n_tokens, over_limit.
@@ -141,6 +142,7 @@ def token_counts(docs: DataFrame, tokenizer_path: str, cache_path: str | None =
     encoded = chosen.select("content_digest", "text").mapInArrow(_encode(tokenizer_path), "content_digest binary, n_tokens long")
     fresh = encoded.groupBy("content_digest").agg(F.first("n_tokens").alias("n_tokens"))  # rows that repeat with their id
     fresh.select("content_digest", F.lit(version).alias("tokenizer_digest"), "n_tokens").write.mode("append").parquet(cache_path)
-    stored = read_cache(spark, cache_path).filter(F.col("tokenizer_digest") == version).select("content_digest", "n_tokens")
+    again = read_cache(spark, cache_path).filter(F.col("tokenizer_digest") == version)
+    stored = again.groupBy("content_digest").agg(F.min("n_tokens").alias("n_tokens"))  # jobs may have appended the same content
     asked = rows.select("doc_id", "content_digest", F.octet_length("text").cast("long").alias("n_bytes"))
     return asked.join(stored, "content_digest", "left").select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))

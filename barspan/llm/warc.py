@@ -80,7 +80,7 @@ def read_page(page: str) -> tuple[str, list[tuple[str, str]]]:
         elif name in _RAW:
             found = end_of(_CLOSE[name], at)
             at = found.end() if found else len(page)
-        elif name == "head":
+        elif name == "head" and at > hidden_to:  # a head within a head ends with it
             found = end_of(_HEAD_END, at)
             hidden_to = max(hidden_to, found.start()) if found else hidden_to
         elif name == "title" and title is None:
@@ -122,12 +122,37 @@ def unchunked(body: bytes) -> bytes:
         at = line + 4 + n
 
 
-def unpacked(body: bytes, encoding: str) -> bytes:
-    """The body without its content encodings (gzip, deflate), applied last first; what can't be read is left as it is."""
+#: Bytes that a body may become when it is unpacked; what is beyond is cut, as one small body can name terabytes.
+LARGEST_BODY = 1 << 28
+
+
+def _inflated(body: bytes, bits: int, largest: int) -> bytes:
+    """All members of a packed body, one behind the other; bytes behind the last that are no member are left out."""
+    out, size = [], 0
+    while body and size < largest:
+        unpack = zlib.decompressobj(bits)
+        try:
+            out.append(unpack.decompress(body, largest - size))
+        except zlib.error:
+            if not out:
+                raise
+            break
+        size += len(out[-1])
+        if not unpack.eof or bits < 31:
+            break
+        body = unpack.unused_data
+    return b"".join(out)
+
+
+def unpacked(body: bytes, encoding: str, largest: int = LARGEST_BODY) -> bytes:
+    """The body without its content encodings (gzip, deflate), applied last first.
+
+    A body of several gzip members is all of them. What can't be read, or is packed otherwise (br, zstd), is left as it is.
+    """
     for name in reversed([x.strip().lower() for x in encoding.split(",")]):
         for bits in {"gzip": (31,), "x-gzip": (31,), "deflate": (15, -15)}.get(name, ()):
             try:
-                body = zlib.decompressobj(bits).decompress(body)
+                body = _inflated(body, bits, largest)
                 break
             except zlib.error:
                 continue
@@ -222,48 +247,87 @@ def write_warc(derived: DataFrame, path: str) -> None:
     derived.select("record").write.option("lineSep", "\r\n").option("compression", "gzip").text(path)
 
 
-def _pieces(raw: bytes, size: int = 1 << 16) -> Iterator[bytes]:
-    """The bytes of a file, plain or of gzip members, a piece at a time."""
-    if raw[:2] != b"\x1f\x8b":
+class _Damage(Exception):
+    """A gzip member that can't be unpacked; the offset of its start in the file."""
+
+    def __init__(self, at: int):
+        super().__init__(f"damaged gzip member at byte {at}")
+        self.at = at
+
+
+_MEMBER = b"\x1f\x8b\x08"
+
+
+def _pieces(raw: bytes, size: int = 1 << 16) -> Iterator[bytes | _Damage]:
+    """The bytes of a file, plain or of gzip members, a piece at a time; a damaged member ends with a note of it.
+
+    Behind a damaged member, and behind padding, the next mark of a member is looked for.
+    """
+    if raw[:3] != _MEMBER:
         yield from (raw[i : i + size] for i in range(0, len(raw), size))
         return
-    at, view = 0, memoryview(raw)
-    unpack = zlib.decompressobj(31)
-    while at < len(raw):
-        given = view[at : at + size]
-        piece = unpack.decompress(given)
-        at += len(given) - len(unpack.unused_data)
-        if unpack.eof:
-            unpack = zlib.decompressobj(31)
-        if piece:
-            yield piece
+    start, view = 0, memoryview(raw)
+    while (start := raw.find(_MEMBER, start)) >= 0:
+        at, unpack = start, zlib.decompressobj(31)
+        while not unpack.eof and at < len(raw):
+            given = view[at : at + size]
+            try:
+                piece = unpack.decompress(given)
+            except zlib.error:
+                break
+            at += len(given) - len(unpack.unused_data)
+            if piece:
+                yield piece
+        if not unpack.eof and at < len(raw):
+            yield _Damage(start)
+            start += len(_MEMBER)
+        else:
+            start = at
 
 
 def parse_warc(raw: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
     """(headers, block) of each record of a file, plain or of gzip members; a record and a piece are held at a time.
 
-    Records follow each other by their Content-Length. Where none starts, the next line that does is looked for.
+    Records follow each other by their Content-Length. Where none starts, the next line that does is looked for. A record in a
+    damaged gzip member is lost; in its place stands one of type "damage" with the member's X-Offset in the file. A file
+    that is cut short gives what there is of its last record.
     """
     pieces, held = _pieces(raw), bytearray()
 
     def more() -> bool:
         piece = next(pieces, None)
+        if isinstance(piece, _Damage):
+            raise piece
         held.extend(piece or b"")
         return piece is not None
 
+    while True:
+        try:
+            record = _next_record(held, more)
+        except _Damage as damage:
+            held.clear()
+            yield {"WARC-Type": "damage", "X-Offset": str(damage.at)}, b""
+            continue
+        if record is None:
+            return
+        yield record
+
+
+def _next_record(held: bytearray, more) -> tuple[dict[str, str], bytes] | None:
+    """The next record of what is held, which grows by `more`; None at the end."""
     while True:
         blank = len(held) - len(held.lstrip(b"\r\n"))
         del held[:blank]
         if len(held) < 7:
             if not more():
-                return
+                return None
             continue
         if not held.startswith(b"WARC/1."):
             at = held.find(b"\nWARC/1.")
             if at < 0:
                 del held[:-8]
                 if not more():
-                    return
+                    return None
             else:
                 del held[: at + 1]
             continue
@@ -271,21 +335,24 @@ def parse_warc(raw: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
         while (end := held.find(b"\r\n\r\n", max(0, looked - 3))) < 0:
             looked = len(held)
             if not more():
-                return
+                return None
         lines = held[:end].decode("utf-8", "replace").split("\r\n")[1:]
         headers = {k.strip(): v.strip() for k, _, v in (x.partition(":") for x in lines)}
         length = headers.get("Content-Length", "0")
         stop = end + 4 + (int(length) if length.isdigit() else 0)
         while len(held) < stop and more():
             pass
-        yield headers, bytes(held[end + 4 : stop])
+        block = bytes(held[end + 4 : stop])
         del held[:stop]
+        return headers, block
 
 
 def read_warc(spark: SparkSession, path: str, warc_type: str | None = "response") -> DataFrame:
-    """Records (record_id, headers, block) of WARC files.
+    """Records (record_id, headers, block) of WARC files; of all types where warc_type is None.
 
-    A file comes to one task as it is stored, since gzip can't be split, and is unpacked record by record.
+    Damaged members don't stop a file: see parse_warc, and ask for the type "damage" to list them. Empty files have no records.
+    A file comes to one task whole, as it is stored (2 GB at most, and held several times over on its way to Python); unpacked
+    it is record by record.
     """
 
     def run(batches):
