@@ -194,7 +194,9 @@ def repair_plans(faults: DataFrame) -> DataFrame:
     """(key, cost, audit) of each conversation: one search where it fits in a segment, else its segments are joined by their costs."""
     cut = faults.select("key", "pos", F.floor(F.col("pos") / SEGMENT).alias("segment"), symbol(F.col("initial"), F.col("fault")).alias("c"), "is_last")
     letters = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pos", "c"))), lambda x: x["c"]), "")
-    segments = cut.repartition("key", "segment").groupBy("key", "segment").agg(letters.alias("symbols"), F.max("is_last").alias("last"))
+    # A fixed number of tasks: letters are few bytes, but each costs a search, so that sizes say little of the work.
+    tasks = int(faults.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    segments = cut.repartition(tasks, "key", "segment").groupBy("key", "segment").agg(letters.alias("symbols"), F.max("is_last").alias("last"))
     found = materialize(segments.mapInArrow(_searched, "key string, segment long, last boolean, entry int, exit int, cost long, place int, audit string"), "repair-segments")
     whole = found.filter("segment = 0 and last").select("key", "cost", "audit")
     parts = found.filter("not (segment = 0 and last)")
