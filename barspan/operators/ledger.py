@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from barspan.functions.scalars import fee, slipped_price
+from barspan.operators.scan import varying_scan
 
 
 def by_position():
@@ -32,24 +32,15 @@ def net_positions(priced: DataFrame) -> DataFrame:
 def position_ledger(priced: DataFrame) -> DataFrame:
     """Add entry price, realised PnL, margin and the running cash of each account and symbol.
 
-    The entry is averaged on adding, kept on reducing and reset on a flip. Each run of fills between two openings or flips
-    is a group of its own, so that one busy position is spread over as many tasks as it has runs.
+    The entry is averaged on adding, kept on reducing and reset on a flip: a recurrence whose coefficient is the share that
+    the position had before. All columns are windows of one order, behind one exchange by account and symbol.
     """
-    rows = net_positions(priced).withColumn("_run", F.sum(F.col("action").isin("open", "flip").cast("int")).over(by_position()))
-
-    def entries(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["ts", "seq"])
-        entry, out = 0.0, []
-        for first, action, prev, qty, px in zip([True] + [False] * (len(pdf) - 1), pdf["action"], pdf["prev_position"], pdf["qty"], pdf["fill_px"], strict=True):
-            if first:
-                entry = px
-            elif action == "add":
-                entry = (entry * abs(prev) + px * qty) / (abs(prev) + qty)
-            out.append(entry)
-        return pdf.assign(entry=out)
-
-    schema = type(rows.schema)(list(rows.schema.fields)).add("entry", "double")
-    rows = rows.groupBy("account", "symbol", "_run").applyInPandas(entries, schema).drop("_run")
+    rows = net_positions(priced)
+    before, size = F.abs("prev_position"), F.abs("prev_position") + F.col("qty")
+    starts = F.col("action").isin("open", "flip") | (F.row_number().over(by_position()) == 1)
+    kept = F.when(starts, 0.0).when(F.col("action") == "add", before / size).otherwise(1.0)
+    new = F.when(starts, F.col("fill_px")).when(F.col("action") == "add", F.col("fill_px") * F.col("qty") / size).otherwise(0.0)
+    rows = varying_scan(rows, kept, new, "entry", ["account", "symbol"], ["ts", "seq"])
     before = F.lag("entry").over(by_position())
     closed = F.when(F.col("action").isin("close", "flip"), F.col("prev_position")).when(F.col("action") == "reduce", -F.col("signed_qty")).otherwise(0.0)
     rows = rows.withColumn("realized", F.coalesce((F.col("fill_px") - before) * closed, F.lit(0.0)))

@@ -1,4 +1,4 @@
-"""Linear recurrences s = d * s(previous) + b over ordered rows, without a loop."""
+"""Linear recurrences s = a * s(previous) + b over ordered rows, without a loop."""
 
 from __future__ import annotations
 
@@ -55,3 +55,32 @@ def wilder(df: DataFrame, x: str, n: int, out: str, by: str = "symbol", order: s
 def seeded(x: Column, at: Column, n: int, seed: Column, later: Column) -> Column:
     """Terms of a recurrence that starts with seed at the n-th value and goes on with later."""
     return F.when(x.isNotNull() & (at == n), seed).when(x.isNotNull() & (at > n), later)
+
+
+#: Natural logarithm of what is left of a value after a block: below all digits of a double.
+_SPAN = 200.0
+
+
+def varying_scan(df: DataFrame, a: Column, b: Column, out: str, by: list[str], order: list[str]) -> DataFrame:
+    """Add `out`, the recurrence s = a * s(previous) + b with a coefficient of its own for each row, 0 <= a <= 1; null ones count as 1, null b as 0.
+
+    A row with a = 0 starts a run. It is cut where the sum of the coefficients' logarithms has fallen by another 200: inside a
+    block sums of terms over running products give the recurrence without leaving the range of doubles, and of what
+    came before only the block before counts, as the rest has shrunk to e^-200 of itself. Runs and blocks are windows within
+    the key, so that all of it shares the key's exchange with the windows around it.
+    """
+    rows = df.withColumn("_a", F.coalesce(a, F.lit(1.0))).withColumn("_b", F.coalesce(b, F.lit(0.0)))
+    rows = rows.withColumn("_run", F.sum(F.when(F.col("_a") == 0, 1).otherwise(0)).over(Window.partitionBy(*by).orderBy(*order)))
+    rows = rows.withColumn("_log", F.when(F.col("_a") > 0, F.ln("_a")).otherwise(0.0))
+    run = Window.partitionBy(*by, "_run").orderBy(*order)
+    rows = rows.withColumn("_block", F.floor(-F.sum("_log").over(run.rowsBetween(Window.unboundedPreceding, 0)) / _SPAN))
+    block = Window.partitionBy(*by, "_run", "_block").orderBy(*order)
+    upto = block.rowsBetween(Window.unboundedPreceding, 0)
+    # The first row's own coefficient stands between the blocks, however small it is; those behind it stay within the span.
+    rows = rows.withColumn("_first", F.row_number().over(block) == 1)
+    rows = rows.withColumn("_step", F.first("_a").over(upto)).withColumn("_in", F.product(F.when(F.col("_first"), 1.0).otherwise(F.col("_a"))).over(upto))
+    rows = rows.withColumn("_local", F.col("_in") * F.sum(F.col("_b") / F.col("_in")).over(upto))
+    rows = rows.withColumn("_before", F.lag("_local").over(run))
+    carry = F.coalesce(F.first("_before").over(upto), F.lit(0.0))
+    made = rows.withColumn(out, F.col("_local") + F.col("_in") * F.col("_step") * carry)
+    return made.drop("_a", "_b", "_run", "_log", "_block", "_first", "_step", "_in", "_local", "_before")
