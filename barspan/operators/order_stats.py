@@ -12,7 +12,8 @@ class SortedBlocks:
     """Values in ascending blocks with an index of them: least value, count, sum and sum of squares of each.
 
     `load` fetches a block by its number when it is first needed; blocks that change are kept in `changed` until they are
-    stored. A value costs a look at the index (one entry for a few hundred values) and at three blocks, however long the
+    stored. Blocks with a number below 0 are closed: only their sums are known, and no rank that is asked for may lie in
+    them. A value costs a look at the index (one entry for a few hundred values) and at three blocks, however long the
     history. Sums of a block are taken anew from its values at each change, so that rounding errors can't add up.
     """
 
@@ -45,7 +46,12 @@ class SortedBlocks:
             self.changed.add(0)
             return
         at = max(0, int(np.searchsorted(self.index[:, 1], value, side="right")) - 1)
-        values, number = self.block(at), int(self.index[at, 0])
+        number = int(self.index[at, 0])
+        if number < 0:
+            self.index[at] += [0, 0, 1, value, value * value]
+            self.index[at, 1] = min(self.index[at, 1], value)
+            return
+        values = self.block(at)
         values = np.insert(values, np.searchsorted(values, value), value)
         if len(values) > 2 * self.SIZE:
             fresh = int(self.index[:, 0].max()) + 1

@@ -13,16 +13,16 @@ def block_size(decay: float) -> int:
     return 1 << max(4, math.ceil(math.log2(-30 / math.log(decay)))) if 0 < decay < 1 else 16
 
 
-def affine_scan(df: DataFrame, b: str, decay: float, out: str, by: str = "symbol", order: str = "bar_ts") -> DataFrame:
+def affine_scan(df: DataFrame, b: str, decay: float, out: str, by: str | list[str] = "symbol", order: str = "bar_ts") -> DataFrame:
     """Add `out`, the recurrence over rows whose b isn't null; rows with null b get null and don't count.
 
     Rows are numbered within their key and cut into blocks. Sums of scaled terms give the recurrence inside a block; what
     two blocks before hand over completes it, older terms being below 1e-13 of themselves. All of it is windows of one key
     and order, so that a chain of scans and other windows shares one exchange by the key and reads its source once.
     """
-    k = block_size(decay)
-    w = Window.partitionBy(by).orderBy(order)
-    inside = Window.partitionBy(by, "_block").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    k, keys = block_size(decay), [by] if isinstance(by, str) else by
+    w = Window.partitionBy(*keys).orderBy(order)
+    inside = Window.partitionBy(*keys, "_block").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
     before = w.rowsBetween(Window.unboundedPreceding, -1)
     d = F.lit(float(decay))
     rows = df.withColumn("_n", F.count(b).over(w) - 1).withColumn("_block", F.floor(F.col("_n") / k)).withColumn("_j", F.col("_n") % k)

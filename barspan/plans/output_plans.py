@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from barspan.functions.scalars import UNIT_MS
+from barspan.operators import divided as D
 from barspan.operators import features as E
 from barspan.operators import forecast as I
 from barspan.operators import grid as G
@@ -13,6 +14,7 @@ from barspan.operators import performance as K
 from barspan.operators import portfolio as H
 from barspan.operators import risk as V
 from barspan.operators import universe as U
+from barspan.operators.divided_scores import winsor_scores
 from barspan.plans import bars_plans as B
 from barspan.plans import fixtures as X
 from barspan.plans import portfolio_plans as P
@@ -115,6 +117,33 @@ def _(s, d):
     return rows.select("symbol", "bar_ts", *[r(c, 6) for c in names])
 
 
+# E, G: the same values with each symbol divided into quarters of a year
+@query("e08_rsi_innovation_divided", "", B.SQL["e08_rsi_innovation"])
+def _(s, d):
+    return D.rsi_innovation(X.daily_bars(s, d), "90d").select("symbol", "bar_ts", r("rsi_innov", 6))
+
+
+@query("e10_atr_innovation_divided", "", B.SQL["e10_atr_innovation"])
+def _(s, d):
+    return D.atr_innovation(X.daily_bars(s, d), "90d").select("symbol", "bar_ts", r("atr_innov"))
+
+
+@query("e14_winsor_z_divided", "", B.SQL["e14_winsor_z"])
+def _(s, d):
+    bars = X.daily_bars(s, d).select("symbol", "bar_ts", F.log1p("volume").alias("volume"))
+    return bars.join(winsor_scores(bars, ["volume"], "90d", 256), ["symbol", "bar_ts"], "left").select("symbol", "bar_ts", F.round("z", 6).alias("volume_z"))
+
+
+@query("g01_ewma_variance_divided", "", P.SQL["g01_ewma_variance"])
+def _(s, d):
+    return D.ewma_variance(P.rets(s, d), "90d").filter("ret is not null").select("symbol", "bar_ts", r("ewma_var"))
+
+
+@query("g02_garch_variance_divided", "", P.SQL["g02_garch_variance"])
+def _(s, d):
+    return D.garch_variance(P.rets(s, d), "90d", size=256).filter("garch_var is not null").select("symbol", "bar_ts", r("garch_var"))
+
+
 # G: readiness
 @query("g14_model_ready", "rets", f", {P._COV} SELECT bar_ts, count(*) AS pairs, min(n) >= 60 AS ready FROM c250 GROUP BY bar_ts")
 def _(s, d):
