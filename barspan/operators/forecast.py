@@ -65,6 +65,50 @@ def standardize(sequences: DataFrame, standardizer: DataFrame) -> DataFrame:
     return rows.withColumn("x", x).withColumn("y", (F.col("y") - F.col("y_mean")) / F.col("y_std")).drop("_s")
 
 
+def fit_linear(rows: DataFrame, features: list[str], target: str, folds: DataFrame, ts: str = "target_ts") -> DataFrame:
+    """(symbol, fold, n, intercept, coefficients): least squares over all rows before each fold's anchor.
+
+    Rows are read once: each adds to the sums of products (the Gram matrix of 1, features and target) of the first fold that
+    trains on it, and sums are carried on from fold to fold. What is solved is one small system a symbol and fold, by
+    pseudo-inverse of the centred matrix, so that features that don't vary get 0. Rows with a null in any column don't
+    count; folds without rows have no model. Folds are a table of dates and are broadcast.
+    """
+    columns = [F.lit(1.0), *[F.col(c).cast("double") for c in [*features, target]]]
+    pairs = [(i, j) for i in range(len(columns)) for j in range(i, len(columns))]
+    earlier = F.lag("anchor", 1, "0001-01-01").over(Window.orderBy("anchor"))  # one row a fold
+    spans = F.broadcast(folds.select("fold", "anchor", earlier.alias("_after")))
+    entered = rows.dropna(subset=[*features, target, ts]).join(spans, (F.col(ts) < F.col("anchor")) & (F.col(ts) >= F.col("_after")))
+    parts = entered.groupBy("symbol", "fold").agg(*[F.sum(columns[i] * columns[j]).alias(f"_{i}_{j}") for i, j in pairs])
+    # Every fold from a symbol's first on, also those that no row enters.
+    every = parts.groupBy("symbol").agg(F.min("fold").alias("_from")).join(F.broadcast(folds.select("fold")), F.col("fold") >= F.col("_from")).select("symbol", "fold")
+    so_far = Window.partitionBy("symbol").orderBy("fold").rowsBetween(Window.unboundedPreceding, 0)
+    grams = every.join(parts, ["symbol", "fold"], "left").select("symbol", "fold", F.array(*[F.sum(f"_{i}_{j}").over(so_far) for i, j in pairs]).alias("gram"))
+
+    k = len(columns)
+
+    def solve(pdfs: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in pdfs:
+            found = []
+            for gram in pdf["gram"]:
+                g = np.zeros((k, k))
+                for (i, j), v in zip(pairs, gram, strict=True):
+                    g[i, j] = g[j, i] = v
+                n, mean = g[0, 0], g[0, 1:] / g[0, 0]
+                s = g[1:, 1:] - n * np.outer(mean, mean)
+                beta = np.linalg.pinv(s[:-1, :-1], hermitian=True) @ s[:-1, -1]
+                found.append((int(n), float(mean[-1] - mean[:-1] @ beta), beta.tolist()))
+            n, intercept, beta = zip(*found, strict=True) if found else ((), (), ())
+            yield pdf[["symbol", "fold"]].assign(n=list(n), intercept=list(intercept), coefficients=list(beta))
+
+    return grams.mapInPandas(solve, "symbol string, fold int, n long, intercept double, coefficients array<double>")
+
+
+def predict_linear(rows: DataFrame, models: DataFrame, features: list[str]) -> DataFrame:
+    """rows (symbol, fold and features) with y_pred by the model of their symbol and fold; null where there is none."""
+    terms = [F.col("coefficients")[i] * F.col(c) for i, c in enumerate(features)]
+    return rows.join(models.drop("n"), ["symbol", "fold"], "left").withColumn("y_pred", sum(terms, F.col("intercept"))).drop("intercept", "coefficients")
+
+
 _STANDARDIZER = "struct<feature_mean: array<double>, feature_std: array<double>, target_mean: double, target_std: double>"
 
 

@@ -23,7 +23,7 @@ from barspan.sources import readers as A
 from barspan.sources.scratch import scratch_path
 from barspan.streaming import bars as M
 from barspan.streaming.features import feature_updates, live_features
-from barspan.streaming.stateful import in_order
+from barspan.streaming.stateful import after_history, in_order
 
 QUERIES, SQL = {}, {}
 _W = "PARTITION BY symbol ORDER BY bar_ts"
@@ -187,6 +187,32 @@ def _(s, d):
     return table.withColumns({c: F.round(c, 8) for c in ("y_pred_logret", "y_pred_std", "y_true_logret")})
 
 
+_LAST = f""", {P._FOLDS}, v AS (SELECT symbol, bar_ts, log_ret AS y, lag(log_ret) OVER w AS a, ln(1 + lag(volume) OVER w) AS b FROM rets WINDOW w AS ({_W})), w AS (SELECT * FROM v WHERE y IS NOT NULL AND a IS NOT NULL AND b IS NOT NULL),
+m AS (SELECT symbol, fold, count(*) AS n, avg(a) AS ma, avg(b) AS mb, avg(y) AS my, covar_pop(a, a) AS aa, covar_pop(b, b) AS bb, covar_pop(a, b) AS ab, covar_pop(a, y) AS ay, covar_pop(b, y) AS yb FROM w JOIN folds ON bar_ts < anchor GROUP BY 1, 2),
+f AS (SELECT *, (bb * ay - ab * yb) / (aa * bb - ab * ab) AS ca, (aa * yb - ab * ay) / (aa * bb - ab * ab) AS cb FROM m)"""
+
+
+def _lagged(s, d):
+    from pyspark.sql import Window
+
+    w = Window.partitionBy("symbol").orderBy("bar_ts")
+    return P.rets(s, d).select("symbol", F.col("bar_ts").alias("target_ts"), F.lag("log_ret").over(w).alias("a"), F.log1p(F.lag("volume").over(w)).alias("b"), F.col("log_ret").alias("y"))
+
+
+@query("i05_fit_linear", "rets", f"{_LAST} SELECT symbol, fold, n, round(my - ca * ma - cb * mb, 6) AS intercept, round(ca, 6) AS a, round(cb, 6) AS b FROM f")
+def _(s, d):
+    m = I.fit_linear(_lagged(s, d), ["a", "b"], "y", P.folds(s))
+    return m.select("symbol", F.col("fold").cast("long").alias("fold"), "n", r("intercept", 6), F.round(F.col("coefficients")[0], 6).alias("a"), F.round(F.col("coefficients")[1], 6).alias("b"))
+
+
+@query("i05_linear_predictions", "rets", f"{_LAST} SELECT w.symbol, folds.fold, bar_ts AS target_ts, round(my + ca * (a - ma) + cb * (b - mb), 6) AS y_pred FROM w JOIN folds ON bar_ts >= anchor AND bar_ts < fold_end JOIN f ON f.symbol = w.symbol AND f.fold = folds.fold")
+def _(s, d):
+    rows, folds = _lagged(s, d).dropna(), P.folds(s)
+    test = I.assign_folds(rows, folds).filter("part = 'test'")
+    made = I.predict_linear(test, I.fit_linear(rows, ["a", "b"], "y", folds), ["a", "b"])
+    return made.select("symbol", F.col("fold").cast("long").alias("fold"), "target_ts", r("y_pred", 6))
+
+
 # L: monitors
 @query("l03_mean_rolling_error", "rets", f", {P._PRED}, e AS (SELECT symbol, ts, avg(power(y_pred_logret - y_true_logret, 2)) OVER (PARTITION BY symbol ORDER BY ts ROWS BETWEEN 19 PRECEDING AND CURRENT ROW) AS e, count(*) OVER (PARTITION BY symbol ORDER BY ts) AS n FROM pr) SELECT ts AS bar_ts, round(avg(e) FILTER (n >= 20), 8) AS avg_rolling_msep FROM e GROUP BY ts")
 def _(s, d):
@@ -206,6 +232,20 @@ def _(s, d):
     return L.slow_forecasts(p).select("symbol", "ts", "latency_ms")
 
 
+@query("m02_history_overlaps_live", "bars", "SELECT symbol, bar_ts, round(close, 7) AS close FROM bars")
+def _(s, d):
+    """The history reaches into 1996, and the stream starts with that year again: bars that come twice are told once."""
+    bars = X.daily_bars(s, d)
+    landed, out, state = (scratch_path(s, x) for x in ("overlap-landed", "overlap-bars", "overlap-state"))
+    history = bars.filter("bar_ts < '1996-07-01'").select("symbol", "bar_ts", "close")
+    live = bars.filter("bar_ts >= '1996-01-01'").select("symbol", "close", F.col("bar_ts").cast("timestamp").alias("event_ts"))
+    for late in (False, True):
+        live.filter(F.col("event_ts").between(*(("1997-05-01", "2100-01-01") if late else ("1996-01-01", "1997-06-30")))).write.mode("append").parquet(landed)
+        new = M.run_available(after_history(s.readStream.schema(live.schema).parquet(landed), history), out, state)
+    every = history.unionByName(new.select("symbol", F.col("event_ts").cast("timestamp_ntz").alias("bar_ts"), "close"))
+    return every.select("symbol", "bar_ts", r("close", 7))
+
+
 # M: all features live, history and continuation, late bars
 _HOURS = with_tables("rets funding", B._FEATURE_FRAME).replace(X.SQL["bars"], X.SQL["hbars"])
 

@@ -66,6 +66,15 @@ def _(s, d):
     return G.missing_ranges(X.event_bars(s, d, "1h"), "1h", "2023-12-31", "2024-02-02")
 
 
+@query("a02_upsert_months", "bars", "SELECT symbol, bar_ts, round(CASE WHEN bar_ts >= TIMESTAMP '1998-05-07' THEN close + 1 ELSE close END, 8) AS close FROM bars")
+def _(s, d):
+    """The months from May 1998 on are replaced; the first of them holds old rows too."""
+    path, b = scratch_path(s, "months"), X.daily_bars(s, d)
+    A.write_months(b.filter("bar_ts < '1998-07-01'"), path)
+    A.upsert_months(b.filter("bar_ts >= '1998-05-07'").withColumn("close", F.col("close") + 1), path, scratch_path(s, "months-staged"))
+    return A.read_months(s, path).select("symbol", "bar_ts", r("close"))
+
+
 def _raw(s, d):
     """Klines on the wire; every 50th is cut to five fields."""
     k = A.encode_klines(X.daily_bars(s, d), "1d", UNIT_MS["d"])

@@ -30,6 +30,33 @@ def upsert(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
     return both.withColumn("_n", F.row_number().over(w)).filter("_n = 1").drop("_n", "_seq")
 
 
+def write_months(bars: DataFrame, path: str) -> None:
+    """Bars by symbol and month, one file each: the layout that upsert_months keeps up."""
+    rows = bars.withColumn("month", F.date_format("bar_ts", "yyyy-MM"))
+    rows.repartition("symbol", "month").write.mode("append").partitionBy("symbol", "month").parquet(path)
+
+
+def read_months(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema(BARS + ", month string").parquet(path)
+
+
+def upsert_months(new: DataFrame, path: str, staging: str) -> None:
+    """Merge new bars into a table of write_months: symbols and months that got rows are replaced whole, files of others stay.
+
+    Old rows are read from those symbols and months alone. The merged rows are staged as a table of their own and then put in
+    place by one commit, so that a write that dies while it reads or merges leaves the table as it was. New rows win over old
+    ones; of new ones that repeat one stays.
+    """
+    spark = new.sparkSession
+    rows = new.withColumn("month", F.date_format("bar_ts", "yyyy-MM"))
+    touched = rows.select("symbol", "month").distinct()
+    old = read_months(spark, path).join(touched, ["symbol", "month"], "left_semi")
+    merged = upsert(old, rows.select(*old.columns), ["symbol", "bar_ts"])
+    merged.repartition("symbol", "month").write.partitionBy("symbol", "month").parquet(staging)
+    staged = read_months(spark, staging).repartition("symbol", "month")
+    staged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("symbol", "month").parquet(path)
+
+
 def decode_klines(raw: DataFrame, value: str = "raw") -> DataFrame:
     """Wire klines (symbol, timeframe, JSON array of strings) to typed bars with their close time; short arrays are dropped."""
     k = F.from_json(value, "array<string>")

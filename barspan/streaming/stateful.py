@@ -109,6 +109,16 @@ class OrderState(_Keyed):
         yield from ()
 
 
+class ContinueState(OrderState):
+    """As OrderState, from the times of a history on, and without end."""
+
+    def handleInitialState(self, key, initialState: pd.DataFrame, timerValues) -> None:
+        self.last.update((int(initialState["last_ms"].max()), 0))
+
+    def wake_at(self, ms: int) -> None:
+        pass
+
+
 def _ordered(bars: DataFrame, delay: str, with_previous: bool) -> DataFrame:
     rows = bars.withWatermark("event_ts", delay).withColumn("ms", F.unix_millis("event_ts"))
     schema = StructType([rows.schema[c] for c in rows.columns])
@@ -126,6 +136,19 @@ def in_order(bars: DataFrame, delay: str = "365 days") -> DataFrame:
     return _ordered(bars, delay, False).drop("ms")
 
 
+def after_history(bars: DataFrame, history: DataFrame) -> DataFrame:
+    """Bars of a stream that are later than all of their symbol, in the history (symbol, bar_ts) and on the stream.
+
+    State starts with each symbol's last time in the history, so that bars which both hold come once. It stays, one time for a
+    symbol, since a source may send its past again at any time.
+    """
+    rows = bars.withColumn("ms", F.unix_millis("event_ts"))
+    schema = StructType([rows.schema[c] for c in rows.columns])
+    last = history.groupBy("symbol").agg(F.unix_millis(F.max("bar_ts").cast("timestamp")).alias("last_ms")).groupBy("symbol")
+    made = rows.groupBy("symbol").transformWithStateInPandas(ContinueState(schema.names, False), schema, "Append", "None", last)
+    return made.drop("ms")
+
+
 def next_funding(bars: DataFrame, funding: DataFrame, delay: str = "1 hour", within: str = "7 days") -> DataFrame:
     """Bars with the newest funding rate that came after the bar before and up to their own time; 0 where there is none.
 
