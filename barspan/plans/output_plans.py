@@ -15,6 +15,7 @@ from barspan.operators import portfolio as H
 from barspan.operators import risk as V
 from barspan.operators import universe as U
 from barspan.operators.divided_scores import winsor_scores
+from barspan.operators.tiles import covariance_tiles, symbol_numbers, tile_pairs
 from barspan.plans import bars_plans as B
 from barspan.plans import fixtures as X
 from barspan.plans import portfolio_plans as P
@@ -144,6 +145,15 @@ def _(s, d):
     return D.garch_variance(P.rets(s, d), "90d", size=256).filter("garch_var is not null").select("symbol", "bar_ts", r("garch_var"))
 
 
+@query("g06_covariance_tiles", "rets", f", {P._COV} SELECT bar_ts, sym_i, sym_j, round(cov, 6) AS cov, n FROM c250")
+def _(s, d):
+    """Blocks of four symbols, so that six symbols make three tiles a bar."""
+    rets = P.rets(s, d)
+    numbers = symbol_numbers(rets)
+    pairs = tile_pairs(covariance_tiles(rets, numbers, block=4), numbers, 4)
+    return pairs.select("bar_ts", "sym_i", "sym_j", r("cov", 6), "n")
+
+
 # G: readiness
 @query("g14_model_ready", "rets", f", {P._COV} SELECT bar_ts, count(*) AS pairs, min(n) >= 60 AS ready FROM c250 GROUP BY bar_ts")
 def _(s, d):
