@@ -1,6 +1,8 @@
 """Each corpus operator on small tables: nulls, empty and long texts, ties, repeated rows, empty tables, clashing columns."""
 
+import math
 import random
+import re
 import zlib
 from collections import Counter, defaultdict
 
@@ -671,6 +673,75 @@ def test_stages_on_odd_tables(spark):
     assert corpus_pipeline.packing(spark, docs.limit(0), sf).count() == 0
 
 
+def hashed(doc_id: int, seed: int) -> int:
+    """Spark's xxhash64 of a long and an int."""
+    import struct
+
+    import xxhash
+
+    first = xxhash.xxh64(struct.pack("<q", doc_id), seed=42).intdigest()
+    return xxhash.xxh64(struct.pack("<i", seed), seed=first).intdigest()
+
+
+def verdicts_by_loop(texts: dict, labels: list) -> set:
+    """Documents that the classifier accepts: samples, order and scores by plain statements, features and descent by their functions."""
+    from barspan.llm.pu_quality import features
+
+    signed = lambda h: h - (1 << 64) if h >> 63 else h
+    learned = [i for i in texts if zlib.crc32(str(i).encode()) % 4 != 2]
+    good = {i for i, q in labels if q == 1 and i in set(learned)}
+    order = lambda ids: sorted(ids, key=lambda i: (signed(hashed(i, 3)), i))
+    x = {i: features(t) for i, t in texts.items()}
+    model = fit(np.array([x[i] for i in order(good)]), np.array([x[i] for i in order(learned)]), None)
+    out = set()
+    for i, v in x.items():
+        z = float((expand(v[None], model["mean"], model["sd"]) * model["weights"]).sum())
+        out |= {i} if 1 / (1 + math.exp(-z)) >= 0.7 else set()
+    return out
+
+
+def kept_by_loop(texts: dict, where: dict, keep: float = 0.7, power: float = 0.9) -> set:
+    """Ids that mixing keeps: cells, tempered targets, raking with limits and rates, one value after the other."""
+    marks = [("table", (" | ",)), ("legal", ("Licensed under", "SPDX-License-Identifier", "All rights reserved", "Permission is hereby granted")), ("code", ("```", "#include", "def ", "function ", "();")), ("contact", ("@",))]
+    cell, tokens = {}, Counter()
+    for i, text in texts.items():
+        topic = next((name for name, held in marks if any(m in (text or "") for m in held)), "prose")
+        cell[i] = (where[i][1] or "", where[i][0] or "", topic)
+        tokens[cell[i]] += len([w for w in re.split("[ \t\n\x0b\x0c\r]", text or "") if w])
+    total = sum(tokens.values())
+    weight = {c: n / total for c, n in tokens.items()}
+    most = {c: n / total / keep for c, n in tokens.items()}
+    aims = []
+    for d in range(3):
+        sums = Counter()
+        for c, n in tokens.items():
+            sums[c[d]] += n
+        tempered = {v: n**power for v, n in sums.items() if n > 0}
+        target = {v: p / sum(tempered.values()) for v, p in tempered.items()}
+        limit = {v: sum(m for c, m in most.items() if c[d] == v) for v in target}
+        aim, free = {}, set(target)
+        while free:
+            scale = (1 - sum(aim.values())) / sum(target[v] for v in free)
+            over = {v for v in free if target[v] * scale >= limit[v]}
+            if not over:
+                aim |= {v: target[v] * scale for v in free}
+                break
+            aim |= {v: limit[v] for v in over}
+            free -= over
+        aims.append(aim)
+    for _ in range(500):
+        for d, aim in enumerate(aims):
+            sums = Counter()
+            for c, w in weight.items():
+                sums[c[d]] += w
+            weight = {c: min(w * (aim.get(c[d], 0.0) / sums[c[d]] if sums[c[d]] > 0 else 0.0), most[c]) for c, w in weight.items()}
+        worst = max(abs(sum(w for c, w in weight.items() if c[d] == v) - a) / a for d, aim in enumerate(aims) for v, a in aim.items())
+        if worst <= 1e-6:
+            break
+    rate = {c: round(min(w * keep * total / tokens[c], 1.0), 9) if tokens[c] else 0.0 for c, w in weight.items()}
+    return {i for i in texts if hashed(i, 7) % (1 << 52) / (1 << 52) < rate[cell[i]]}
+
+
 def test_pipeline_against_brute_force(spark):
     """Every stage on what the stage before kept: verdicts, lines, classes, rates and packing by plain loops."""
     import corpus_pipeline
@@ -678,15 +749,15 @@ def test_pipeline_against_brute_force(spark):
 
     sf = "/root/testdata/sf0.001"
     documents = spark.read.parquet(f"{sf}/documents.parquet")
-    verdicts = {r.doc_id: r.predicted for r in QUERIES["op1_quality_classifier"](spark, sf).collect()}
     texts = {r.doc_id: r.text for r in documents.collect()}
     assert len(texts) == documents.count()
-    texts = {i: t for i, t in texts.items() if verdicts[i]}
+    accepted = verdicts_by_loop(texts, [(r.doc_id, r.quality) for r in spark.read.parquet(f"{sf}/labels.parquet").collect()])
+    assert 0 < len(accepted) < len(texts)
+    texts = {i: t for i, t in texts.items() if i in accepted}
     texts = {i: t if texts[i] is not None else None for i, _, _, t in brute_lines(list(texts.items()))}
     texts = {i: texts[i] for i, _, c in brute_join(list(texts.items())) if i == c}
-    where = documents.select("doc_id", "lang", "source")
-    left = spark.createDataFrame(list(texts.items()), "doc_id long, text string").join(where, "doc_id")
-    kept = {r.doc_id for r in mixing_sample(*mixing_rates(left)).filter("kept").collect()}
+    kept = kept_by_loop(texts, {r.doc_id: (r.lang, r.source) for r in documents.select("doc_id", "lang", "source").collect()})
+    assert 0 < len(kept) < len(texts)
     final = corpus_pipeline.run(spark, sf).collect()
     t = Tokenizer.from_file(vocabulary("word_bpe_49k.json"))
     ids = {i: t.encode(texts[i] or "", add_special_tokens=False).ids + [1] for i in kept}
