@@ -107,9 +107,11 @@ def read_manifest(spark: SparkSession, path: str, timeframe: str = "8h", lookbac
 
 
 def latest_model_version(paths: DataFrame) -> DataFrame:
-    """(symbol, path): the file in a symbol's root if there is one, else that of the highest step_NNN."""
-    step = F.regexp_extract("path", r"step_(\d+)", 1).try_cast("int")
-    s = paths.withColumn("step", step).groupBy("symbol").agg(F.max(F.when(F.col("step").isNull(), F.col("path"))).alias("root"), F.max_by("path", "step").alias("latest"))
+    """(symbol, path): the file in a symbol's root if there is one, else that of the highest step_NNN, of any number of digits;
+    of equal steps the path that sorts last."""
+    digits = F.regexp_extract("path", r"step_(\d+)", 1)
+    number = F.ltrim(digits, F.lit("0"))
+    s = paths.groupBy("symbol").agg(F.max(F.when(digits == "", F.col("path"))).alias("root"), F.max_by("path", F.struct(F.length(number), number, "path")).alias("latest"))
     return s.select("symbol", F.coalesce("root", "latest").alias("path"))
 
 
