@@ -34,13 +34,14 @@ def refresh_universe(bars: DataFrame, ranks: DataFrame, path: str, checkpoint: s
 
     def run(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        days = batch.select("symbol", "dollar_volume", F.col("day").cast("date").alias("day"))
-        _replace(days, number, f"{path}/volumes")
+        _replace(batch.select("symbol", "dollar_volume", F.col("day").cast("date").alias("day")), number, f"{path}/volumes")
+        written = spark.read.schema(_VOLUMES).parquet(f"{path}/volumes")
+        days = written.filter(F.col("batch") == number)  # from here on, so that the batch's state is worked out once
         span = days.agg(F.min("day"), F.max("day")).first()  # two dates
         if span[0] is None:
             return
         first, last = F.date_sub(F.lit(span[0]), lookback), F.lit(span[1])
-        stored = spark.read.schema(_VOLUMES).parquet(f"{path}/volumes").filter(F.col("month").between(_month(first), _month(last)) & (F.col("batch") <= number))
+        stored = written.filter(F.col("month").between(_month(first), _month(last)) & (F.col("batch") <= number))
         known = stored.filter(F.col("day").between(first, last)).select("symbol", "day", "dollar_volume")
         lists = universe_by_day(ranks, known, k, floor, lookback).filter(F.col("day") >= F.lit(span[0])).select("day", "symbol", F.col("rank").cast("int").alias("rank"))
         if default:

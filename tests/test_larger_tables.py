@@ -1,7 +1,14 @@
 """What shows on larger tables only: long step numbers, arrivals that tie, bars that share a time, tables read once."""
 
+import datetime as dt
+from collections import Counter
+
+import numpy as np
+
 import __spark_entry__
+from barspan.plans.source_plans import _landed
 from barspan.sources import readers as A
+from barspan.streaming import bars as M
 from tests.test_queries import norm
 
 
@@ -21,3 +28,14 @@ def test_latest_model_version_beyond_four_digits_equals_its_sql(spark, tmp_path)
     got = __spark_entry__.queries()["a11_latest_model_version"](spark, str(tmp_path)).select("symbol", "path").collect()
     want = con.execute(__spark_entry__.oracle_sql()["a11_latest_model_version"]).fetchall()
     assert sorted(tuple(map(norm, r)) for r in got) == sorted(tuple(map(norm, r)) for r in want)
+
+
+def test_landed_parts_hold_each_row_once_however_ties_come(spark, tmp_path):
+    """The rows come in another order at each evaluation, as those of a shuffle may; a quarter of them share each time."""
+    times = [dt.datetime(2024, 1, d) for d in (1, 2, 3, 4)]
+    rows = spark.createDataFrame([(f"S{i}", t, float(i)) for i in range(100) for t in times] + [("N", None, 1.0)], "symbol string, event_ts timestamp, close double")
+    mixed = rows.coalesce(1).mapInPandas(lambda pdfs: (p.sample(frac=1, random_state=np.random.default_rng()) for p in pdfs), rows.schema)
+    landed = M.run_available(_landed(spark, mixed, parts=3, closing=True), str(tmp_path / "out"), str(tmp_path / "state"))
+    got = Counter(map(tuple, landed.collect()))
+    closing = [r for r in got if r[0] == "~"]
+    assert len(closing) == 1 and got - Counter(closing) == Counter(map(tuple, rows.collect()))
