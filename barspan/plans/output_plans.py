@@ -21,7 +21,7 @@ from barspan.plans import fixtures as X
 from barspan.plans import portfolio_plans as P
 from barspan.plans.bars_plans import r, with_tables
 from barspan.sources import readers as A
-from barspan.sources.scratch import scratch_path
+from barspan.sources.scratch import scratch_path, stored
 from barspan.streaming import bars as M
 from barspan.streaming.features import feature_updates, live_features
 from barspan.streaming.stateful import after_history, in_order
@@ -105,14 +105,14 @@ def _(s, d):
 @query("e16_feature_updates", "rets funding", f"{B._FEATURE_FRAME} WHERE raw.bar_ts >= TIMESTAMP '1998-01-01'")
 def _(s, d):
     cut = F.lit("1998-01-01").cast("timestamp_ntz")
-    bars = X.daily_bars(s, d)
+    bars, rates = stored(X.daily_bars(s, d), "bars"), stored(X.funding(s, d), "rates")
     landed, out = scratch_path(s, "new-bars"), scratch_path(s, "feature-updates")
     schema = "symbol string, open double, high double, low double, close double, volume double, event_ts timestamp"
     new = bars.filter(F.col("bar_ts") >= cut).withColumn("event_ts", F.col("bar_ts").cast("timestamp")).drop("bar_ts")
     for late in (False, True):  # the stream stops and goes on from its checkpoint
         new.filter((F.col("event_ts") >= "1998-05-01") == late).write.mode("append").parquet(landed)
         stream = s.readStream.schema(schema).parquet(landed)
-        feature_updates(stream, bars.filter(F.col("bar_ts") < cut), X.funding(s, d), out, f"{out}/state").awaitTermination()
+        feature_updates(stream, bars.filter(F.col("bar_ts") < cut), rates, out, f"{out}/state").awaitTermination()
     names = B._FEATURE_NAMES.split(", ")
     rows = s.read.schema("symbol string, bar_ts timestamp_ntz, " + ", ".join(f"{c} double" for c in names)).parquet(f"{out}/features")
     return rows.select("symbol", "bar_ts", *[r(c, 6) for c in names])

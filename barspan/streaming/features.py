@@ -17,7 +17,8 @@ from barspan.operators.order_stats import SortedBlocks, winsor_z_next
 from barspan.operators.returns import with_returns
 from barspan.operators.scan import ema, wilder
 from barspan.schema import FEATURES
-from barspan.streaming.state import rocksdb_state
+from barspan.sources.scratch import stored
+from barspan.streaming.state import has_batches, rocksdb_state
 
 RAW = ("log_return", "log_volume")
 SCALED = tuple(c for c in FEATURES if c not in RAW)
@@ -203,29 +204,33 @@ def feature_state(history: DataFrame, funding: DataFrame) -> DataFrame:
     return every.select(*wanted)
 
 
-def live_features(bars: DataFrame, history: DataFrame | None = None, funding: DataFrame | None = None, warmup: int = 200) -> DataFrame:
+def live_features(bars: DataFrame, history: DataFrame | None = None, funding: DataFrame | None = None, warmup: int = 200, state: DataFrame | None = None) -> DataFrame:
     """(symbol, bar_ts, eight features) of each bar of a stream, as feature_frame gives them for all bars at once.
 
     bars: a stream (symbol, high, low, close, volume, event_ts and, if there, funding). history: a batch table of the bars
-    before it, with the funding rates of their times, from which the state is seeded. Bars at or before the last one of their
+    before it, with the funding rates of their times, from which the state is seeded; or state: what feature_state makes of them. Bars at or before the last one of their
     symbol are dropped, as are repeats. NaN is taken as missing. Runs on the RocksDB state store (see rocksdb_state).
     """
     wanted = ["high", "low", "close", "volume"]
     rate = F.col("funding") if "funding" in bars.columns else F.lit(0.0)
     keyed = bars.select("symbol", F.unix_millis("event_ts").alias("ms"), *wanted, rate.alias("funding")).groupBy("symbol")
-    seed = None if history is None else feature_state(history, funding).groupBy("symbol")
-    made = keyed.transformWithStateInPandas(FeatureState(warmup), _OUT, "Append", "None", seed)
+    if state is None and history is not None:
+        state = feature_state(history, funding)
+    made = keyed.transformWithStateInPandas(FeatureState(warmup), _OUT, "Append", "None", None if state is None else state.groupBy("symbol"))
     return made.select("symbol", F.timestamp_millis("ms").alias("bar_ts"), *[F.when(~F.isnan(c), F.col(c)).alias(c) for c in FEATURES])
 
 
 def feature_updates(bars: DataFrame, history: DataFrame, funding: DataFrame, path: str, checkpoint: str, warmup: int = 200):
     """Start a query that appends the feature rows of new bars to path/features; it goes on from its checkpoint.
 
-    bars: a stream (symbol, open, high, low, close, volume, event_ts); history: the bars before it, read once to seed the
-    state. A micro-batch touches its own bars and the state of their symbols; its time doesn't follow the history's length.
+    bars: a stream (symbol, open, high, low, close, volume, event_ts); history: the bars before it. The state after them is
+    worked out by a batch job and stored before the first micro-batch; a later start reads no history. A micro-batch touches its
+    own bars and the state of their symbols; its time doesn't follow the history's length. It reads funding, a stored table.
     """
     from barspan.streaming.bars import with_funding
 
-    made = live_features(with_funding(bars, funding), history, funding, warmup).withColumn("bar_ts", F.col("bar_ts").cast("timestamp_ntz"))
-    with rocksdb_state(bars.sparkSession):
+    spark = bars.sparkSession
+    state = spark.createDataFrame([], _SEED) if has_batches(spark, checkpoint) else stored(feature_state(history, funding), "feature-state")
+    made = live_features(with_funding(bars, funding), warmup=warmup, state=state).withColumn("bar_ts", F.col("bar_ts").cast("timestamp_ntz"))
+    with rocksdb_state(spark):
         return made.writeStream.format("parquet").option("path", f"{path}/features").option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

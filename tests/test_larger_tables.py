@@ -6,6 +6,7 @@ from collections import Counter
 import numpy as np
 
 import __spark_entry__
+from barspan.plans import fixtures as X
 from barspan.plans.source_plans import _landed
 from barspan.sources import readers as A
 from barspan.streaming import bars as M
@@ -39,3 +40,23 @@ def test_landed_parts_hold_each_row_once_however_ties_come(spark, tmp_path):
     got = Counter(map(tuple, landed.collect()))
     closing = [r for r in got if r[0] == "~"]
     assert len(closing) == 1 and got - Counter(closing) == Counter(map(tuple, rows.collect()))
+
+
+def test_feature_updates_work_bars_out_once(spark, tmp_path, monkeypatch):
+    made, seen = X.daily_bars, tmp_path / "seen"
+    seen.mkdir()
+
+    def counted(s, d):
+        bars = made(s, d)
+
+        def note(pdfs, folder=str(seen)):
+            import uuid
+
+            open(f"{folder}/{uuid.uuid4().hex}", "w").close()
+            yield from pdfs
+
+        return bars.coalesce(1).mapInPandas(note, bars.schema)
+
+    monkeypatch.setattr(X, "daily_bars", counted)
+    assert __spark_entry__.queries()["e16_feature_updates"](spark, "/root/testdata/sf0.001").count() > 0
+    assert len(list(seen.iterdir())) == 1
