@@ -6,6 +6,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import AtomicType
 
 from barspan.functions.scalars import align, normalize_symbol, timeframe_ms
 
@@ -27,21 +28,27 @@ def resample_bars(ticks: DataFrame, timeframe: str, key: list[str], price: str =
     )
 
 
+def _by_arrival(arrivals: DataFrame, ts: str, arrival: str) -> list[str]:
+    """The order of arrival; those that arrive together come by time, then by the other columns that have an order."""
+    simple = [f.name for f in arrivals.schema.fields if isinstance(f.dataType, AtomicType) and f.name not in (arrival, ts)]
+    return [arrival, ts, *simple]
+
+
 def first_per_step(arrivals: DataFrame, timeframe: str, ts: str = "bar_ts", arrival: str = "arrival_seq") -> DataFrame:
     """Align and keep the first arrival of each grid step of each symbol."""
     grid = arrivals.withColumn(ts, align(F.col(ts), timeframe))
-    return grid.withColumn("_n", F.row_number().over(Window.partitionBy("symbol", ts).orderBy(arrival))).filter("_n = 1").drop("_n")
+    return grid.withColumn("_n", F.row_number().over(Window.partitionBy("symbol", ts).orderBy(*_by_arrival(arrivals, ts, arrival)))).filter("_n = 1").drop("_n")
 
 
 def drop_out_of_order(arrivals: DataFrame, ts: str = "bar_ts", arrival: str = "arrival_seq") -> DataFrame:
     """Keep arrivals that are later than all earlier arrivals of their symbol."""
-    before = Window.partitionBy("symbol").orderBy(arrival).rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.partitionBy("symbol").orderBy(*_by_arrival(arrivals, ts, arrival)).rowsBetween(Window.unboundedPreceding, -1)
     return arrivals.withColumn("_high", F.max(ts).over(before)).filter(F.col("_high").isNull() | (F.col(ts) > F.col("_high"))).drop("_high")
 
 
 def seen_before(arrivals: DataFrame, ts: str = "bar_ts", arrival: str = "arrival_seq") -> DataFrame:
     """Flag arrivals whose time any symbol has reported before; rows stay."""
-    return arrivals.withColumn("seen_before", F.row_number().over(Window.partitionBy(ts).orderBy(arrival)) > 1)
+    return arrivals.withColumn("seen_before", F.row_number().over(Window.partitionBy(ts).orderBy(*_by_arrival(arrivals, ts, arrival))) > 1)
 
 
 def missing_bars(bars: DataFrame, timeframe: str) -> DataFrame:

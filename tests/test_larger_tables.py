@@ -6,6 +6,7 @@ from collections import Counter
 import numpy as np
 
 import __spark_entry__
+from barspan.operators import grid as G
 from barspan.plans import fixtures as X
 from barspan.plans.source_plans import _landed
 from barspan.sources import readers as A
@@ -60,3 +61,13 @@ def test_feature_updates_work_bars_out_once(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(X, "daily_bars", counted)
     assert __spark_entry__.queries()["e16_feature_updates"](spark, "/root/testdata/sf0.001").count() > 0
     assert len(list(seen.iterdir())) == 1
+
+
+def test_arrivals_that_tie_come_by_time_whatever_the_layout(spark):
+    at = [dt.datetime(2024, 1, 1, h) for h in range(3)]
+    rows = [("A", at[2], 10, 3.0), ("A", at[1], 10, 2.0), ("A", at[1], 10, 1.0), ("A", at[0], 0, 9.0)]
+    for order in (rows, rows[::-1]):
+        df = spark.createDataFrame(order, "symbol string, bar_ts timestamp_ntz, arrival_seq long, px double").coalesce(1)
+        assert sorted(r.px for r in G.drop_out_of_order(df).collect()) == [1.0, 3.0, 9.0]
+        assert sorted(r.px for r in G.first_per_step(df, "1h").collect()) == [1.0, 3.0, 9.0]
+        assert sorted(r.px for r in G.seen_before(df).filter("seen_before").collect()) == [2.0]
